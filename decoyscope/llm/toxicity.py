@@ -15,9 +15,13 @@ from decoyscope.llm.common import crc_mod, read
 #: Weights are hashed into 2**BITS places.
 BITS = 20
 #: Labelled rows of each class that the fit reads at most, in the order of a hash of their ids.
-SAMPLE = 6000
+SAMPLE = 4000
+#: How much more a toxic row may count than another, where they are few.
+CAP = 3.0
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
+#: Letters of a word that make its stem.
+STEM = 4
 #: Words whose hashes a worker keeps.
 KEPT = 1_000_000
 
@@ -25,7 +29,7 @@ _kept: dict[str, int] = {}
 
 
 def _hashes(text: str | None) -> np.ndarray:
-    """A 32-bit hash of each white-space separated word, lower-cased, without punctuation around it."""
+    """Hashes of each white-space separated word, lower-cased, without punctuation around it: of the word in the low 32 bits, of its stem above."""
     global _kept
     words = (text or "").split()
     try:
@@ -35,17 +39,19 @@ def _hashes(text: str | None) -> np.ndarray:
             _kept = {}
         for w in words:
             if w not in _kept:
-                _kept[w] = zlib.crc32(w.lower().strip(".,;:!?\"'()[]{}<>*#$%&|-_/\\").encode("utf-8", "surrogatepass"))
+                bare = w.lower().strip(".,;:!?\"'()[]{}<>*#$%&|-_/\\")
+                _kept[w] = zlib.crc32(bare.encode("utf-8", "surrogatepass")) | zlib.crc32(bare[:STEM].encode("utf-8", "surrogatepass")) << 32
         return np.fromiter(map(_kept.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed places of a text's words, word pairs and pairs with one word between, repeats included."""
-    h = _hashes(text)
+    """Hashed places of a text's words, stems, word pairs and pairs with one word between, repeats included."""
+    both = _hashes(text)
+    h = both & np.uint64(0xFFFFFFFF)
     shift = np.uint64(64 - BITS)
     with np.errstate(over="ignore"):
         one = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        parts = [one >> shift]
+        parts = [one >> shift, ((both >> np.uint64(32)) + np.uint64(7)) * np.uint64(0xD1342543DE82EF95) >> shift]
         if len(h) > 1:
             parts.append((one[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] * np.uint64(0x165667B19E3779F9)) >> shift)
         if len(h) > 2:
@@ -53,7 +59,7 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64)
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5, epochs: int = 3, seed: int = 7):
+def fit(texts: list[str | None], toxic: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.1, epochs: int = 6, seed: int = 7):
     """FTRL-proximal: per-coordinate learning rates, L1 for sparsity.
 
     Features count once per text. Returns (bias, places, weights) of the
@@ -63,7 +69,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, alpha: float = 0.3, beta: fl
     zb = nb = 0.0
     rows = [np.unique(features(t)) for t in texts]
     share = max(1e-6, float(np.mean(toxic))) if len(toxic) else 1.0
-    cost = np.where(toxic == 1, min(10.0, (1 - share) / share), 1.0)
+    cost = np.where(toxic == 1, min(CAP, (1 - share) / share), 1.0)
     rng = np.random.default_rng(seed)
 
     def weight(zi, ni):
