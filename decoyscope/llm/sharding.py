@@ -41,7 +41,7 @@ def _balance(groups: DataFrame, shards: int, total: int, n: int) -> DataFrame:
         large = max(1, total // (shards * BUNDLES))
         small = items.where(F.col("size") <= large).withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets)).cast("int"))
         glued = cut(_part(small.select("bucket", "item", "size"), BUNDLES).select(
-            "item", F.xxhash64("bucket", "way").alias("bundle"), "size"))
+            "item", F.xxhash64(F.lit(len(levels)), "bucket", "way").alias("bundle"), "size"))
         levels.append(glued.select("item", "bundle"))
         items = cut(items.where(F.col("size") > large).select("item", "size").unionByName(
             glued.groupBy("bundle").agg(F.sum("size").alias("size")).withColumnRenamed("bundle", "item")))
