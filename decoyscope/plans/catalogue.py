@@ -1,6 +1,8 @@
-"""Registered queries over the given tables and the SQL that they equal."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from decoyscope.plans import dashboards, history, matching, pages, scoring, streams, urls  # noqa: F401  they register
+from decoyscope.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
