@@ -57,7 +57,7 @@ def stream_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest parts with keyed state, without expiry."""
     t = F.col("event_type")
     rows = _events(spark, sf_dir).withColumn("kind", F.when(t == "click", "domain").when(t == "view", "http").when(t == "purchase", "features"))
-    out = drained(spark, state.fuse(rows, "user_id", ["domain", "http", "features"], idle_seconds=365 * 86400), "update")
+    out = drained(spark, state.fuse(rows, "user_id", ["domain", "http", "features"], idle_seconds=None), "update")
     return out.select(F.col("k").alias("user_id"), "domain", "http", "features")
 
 

@@ -147,32 +147,44 @@ def inactive_recheck(rows: DataFrame) -> DataFrame:
 
 
 class Fusion(StatefulProcessor):
-    """Keeps the newest part of each kind of a key and emits the key's parts whenever one arrives; idle keys expire."""
+    """Keeps the newest part of each kind of a key and emits the key's parts whenever one arrives; idle keys expire.
 
-    def __init__(self, kinds: list[str], idle_seconds: int):
+    One value holds all parts of a key, so that a batch reads and writes a
+    key's state once.
+    """
+
+    def __init__(self, kinds: list[str], idle_seconds: int | None):
         self.kinds, self.idle = kinds, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = handle.getMapState("parts", "kind string", "at bigint, id bigint, value double", ttlDurationMs=self.idle * 1000 if self.idle else None)
+        schema = ", ".join(f"{k}_at bigint, {k}_id bigint, {k} double" for k in self.kinds)
+        self.parts = handle.getValueState("parts", schema, ttlDurationMs=self.idle * 1000 if self.idle else None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.parts.get()) if self.parts.exists() else [None] * (3 * len(self.kinds))
         for pdf in rows:
-            for kind, at, i, value in zip(pdf["kind"], pdf["at"], pdf["event_id"], pdf["value"]):
-                if kind in self.kinds and (not self.parts.containsKey((kind,)) or tuple(self.parts.getValue((kind,)))[:2] <= (at, i)):
-                    self.parts.updateValue((kind,), (int(at), int(i), float(value)))
-        row = {"k": key[0]}
-        for kind in self.kinds:
-            row[kind] = float(self.parts.getValue((kind,))[2]) if self.parts.containsKey((kind,)) else None
-        yield pd.DataFrame([row]).astype({k: "float64" for k in self.kinds})
+            for i, kind in enumerate(self.kinds):
+                part = pdf[pdf["kind"] == kind]
+                if len(part):
+                    newest = part.sort_values(["at", "event_id"]).iloc[-1]
+                    found = (int(newest["at"]), int(newest["event_id"]))
+                    if held[3 * i] is None or tuple(held[3 * i : 3 * i + 2]) <= found:
+                        held[3 * i : 3 * i + 3] = [*found, float(newest["value"])]
+        self.parts.update(tuple(held))
+        yield pd.DataFrame([{"k": key[0], **{k: held[3 * i + 2] for i, k in enumerate(self.kinds)}}]).astype({k: "float64" for k in self.kinds})
 
     def close(self) -> None:
         pass
 
 
-def fuse(rows: DataFrame, key: str, kinds: list[str], idle_seconds: int = 300) -> DataFrame:
-    """rows: key, kind, at, event_id, value -> key as k and a column of each kind's newest value, per batch."""
+def fuse(rows: DataFrame, key: str, kinds: list[str], idle_seconds: int | None = 300) -> DataFrame:
+    """rows: key, kind, at, event_id, value -> key as k and a column of each kind's newest value, per batch.
+
+    Without idle_seconds nothing expires, and an availableNow run ends; expiry
+    goes by the clock, for which Spark runs batches without end.
+    """
     schema = f"k {dict(rows.dtypes)[key]}, " + ", ".join(f"{k} double" for k in kinds)
-    return rows.select(key, "kind", "at", "event_id", "value").groupBy(key).transformWithStateInPandas(Fusion(kinds, idle_seconds), schema, "Update", "ProcessingTime")
+    return rows.select(key, "kind", "at", "event_id", "value").groupBy(key).transformWithStateInPandas(Fusion(kinds, idle_seconds), schema, "Update", "ProcessingTime" if idle_seconds else "None")
 
 
 class Retry(StatefulProcessor):
