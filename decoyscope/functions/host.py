@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +10,21 @@ from decoyscope.functions.terms import FREE_HOSTS, HOSTING_SERVICES, SHORTENERS
 from decoyscope.functions.text import any_in, entropy, strings
 
 
-@F.pandas_udf("string")
-def _punycode(hosts):
-    def one(h):
-        try:
-            return h.encode("idna").decode("ascii")
-        except (UnicodeError, AttributeError):
-            return h
+def _ascii(h: str | None) -> str | None:
+    try:
+        return h.encode("idna").decode("ascii")
+    except (UnicodeError, AttributeError):
+        return h
 
-    return hosts.map(one)
+
+def _punycode(host: Column) -> Column:
+    """IDNA form by Arrow batches; the host itself where there is none."""
+
+    @F.pandas_udf("string")
+    def encode(hosts: pd.Series) -> pd.Series:
+        return hosts.map(_ascii)
+
+    return encode(host)
 
 
 def canonical_host(h: Column, idna: bool = True) -> Column:

@@ -123,7 +123,7 @@ def page_content(c) -> Column:
 
 def certificate(c) -> Column:
     """The share of the certificate's own risk has points but no reason."""
-    extra = F.least(F.lit(20), F.floor(c("cert_risk_score") * 0.2))
+    extra = F.least(F.lit(20), F.floor(F.coalesce(c("cert_risk_score"), F.lit(0)) * 0.2))
     return _hits(
         _hit(c("is_self_signed"), "ssl", 40, "TLS self-signed"),
         _hit(c("has_domain_mismatch"), "ssl", 25, "TLS CN mismatch"),
