@@ -61,24 +61,25 @@ def spread(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
     return cut(guess.where(~near).select("h", "sites").unionByName(exact.select("h", "sites")))
 
 
-def removed(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
+def removed(docs: DataFrame, sites: int = SITES, own: float = OWN, count: str = "n_removed") -> DataFrame:
     """`docs` with boilerplate lines taken out of `text`, and the lines removed.
 
     Every column stays; `text` loses all lines that `spread` names, and the
     rest is joined by newlines as before. Texts without such lines, nulls and
     empty texts among them, stay as they are. A null source is a site of its
-    own. Rows are never dropped. Adds n_removed.
+    own. Rows are never dropped. Adds how many
+    lines went as the column named by `count`.
     """
     found = spread(docs, sites, own)
-    split = docs.select(F.col("doc_id").alias("_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
-    each = split.select("_id", F.explode(F.array_distinct(F.transform("ls", lambda x: F.xxhash64(_line(x))))).alias("h"))
-    hits = each.join(found, "h", "left_semi").groupBy("_id").agg(F.collect_set("h").alias("_gone"))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(_line(x))) | (_line(x) == ""))
-    count = F.size(F.split("text", "\n")) - F.size(kept)
-    hit = F.col("_gone").isNotNull() & F.col("text").isNotNull()
-    return joined.withColumn("n_removed", F.when(hit, count).otherwise(0)).withColumn(
-        "text", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("_id", "_gone")
+    split = docs.select(F.col("doc_id").alias("__id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
+    each = split.select("__id", F.explode(F.array_distinct(F.transform("ls", lambda x: F.xxhash64(_line(x))))).alias("h"))
+    hits = each.join(found, "h", "left_semi").groupBy("__id").agg(F.collect_set("h").alias("__gone"))
+    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(_line(x))) | (_line(x) == ""))
+    gone = F.size(F.split("text", "\n")) - F.size(kept)
+    hit = F.col("__gone").isNotNull() & F.col("text").isNotNull()
+    return joined.withColumn(count, F.when(hit, gone).otherwise(0)).withColumn(
+        "text", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("__id", "__gone")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

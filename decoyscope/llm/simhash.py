@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoyscope.llm.common import cut, read
@@ -37,15 +37,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int((2 * set_bits > len(hashes)).astype(np.uint64) @ (np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for every row."""
+def fingerprint_of(text: Column) -> Column:
+    """The fingerprint of a text column as a signed long."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, words) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fp})
+    @F.pandas_udf("long")
+    def work(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, "doc_id long, fp long")
+    return work(text)
 
 
 def trie_links(keys: np.ndarray, lead: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,7 +150,18 @@ def link(distinct: DataFrame, budget: int = 2) -> DataFrame:
     return turned.groupBy("bucket").applyInPandas(walk, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
+def groups(docs: DataFrame, key: str, budget: int = 2) -> DataFrame:
+    """(key, doc_id, fp, root, component_id) for every row; rows with the same root form a group."""
+    rows = cut(docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(F.col("text")).alias("fp")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(link(distinct, budget))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.join(ids, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
     """Fingerprint and component of every row.
 
     Rows with equal fingerprints meet once; texts without words have
@@ -161,13 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 
     Returns doc_id, fingerprint, component_id.
     """
-    rows = cut(fingerprints(docs, words))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(link(distinct, budget))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups(docs, "doc_id", budget).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,17 +118,9 @@ def train(docs: DataFrame, labels: DataFrame):
     return fit(got["text"].tolist(), got["toxic"].to_numpy(np.float64))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Scores every whole text; adds held_out, score and predicted to `columns` of `docs`.
-
-    The weights are learnt from `labels` (doc_id, toxic) by `train` and
-    broadcast, non-zero ones only; scores use the text alone. A null text
-    counts as empty and gets the bias. Without labels of both classes every
-    score is 0. Repeated rows and null ids are kept.
-    """
-    model = train(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = columns or ["doc_id"]
+def scorer(docs: DataFrame, labels: DataFrame):
+    """A function from a text column to its score, fitted by `train`; the non-zero weights are broadcast."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -140,7 +132,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, columns: list[str] | None = Non
         for texts in batches:
             yield pd.Series([0.0 if bias is None else score(t, bias, dense) for t in texts], dtype="float64")
 
-    out = docs.select(*keep, (crc_mod("doc_id", 3) == 1).alias("held_out"), scored("text").alias("score"))
+    return scored
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores every whole text.
+
+    The weights are learnt from `labels` (doc_id, toxic); scores use the text
+    alone. A null text counts as empty and gets the bias. Without labels of
+    both classes every score is 0. Repeated rows and null ids are kept. Other
+    columns are ignored.
+
+    Returns doc_id, held_out, score, predicted.
+    """
+    out = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), scorer(docs, labels)("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
