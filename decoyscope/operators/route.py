@@ -77,3 +77,34 @@ def bulk_report(inputs: DataFrame, most: int = 10_000) -> DataFrame:
     d = extract_domain(F.col("input"))
     verdict = F.lit("Too many domains") if n > most else F.when(is_valid_domain(d), "queued").otherwise("Invalid domain format")
     return inputs.select("idx", "input", d.alias("domain"), verdict.alias("status"))
+
+
+def certificate_hosts(messages: DataFrame) -> DataFrame:
+    """A row for each domain of each certificate update; other messages are left out.
+
+    messages: message_type, data.leaf_cert.all_domains.
+    """
+    return messages.where(F.col("message_type") == "certificate_update").select(F.explode("data.leaf_cert.all_domains").alias("fqdn"), F.lit("ct").alias("src"))
+
+
+def redirect_hops(rows: DataFrame, key: str, chain: str = "redirect_chain") -> DataFrame:
+    """(key, position, url, status) for each hop of an array of struct(url, status)."""
+    return rows.select(key, F.posexplode(chain).alias("position", "hop")).select(key, "position", "hop.url", "hop.status")
+
+
+def match_mode(rows: DataFrame, mode: str = "seed") -> DataFrame:
+    """`seed` drops rows without a reason; `all` keeps them with the reason ct:test_all."""
+    if mode == "seed":
+        return rows.where(F.size("reasons") > 0)
+    return rows.withColumn("reasons", F.when(F.size("reasons") == 0, F.array(F.lit("ct:test_all"))).otherwise(F.col("reasons")))
+
+
+def not_from(rows: DataFrame, src: str = "dnstwist") -> DataFrame:
+    """Without rows of a source, null sources kept; guards against a loop of one's own output."""
+    return rows.where(~F.col("src").eqNullSafe(F.lit(src)))
+
+
+def due_rechecks(queue: DataFrame, as_of: Column, most: int = 3) -> DataFrame:
+    """Entries that are due, with their next count and whether that is the last one (queue: domain, due, recheck_count)."""
+    n = F.col("recheck_count") + 1
+    return queue.where((F.col("due") <= F.unix_timestamp(as_of)) & (n <= most)).select("domain", n.alias("recheck_count"), F.concat(F.lit("Re-check #"), n.cast("string")).alias("reason"), (n >= most).alias("last"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.operators import enrich, match, variants
+from decoyscope.operators import enrich, match, route, variants
 from decoyscope.plans.registry import query, table
 
 _TOKENS = "SELECT DISTINCT lower(regexp_extract(p_name, '([a-z]+)$', 1)) AS token FROM part"
@@ -146,3 +146,47 @@ def original_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 6 == 0, F.lit(7)).cast("long").alias("registered"), F.lit(None).cast("long").alias("unregistered"))
     stats = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("d"), F.col("s_nationkey").cast("string")).alias("domain")).agg(F.count_if(F.col("s_acctbal") > 0).alias("registered"), F.count_if(F.col("s_acctbal") <= 0).alias("unregistered"))
     return enrich.with_variant_stats(rows, stats).select("c_custkey", "registered", "unregistered", "total")
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, o_orderstatus, ['w' || o_custkey % 40 || '.example.com', CASE WHEN o_orderkey % 3 = 0 THEN 'mail.example.com' ELSE 'brand' || o_orderkey % 9 || '.net' END] AS ds FROM orders),
+h AS (SELECT unnest(ds) AS fqdn FROM c WHERE o_orderstatus <> 'P')
+SELECT fqdn, count(*) AS n, CASE WHEN fqdn LIKE 'brand%' THEN 'seed:brand' ELSE 'ct:test_all' END AS reason FROM h WHERE fqdn <> 'mail.example.com' GROUP BY fqdn""")
+def certificate_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of certificate messages, without noise, with the reasons of the `all` mode."""
+    k = F.col("o_orderkey")
+    domains = F.array(
+        F.concat(F.lit("w"), (F.col("o_custkey") % 40).cast("string"), F.lit(".example.com")),
+        F.when(k % 3 == 0, "mail.example.com").otherwise(F.concat(F.lit("brand"), (k % 9).cast("string"), F.lit(".net"))))
+    messages = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderstatus") == "P", "heartbeat").otherwise("certificate_update").alias("message_type"),
+        F.struct(F.struct(domains.alias("all_domains")).alias("leaf_cert")).alias("data"))
+    hosts = route.not_from(route.certificate_hosts(messages)).where(~match.is_noise(F.col("fqdn")))
+    reasons = F.when(F.startswith("fqdn", F.lit("brand")), F.array(F.lit("seed:brand"))).otherwise(F.array().cast("array<string>"))
+    return route.match_mode(hosts.withColumn("reasons", reasons), "all").groupBy("fqdn", F.element_at("reasons", 1).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, CAST(0 AS INTEGER) AS position, 'http://h' || l_partkey || '.com/' AS url, 301 AS status FROM lineitem UNION ALL SELECT l_orderkey, 1, 'https://h' || l_partkey || '.com/', 200 FROM lineitem")
+def redirect_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each hop of each chain."""
+    host = F.concat(F.lit("://h"), F.col("l_partkey").cast("string"), F.lit(".com/"))
+    chain = F.array(F.struct(F.concat(F.lit("http"), host).alias("url"), F.lit(301).alias("status")), F.struct(F.concat(F.lit("https"), host).alias("url"), F.lit(200).alias("status")))
+    return route.redirect_hops(table(spark, sf_dir, "lineitem").select("l_orderkey", chain.alias("redirect_chain")), "l_orderkey")
+
+
+@query("""
+SELECT o_orderkey AS domain, o_orderkey % 4 + 1 AS recheck_count, 'Re-check #' || (o_orderkey % 4 + 1) AS reason, o_orderkey % 4 + 1 >= 3 AS last
+FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' AND o_orderkey % 4 + 1 <= 3""")
+def due_rechecks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watched domains that are due."""
+    queue = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("domain"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("due"), (F.col("o_orderkey") % 4).alias("recheck_count"))
+    return route.due_rechecks(queue, F.to_timestamp(F.lit("1998-01-01")))
+
+
+@query("""
+SELECT 'raw.hosts' AS topic, count(*) AS n, count(DISTINCT s_nationkey) AS keys FROM supplier UNION ALL SELECT 'domains.candidates', count(*), count(DISTINCT c_nationkey) FROM customer""")
+def topic_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two topics in one stream of records with missing columns filled."""
+    a = table(spark, sf_dir, "supplier").select(F.lit("raw.hosts").alias("topic"), F.col("s_nationkey").alias("key"), F.col("s_name").alias("name"))
+    b = table(spark, sf_dir, "customer").select(F.lit("domains.candidates").alias("topic"), F.col("c_nationkey").alias("key"))
+    return a.unionByName(b, allowMissingColumns=True).groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))

@@ -77,3 +77,52 @@ def test_topics_need_the_connector(spark, topics):
     """Without the connector's jar the source is unknown; with it, it would be asked for both topics."""
     with pytest.raises(Exception, match="(?i)kafka"):
         S.read_topic(spark, "nowhere:9092", topics, "a int")
+
+
+class Value:
+    """A value state held in memory."""
+
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    def clear(self):
+        self.v = None
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, name, schema, ttlDurationMs=None):
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_active_rechecks():
+    import pandas as pd
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+    p, h = state.Recheck(), Handle()
+    p.init(h)
+    feed = lambda at, due=None: pd.concat(list(p.handleInputRows(("d",), iter([pd.DataFrame({"at": [at], "due": [due]})]), None))).recheck.tolist()
+    assert feed(0, 10) == [] and h.timers == [10_000]
+    assert pd.concat(list(p.handleExpiredTimer(("d",), None, At(10_000)))).recheck.tolist() == [1]
+    assert feed(11, 20) == [] and feed(19) == [] and feed(20) == [2]
+    assert feed(21, 30) == [] and feed(40) == [3] and feed(50) == []
