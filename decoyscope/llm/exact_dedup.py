@@ -62,7 +62,8 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     runs = narrow.select(
         F.shiftright("row_id", 33).cast("int").alias("run"), *KEY, head.alias("head"), F.lit(1).cast("long").alias("copies")
     )
-    merged = merge_runs(runs, max(1, narrow.rdd.getNumPartitions()), fan_in)
+    last = runs.agg(F.max("run")).first()[0] or 0
+    merged = merge_runs(runs, last + 1, fan_in)
     return narrow.join(merged, KEY).select(
         "doc_id",
         F.col("head.doc_id").alias("keep_id"),
