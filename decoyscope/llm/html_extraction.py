@@ -50,7 +50,8 @@ def dressed(blocks: list[tuple[tuple[str, ...], str, float]], marks: list[int],
     main = [b for b, m in zip(blocks, marks) if m == 1]
     rest = [b[1] for b, m in zip(blocks, marks) if m == 0] + [others[i] for i in rng.integers(0, len(others), 6)]
     pick = lambda xs: xs[rng.integers(0, len(xs))]
-    shells = [("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main", "div", ".post"), ("div", ".article", ".body"), ("section", ".entry", ".content"), ("div", ".wrapper", "div", ".story"), ("div", ".page", "article", ".post")]
+    shells = [("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main", "div", ".post"), ("div", ".article", ".body"), ("section", ".entry", ".content"), ("div", ".wrapper", "div", ".story"), ("div", ".page", "article", ".post"), ("div", ".main", ".col"), ("div", ".column")]
+    tails = [("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("div",), ("h2",), ("h3",), ("figure", "figcaption"), ("table", "tr", "td"), ("pre",), ("dl", "dd")]
     base = ("html", "body", *pick([(), ("div", ".wrapper"), ("div", ".container"), ("div", ".page", "div", ".site")]))
     shell = pick(shells)
 
@@ -72,7 +73,11 @@ def dressed(blocks: list[tuple[tuple[str, ...], str, float]], marks: list[int],
         after += [((*base, *p), t, a) for p, t, a in side(kind)]
     body = []
     for path, text, link in main:
-        body.append([((*base, *shell, path[-1] if path and path[-1][0] != "." else "p"), text, link if rng.random() < 0.9 else 0.5)])
+        tail = pick(tails) if rng.random() < 0.2 else (path[-1] if path and path[-1][0] != "." else "p",)
+        words = text.split()
+        if tail[-1] in ("li", "td", "figcaption", "h2", "h3") and len(words) > 4:  # such blocks are short
+            text = " ".join(words[: rng.integers(2, 16)])
+        body.append([((*base, *shell, *tail), text, link if rng.random() < 0.9 else 0.5)])
     for group in inside:
         body.insert(int(rng.integers(0, len(body) + 1)), group)
     marked = [(b, 0) for b in before]
@@ -83,6 +88,11 @@ def dressed(blocks: list[tuple[tuple[str, ...], str, float]], marks: list[int],
     return [b for b, _ in marked], [m for _, m in marked]
 
 
+def shortened(blocks: list[tuple[tuple[str, ...], str, float]], rng: np.random.Generator) -> list[tuple[tuple[str, ...], str, float]]:
+    """The blocks with a third of them cut to a word or two: a block's length says little of its kind."""
+    return [(p, " ".join(t.split()[: rng.integers(1, 3)]), a) if rng.random() < 0.33 else (p, t, a) for p, t, a in blocks]
+
+
 def _words(text: str) -> np.ndarray:
     global _kept
     words = text.split()
@@ -229,7 +239,7 @@ class BlockLabeller:
         np.add.at(g["W"], np.concatenate(words), np.repeat(each[:, EMBED_P : EMBED_P + EMBED_W] / np.maximum(1, sizes)[:, None], sizes, axis=0))
         return loss, g
 
-    def fit(self, pages, marks, steps: int = 300, batch: int = 16, rate: float = 0.02, seed: int = 13):
+    def fit(self, pages, marks, steps: int = 400, batch: int = 16, rate: float = 0.02, seed: int = 13):
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -241,6 +251,7 @@ class BlockLabeller:
                 s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
                 move = rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
                 self.p[k] = (self.p[k] - move).astype(np.float32)
+            self.p["W"] *= 0.98  # a word counts for little unless it keeps doing so: most are in either kind of block
         return self
 
 
@@ -266,7 +277,11 @@ def train(pages: DataFrame) -> BlockLabeller:
         if blocks and 1 in marks and 0 in marks and None not in marks:
             taught.append((blocks, marks))
     others = [b[1] for blocks, marks in taught for b, m in zip(blocks, marks) if len(b[1]) < 400]
-    lots = [(b, m) for b, m in taught] + [dressed(b, m, others, rng) for b, m in taught for _ in range(DRESSED)]
+    lots = [*taught, *((shortened(b, rng), m) for b, m in taught)]
+    for b, m in taught:
+        for _ in range(DRESSED):
+            other, marks = dressed(b, m, others, rng)
+            lots.append((shortened(other, rng) if rng.random() < 0.3 else other, marks))
     return BlockLabeller().fit([b for b, _ in lots], [np.array(m, dtype=bool) for _, m in lots])
 
 
