@@ -23,7 +23,7 @@ THRESHOLD = 0.7
 #: Letters of a word that make its stem.
 STEM = 4
 #: Words whose hashes a worker keeps.
-KEPT = 1_000_000
+KEPT = 500_000
 
 _kept: dict[str, int] = {}
 
@@ -67,7 +67,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, alpha: float = 2.0, beta: fl
     """
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
-    rows = [np.unique(features(t)) for t in texts]
+    rows = [np.unique(features(t)).astype(np.int32) for t in texts]
     share = max(1e-6, float(np.mean(toxic))) if len(toxic) else 1.0
     cost = np.where(toxic == 1, min(CAP, (1 - share) / share), 1.0)
     rng = np.random.default_rng(seed)
