@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decoyscope.llm.common import cut, read
@@ -19,6 +19,11 @@ def _line(x: Column) -> Column:
     return F.trim(x)
 
 
+def _shingles(ws: Column) -> Column:
+    """Hashes of the three-word shingles of a line's words; of all its words if they are fewer."""
+    return F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(h, doc, site, around) for each line of each document; blank lines have none.
 
@@ -61,16 +66,60 @@ def spread(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
     return cut(guess.where(~near).select("h", "sites").unionByName(exact.select("h", "sites")))
 
 
-def removed(docs: DataFrame, sites: int = SITES, own: float = OWN, count: str = "n_removed") -> DataFrame:
+def boilerplate(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
+    """(h, sites) of the boilerplate lines of `docs`, lines of blocks among them, however often a document is copied.
+
+    All that `spread` names, and the lines on `sites` sites or more whose
+    surroundings count as their own by this: all copies of a text are one
+    text, and surroundings are the rest of the document, without all
+    far-spread lines, if that is more than half its characters. Two sketches
+    stand for it, the least and the greatest hash of its three-word shingles,
+    which words changed in a copy mostly leave as they are. Other documents
+    are mostly shared, as copies are; they give the lines right beside. By
+    either sketch surroundings must be `sites` or more, and as many as `own`
+    times the texts: of all texts, or of those that aren't mostly shared.
+    """
+    split = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text")).select(
+        F.monotonically_increasing_id().alias("row"), F.xxhash64("source").alias("site"), F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), _line).alias("ls"))
+    worded = F.transform("ls", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("size"), F.split(x, " +").alias("ws")))
+    shingled = F.transform(worded, lambda x: F.struct(x["h"].alias("h"), x["size"].alias("size"), _shingles(x["ws"]).alias("s")))
+    hashed = cut(split.select("row", "site", "body", F.transform(shingled, lambda x: F.struct(
+        x["h"].alias("h"), x["size"].alias("size"), F.array_min(x["s"]).alias("low"), F.array_max(x["s"]).alias("high"))).alias("ls")))
+    each = hashed.select("row", "site", "body", F.explode(F.transform("ls", lambda x, i: F.struct(
+        x["h"].alias("h"), x["size"].alias("size"), x["low"].alias("low"), x["high"].alias("high"), F.xxhash64(F.get("ls", i - 1)["h"], F.get("ls", i + 1)["h"]).alias("beside")
+    ))).alias("x")).select("row", "site", "body", "x.*").where("size > 0")
+    guess = cut(each.groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s")).where(F.col("n") >= sites).select(
+        "h", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= sites * (1 - NEAR)))
+    near = F.col("sites") <= sites * (1 + NEAR)
+    exact = each.join(guess.where(near).select("h"), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= sites)
+    far = cut(guess.where(~near).unionByName(exact))
+    marked = each.drop("site").join(far, "h", "left")
+    row, mine = Window.partitionBy("row"), F.col("sites").isNull()
+    placed = marked.select(
+        "h", "body", "beside", "sites",
+        (2 * F.sum(F.when(mine, F.col("size")).otherwise(0)).over(row) > F.sum("size").over(row)).alias("apart"),
+        F.min(F.when(mine, F.col("low"))).over(row).alias("low"),
+        F.max(F.when(mine, F.col("high"))).over(row).alias("high"),
+    ).where(~mine)
+    own_part = lambda c: F.when(F.col("apart"), F.col(c))
+    seen = placed.select("h", "sites", "body", *[F.coalesce(own_part(c), F.col("beside")).alias(c) for c in ("low", "high")], *[own_part(c).alias(f"{c}_a") for c in ("body", "low", "high")])
+    counted = seen.groupBy("h").agg(F.first("sites").alias("sites"), *[F.count_distinct(c).alias(c) for c in seen.columns[2:]])
+    enough = lambda a, n: (F.col(a) >= own * F.col(n)) & (F.col(a) >= sites)
+    blocks = counted.where(enough("low", "body") & enough("high", "body") | enough("low_a", "body_a") & enough("high_a", "body_a"))
+    return cut(spread(docs, sites, own).unionByName(blocks.select("h", "sites")).groupBy("h").agg(F.max("sites").alias("sites")))
+
+
+def removed(docs: DataFrame, sites: int = SITES, own: float = OWN, count: str = "n_removed", found: DataFrame | None = None) -> DataFrame:
     """`docs` with boilerplate lines taken out of `text`, and the lines removed.
 
-    Every column stays; `text` loses all lines that `spread` names, and the
+    Every column stays; `text` loses all lines of `found` (h), by default
+    those that `spread` names, and the
     rest is joined by newlines as before. Texts without such lines, nulls and
     empty texts among them, stay as they are. A null source is a site of its
     own. Rows are never dropped. Adds how many
     lines went as the column named by `count`.
     """
-    found = spread(docs, sites, own)
+    found = spread(docs, sites, own) if found is None else found.select("h")
     split = docs.select(F.col("doc_id").alias("__id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
     each = split.select("__id", F.explode(F.array_distinct(F.transform("ls", lambda x: F.xxhash64(_line(x))))).alias("h"))
     hits = each.join(found, "h", "left_semi").groupBy("__id").agg(F.collect_set("h").alias("__gone"))
