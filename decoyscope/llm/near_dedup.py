@@ -1,0 +1,118 @@
+"""Groups of near copies: MinHash bands for candidates, exact Jaccard similarity of word shingles."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from decoyscope.llm.common import cut
+from decoyscope.llm.components import components
+
+WORDS, SIMILAR = 5, 0.8
+#: Bands and hashes of each: two texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**4)**16 = 0.9998.
+BANDS, ROWS = 16, 4
+#: Members of a band's bucket that follow a text in order and are compared with it, besides the bucket's first.
+NEXT = 4
+#: Members of a bucket that are put in order together, about.
+BLOCK = 1000
+_RNG = np.random.default_rng(23)
+TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles, as `simhash.fingerprint` cuts them; none without words."""
+    import xxhash
+
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(ws)
+    ends = np.cumsum([len(w) + 1 for w in ws], dtype=np.int64) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[min(words, max(1, len(ws))) - 1 :].tolist())], dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One key for each band of the MinHash of a set; equal sets have equal keys."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        mixed = hashes[at : at + 4096, None] * TIMES + PLUS
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, (mixed * TIMES).min(axis=0), out=least)
+    keys = np.zeros(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = (keys ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64).tolist()
+
+
+def _sets(text: Column) -> Column:
+    """(whole, size, keys): a hash of the shingle set, its size, and the keys of its bands."""
+
+    @F.pandas_udf("whole long, size int, keys array<long>")
+    def work(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        out = []
+        for t in texts:
+            hs = shingle_hashes(t)
+            out.append((np.uint64(xxhash.xxh64_intdigest(hs.tobytes(), 7)).astype(np.int64), len(hs), bands(hs) if len(hs) else []))
+        return pd.DataFrame(out, columns=["whole", "size", "keys"])
+
+    return work(text)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose texts' shingle sets have a Jaccard similarity of `least` or more."""
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = shingle_hashes(x), shingle_hashes(y)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    left = pairs.join(texts.select(F.col("whole").alias("u"), F.col("text").alias("a")), "u")
+    return cut(left.join(texts.select(F.col("whole").alias("v"), F.col("text").alias("b")), "v").where(alike("a", "b")).select("u", "v"))
+
+
+def groups(docs: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
+    """(key, doc_id, root) for every row; rows with the same root form a group.
+
+    Texts with the same five-word shingles (white space and case aside) are
+    one. Two texts that share a band are candidates: in a band's bucket each
+    is compared with the first one, and, if that doesn't bring them together,
+    with the next `NEXT` of its block; so a bucket of any size costs in proportion to it,
+    and one of up to NEXT + 1 texts is compared in full. Candidates are
+    linked if their similarity is exactly `least` or more; groups are what
+    links connect. Texts without words are one group.
+    """
+    rows = cut(docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _sets(F.col("text")).alias("x")).select("key", "doc_id", "x.*"))
+    one = rows.groupBy("whole").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("keys").alias("keys")).where("size > 0")
+    one = cut(one)
+    each = one.select("whole", "size", F.posexplode("keys").alias("band", "b"))
+    shared = each.groupBy("band", "b").agg(F.count("*").alias("n"), F.min("whole").alias("first")).where("n > 1")
+    met = cut(each.join(shared, ["band", "b"]))
+    named = cut(one.join(met.select("whole").distinct(), "whole", "left_semi").select("whole", "key", "size"))
+    texts = cut(docs.select(F.col(key).alias("key"), "text").join(named, "key").select("whole", "text"))
+    sizes = named.select(F.col("whole").alias("v"), F.col("size").alias("other"))
+    fits = F.least("size", "other") >= F.greatest("size", "other") * least - 1e-9
+    firsts = met.where("whole <> first").select(F.col("whole").alias("u"), F.col("first").alias("v"), "size").distinct().join(sizes, "v").where(fits).select("u", "v")
+    links = _similar(firsts, texts, least)
+    roots = cut(components(links))
+    # the next ones in the bucket, by an order of the band's own, as far as they aren't together yet
+    order = Window.partitionBy("band", "b", F.pmod(F.xxhash64("whole"), F.ceil(F.col("n") / BLOCK))).orderBy(F.xxhash64("band", "whole"), "whole")
+    following = met.where("n > 2").select("whole", "size", F.array(*[F.struct(F.lead("whole", k).over(order).alias("v"), F.lead("size", k).over(order).alias("other")) for k in range(1, NEXT + 1)]).alias("xs"))
+    nexts = following.select(F.col("whole").alias("u"), "size", F.explode("xs").alias("x")).select("u", "size", "x.*").where(F.col("v").isNotNull() & fits)
+    nexts = nexts.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    for c in ("u", "v"):
+        nexts = nexts.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    nexts = nexts.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    links = links.unionByName(_similar(nexts, texts, least))
+    roots = components(links).withColumnRenamed("node", "whole")
+    return rows.select("key", "doc_id", "whole").join(roots, "whole", "left").select("key", "doc_id", F.coalesce("root", "whole").alias("root"))
