@@ -285,6 +285,22 @@ def train(pages: DataFrame) -> BlockLabeller:
     return BlockLabeller().fit([b for b, _ in lots], [np.array(m, dtype=bool) for _, m in lots])
 
 
+#: Pages that are labelled together, and blocks, counting each page as long as the longest; a longer page runs alone.
+GROUP_PAGES, GROUP_BLOCKS = 128, 100_000
+
+
+def grouped(sizes: list[int]) -> Iterator[list[int]]:
+    """Indices of the pages that have blocks, shortest first, in groups within GROUP_PAGES and GROUP_BLOCKS."""
+    some = []
+    for i in sorted((i for i, n in enumerate(sizes) if n), key=lambda i: sizes[i]):
+        if some and (len(some) == GROUP_PAGES or (len(some) + 1) * sizes[i] > GROUP_BLOCKS):
+            yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page, from its whole html.
 
@@ -302,10 +318,8 @@ def extract(pages: DataFrame) -> DataFrame:
         model = sent.value
         for pdf in in_batches(batches, 512):
             blocks = [leaf_blocks(h) for h in pdf["html"]]
-            order = sorted(range(len(blocks)), key=lambda i: len(blocks[i]))
             texts = [""] * len(blocks)
-            for at in range(0, len(order), 128):
-                some = [i for i in order[at : at + 128] if blocks[i]]
+            for some in grouped([len(b) for b in blocks]):
                 for i, keep in zip(some, model.label([blocks[i] for i in some])):
                     texts[i] = "\n".join(b[1] for b, k in zip(blocks[i], keep) if k)
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": texts})

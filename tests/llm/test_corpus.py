@@ -363,6 +363,14 @@ def test_html_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id in (100, 101)] == ["", ""]
 
 
+def test_a_very_long_page_is_labelled_alone():
+    sizes = [0, 50_000, *([30] * 300), 400, 0, 200_000, 900]
+    got = list(html_extraction.grouped(sizes))
+    assert sorted(i for some in got for i in some) == [i for i, n in enumerate(sizes) if n]
+    assert all(len(some) <= 128 and (len(some) == 1 or len(some) * max(sizes[i] for i in some) <= 100_000) for some in got)
+    assert [1] in got and len(got) == 5
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
