@@ -38,6 +38,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: A key that holds more than 1 / HOT of all rows is hot; there are fewer than HOT of these.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """`rows` with the columns of their group, by an inner join that no hot key can load onto one task.
+
+    `groups` has one row per key and its number of rows, `size`, out of
+    `total`. Hot groups, fewer than HOT by their definition, are broadcast
+    and meet their rows where these are; the others are shuffled.
+    """
+    hot = groups.where(F.col(size) * HOT > total)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) * HOT <= total), keys)
+    return near.unionByName(far)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

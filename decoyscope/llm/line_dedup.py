@@ -2,133 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import cut, read
+from decoyscope.llm.common import cut, free_name, read
 
 #: log2 of a sketch's registers; its relative standard error is 1.04 / sqrt(2**LG_K).
 LG_K = 10
 #: Lines whose estimate lies within this share of the threshold get an exact count (three standard errors).
 NEAR = 3 * 1.04 / (2**LG_K) ** 0.5
-#: Sites from which a line counts as boilerplate, and the least share of its documents in which its surroundings are their own.
-SITES, OWN = 10, 0.6
+#: Sites from which a line counts as boilerplate.
+SITES = 10
+#: Boilerplate lines up to which their hashes travel as one literal (some 20 bytes each); more of them meet the lines by a join.
+LITERAL_LINES = 20_000
 
 
 def _line(x: Column) -> Column:
     return F.trim(x)
 
 
-def _shingles(ws: Column) -> Column:
-    """Hashes of the three-word shingles of a line's words; of all its words if they are fewer."""
-    return F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(site, ls) of each distinct text: a hash of its least source, and (h, size) of each of its distinct lines.
 
+    However often a text is copied, and on however many sites, it is one text
+    on one site. Copies are combined in each task before they meet. h is a
+    hash of the trimmed line; blank lines have none.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    ls = F.filter(F.array_distinct(F.transform(F.split(text, "\n"), _line)), lambda x: x != "")
+    hashed = F.transform(ls, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("size")))
+    rows = docs.select(F.xxhash64(text).alias("body"), F.octet_length(text).alias("n"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), hashed.alias("ls"))
+    return rows.groupBy("body", "n").agg(F.min("source").alias("source"), F.first("ls").alias("ls")).select(F.xxhash64("source").alias("site"), "ls")
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(h, doc, site, around) for each line of each document; blank lines have none.
 
-    h is a hash of the trimmed line and `around` one of the lines beside it.
-    """
-    split = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
-    hashed = split.select("doc_id", "source", F.transform("ls", lambda x: F.xxhash64(_line(x))).alias("hs"), F.transform("ls", lambda x: _line(x) != "").alias("full"))
-    each = hashed.select("doc_id", "source", F.explode(F.transform(
-        "hs", lambda h, i: F.struct(h.alias("h"), F.get("full", i).alias("full"), F.xxhash64(F.get("hs", i - 1), F.get("hs", i + 1)).alias("around"))
-    )).alias("x"))
-    return each.where("x.full").select("x.h", F.xxhash64("doc_id").alias("doc"), F.xxhash64("source").alias("site"), "x.around")
-
-
-def spread(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
-    """(h, sites) of the boilerplate lines of `docs`.
-
-    Sketches of each line's sites, documents and surroundings are built in
-    every task and merged by line. A line is far-spread when it is on `sites`
-    sites or more: an estimate outside the band around the threshold decides
-    by itself, one inside it is replaced by an exact distinct count. Lines of
-    copied documents are spread too, but stand between the same lines
-    everywhere; so surroundings must be as many as `own` times the documents.
-    """
-    each = lines(docs)
-    sketched = each.groupBy("h").agg(
-        F.count("*").alias("n"),
-        F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"),
-        F.hll_sketch_agg("doc", F.lit(LG_K)).alias("d"),
-        F.hll_sketch_agg("around", F.lit(LG_K)).alias("a"),
-    ).where(F.col("n") >= sites)
-    share = F.col("around") / F.col("docs")
-    guess = cut(sketched.select(
-        "h", F.hll_sketch_estimate("s").alias("sites"), F.hll_sketch_estimate("d").alias("docs"), F.hll_sketch_estimate("a").alias("around")
-    ).where((F.col("sites") >= sites * (1 - NEAR)) & (share >= own * (1 - 2 * NEAR))))
-    near = (F.col("sites") <= sites * (1 + NEAR)) | (share <= own * (1 + 2 * NEAR))
-    band = guess.where(near).select("h")
-    exact = each.join(band, "h", "left_semi").groupBy("h").agg(
-        F.count_distinct("site").alias("sites"), F.count_distinct("doc").alias("docs"), F.count_distinct("around").alias("around"))
-    exact = exact.where((F.col("sites") >= sites) & (share >= own))
-    return cut(guess.where(~near).select("h", "sites").unionByName(exact.select("h", "sites")))
-
-
-def boilerplate(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
-    """(h, sites) of the boilerplate lines of `docs`, lines of blocks among them, however often a document is copied.
-
-    All that `spread` names, and the lines on `sites` sites or more whose
-    surroundings count as their own by this: all copies of a text are one
-    text, and surroundings are the rest of the document, without all
-    far-spread lines, if that is more than half its characters. Two sketches
-    stand for it, the least and the greatest hash of its three-word shingles,
-    which words changed in a copy mostly leave as they are. Other documents
-    are mostly shared, as copies are; they give the lines right beside. By
-    either sketch surroundings must be `sites` or more, and as many as `own`
-    times the texts: of all texts, or of those that aren't mostly shared.
+def _far(each: DataFrame, sites: int) -> DataFrame:
+    """(h, sites) of the lines (h, site) on `sites` sites or more.
+
+    A sketch of each line's sites is built in every task and merged by line.
+    An estimate outside the band around the threshold decides by itself; one
+    inside it is replaced by an exact distinct count.
     """
-    split = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text")).select(
-        F.monotonically_increasing_id().alias("row"), F.xxhash64("source").alias("site"), F.xxhash64("text").alias("body"), F.transform(F.split("text", "\n"), _line).alias("ls"))
-    worded = F.transform("ls", lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("size"), F.split(x, " +").alias("ws")))
-    shingled = F.transform(worded, lambda x: F.struct(x["h"].alias("h"), x["size"].alias("size"), _shingles(x["ws"]).alias("s")))
-    hashed = cut(split.select("row", "site", "body", F.transform(shingled, lambda x: F.struct(
-        x["h"].alias("h"), x["size"].alias("size"), F.array_min(x["s"]).alias("low"), F.array_max(x["s"]).alias("high"))).alias("ls")))
-    each = hashed.select("row", "site", "body", F.explode(F.transform("ls", lambda x, i: F.struct(
-        x["h"].alias("h"), x["size"].alias("size"), x["low"].alias("low"), x["high"].alias("high"), F.xxhash64(F.get("ls", i - 1)["h"], F.get("ls", i + 1)["h"]).alias("beside")
-    ))).alias("x")).select("row", "site", "body", "x.*").where("size > 0")
-    guess = cut(each.groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s")).where(F.col("n") >= sites).select(
-        "h", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= sites * (1 - NEAR)))
+    sketched = each.groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s")).where(F.col("n") >= sites)
+    guess = cut(sketched.select("h", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= sites * (1 - NEAR)))
     near = F.col("sites") <= sites * (1 + NEAR)
     exact = each.join(guess.where(near).select("h"), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= sites)
-    far = cut(guess.where(~near).unionByName(exact))
-    marked = each.drop("site").join(far, "h", "left")
-    row, mine = Window.partitionBy("row"), F.col("sites").isNull()
-    placed = marked.select(
-        "h", "body", "beside", "sites",
-        (2 * F.sum(F.when(mine, F.col("size")).otherwise(0)).over(row) > F.sum("size").over(row)).alias("apart"),
-        F.min(F.when(mine, F.col("low"))).over(row).alias("low"),
-        F.max(F.when(mine, F.col("high"))).over(row).alias("high"),
-    ).where(~mine)
-    own_part = lambda c: F.when(F.col("apart"), F.col(c))
-    seen = placed.select("h", "sites", "body", *[F.coalesce(own_part(c), F.col("beside")).alias(c) for c in ("low", "high")], *[own_part(c).alias(f"{c}_a") for c in ("body", "low", "high")])
-    counted = seen.groupBy("h").agg(F.first("sites").alias("sites"), *[F.count_distinct(c).alias(c) for c in seen.columns[2:]])
-    enough = lambda a, n: (F.col(a) >= own * F.col(n)) & (F.col(a) >= sites)
-    blocks = counted.where(enough("low", "body") & enough("high", "body") | enough("low_a", "body_a") & enough("high_a", "body_a"))
-    return cut(spread(docs, sites, own).unionByName(blocks.select("h", "sites")).groupBy("h").agg(F.max("sites").alias("sites")))
-
-
-def removed(docs: DataFrame, sites: int = SITES, own: float = OWN, count: str = "n_removed", found: DataFrame | None = None) -> DataFrame:
+    return cut(guess.where(~near).unionByName(exact))
+
+
+def spread(docs: DataFrame, sites: int = SITES, own: float = 0.0) -> DataFrame:
+    """(h, sites) of the boilerplate lines of `docs`: those that distinct texts hold on `sites` sites or more.
+
+    With `own` above 0, a text counts for a second, deciding spread only if
+    at least that share of its characters is in lines that aren't far-spread
+    by the first. Near copies of a document on many sites share most of their
+    lines, so they count for none of these and keep them, however many they
+    are; texts that only carry a header and a footer do count.
+    """
+    texts = distinct_texts(docs)
+    if own <= 0:
+        return _far(texts.select("site", F.explode("ls.h").alias("h")), sites)
+    texts = cut(texts.withColumn("text", F.monotonically_increasing_id()))
+    each = texts.select("text", "site", F.explode("ls").alias("x")).select("text", "site", "x.*")
+    far = _far(each.select("h", "site"), sites)
+    shared = each.join(far.select("h"), "h", "left_semi").groupBy("text").agg(F.sum("size").alias("shared"))
+    whole = F.aggregate("ls", F.lit(0).cast("long"), lambda n, x: n + x["size"])
+    voters = texts.join(shared, "text").where(whole - F.col("shared") >= own * whole)
+    return _far(voters.select("site", F.explode("ls.h").alias("h")).join(far.select("h"), "h", "left_semi"), sites)
+
+
+def removed(docs: DataFrame, sites: int = SITES, own: float = 0.0, count: str = "n_removed") -> DataFrame:
     """`docs` with boilerplate lines taken out of `text`, and the lines removed.
 
-    Every column stays; `text` loses all lines of `found` (h), by default
-    those that `spread` names, and the
-    rest is joined by newlines as before. Texts without such lines, nulls and
-    empty texts among them, stay as they are. A null source is a site of its
-    own. Rows are never dropped. Adds how many
-    lines went as the column named by `count`.
+    Every row and column stays; `text` loses all lines that `spread` names,
+    and the rest is joined by newlines as before. Texts without such lines,
+    nulls and empty texts among them, stay as they are. A null source is a
+    site of its own. Ids play no part: they may be null or repeat. Adds how
+    many lines went as the column named by `count`.
     """
-    found = spread(docs, sites, own) if found is None else found.select("h")
-    split = docs.select(F.col("doc_id").alias("__id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
-    each = split.select("__id", F.explode(F.array_distinct(F.transform("ls", lambda x: F.xxhash64(_line(x))))).alias("h"))
-    hits = each.join(found, "h", "left_semi").groupBy("__id").agg(F.collect_set("h").alias("__gone"))
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(_line(x))) | (_line(x) == ""))
-    gone = F.size(F.split("text", "\n")) - F.size(kept)
-    hit = F.col("__gone").isNotNull() & F.col("text").isNotNull()
-    return joined.withColumn(count, F.when(hit, gone).otherwise(0)).withColumn(
-        "text", F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("__id", "__gone")
+    found = spread(docs, sites, own).select("h")
+    n = found.count()
+    ls = F.split("text", "\n")
+    if n <= LITERAL_LINES:
+        # 2 * n short lists, by the hash's remainder: a line is looked up in one of them, where the text is
+        slots = max(1, 2 * n)
+        lists: list[list[int]] = [[] for _ in range(slots)]
+        for (h,) in found.collect():
+            lists[h % slots].append(h)
+        table = F.from_json(F.lit(json.dumps(lists)), "array<array<bigint>>")
+        kept = F.filter(ls, lambda x: ~F.array_contains(F.get(table, F.pmod(F.xxhash64(_line(x)), F.lit(slots)).cast("int")), F.xxhash64(_line(x))))
+        return _without(docs, ls, kept, count)
+    row, gone, h = (free_name(docs, x) for x in ("row", "gone", "h"))
+    docs = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    each = docs.select(row, F.explode(F.array_distinct(F.transform(ls, lambda x: F.xxhash64(_line(x))))).alias(h))
+    hits = each.join(found.withColumnRenamed("h", h), h, "left_semi").groupBy(row).agg(F.collect_set(h).alias(gone))
+    kept = F.filter(ls, lambda x: ~F.coalesce(F.array_contains(gone, F.xxhash64(_line(x))), F.lit(False)))
+    return _without(docs.join(hits, row, "left"), ls, kept, count).drop(row, gone)
+
+
+def _without(docs: DataFrame, ls: Column, kept: Column, count: str) -> DataFrame:
+    """The texts of fewer lines joined anew, and how many went."""
+    left = free_name(docs, "left")
+    made = docs.withColumn(left, kept)
+    number = F.coalesce(F.when(F.col("text").isNotNull(), F.size(ls) - F.size(left)), F.lit(0))
+    text = F.when(number > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text")
+    others = [c for c in docs.columns if c.lower() != count.lower()]
+    return made.select(*[text if c == "text" else F.col(f"`{c}`") for c in others], number.alias(count))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,17 +117,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH a AS (SELECT doc_id, coalesce(source, '') AS source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (
-  SELECT doc_id, source, i, ls[i] AS line, trim(ls[i], ' ') AS t,
-         (coalesce(trim(ls[i - 1], ' '), chr(1)), coalesce(trim(ls[i + 1], ' '), chr(1))) AS around
-  FROM a, unnest(range(1, len(ls) + 1)) u(i)),
-g AS (
-  SELECT t FROM l WHERE t <> '' GROUP BY t
-  HAVING count(DISTINCT source) >= 10 AND count(DISTINCT around) >= 0.6 * count(DISTINCT doc_id)),
+WITH t AS (SELECT coalesce(text, '') AS text, min(coalesce(source, '')) AS source FROM documents GROUP BY 1),
+l AS (SELECT source, trim(unnest(string_split(text, chr(10))), ' ') AS t FROM t),
+g AS (SELECT list(t) AS ts FROM (SELECT t FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10)),
 k AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit) AS text, CAST(count(*) FILTER (hit) AS INTEGER) AS n_removed
-  FROM (SELECT l.*, g.t IS NOT NULL AS hit FROM l LEFT JOIN g ON l.t = g.t) GROUP BY doc_id)
-SELECT k.doc_id, CASE WHEN n_removed > 0 THEN coalesce(k.text, '') ELSE a.text END AS text, n_removed
-FROM k JOIN a USING (doc_id)
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls,
+         list_filter(string_split(text, chr(10)), lambda x: NOT coalesce(list_contains(ts, trim(x, ' ')), false)) AS kept
+  FROM documents, g)
+SELECT doc_id, CASE WHEN len(kept) < len(ls) THEN coalesce(array_to_string(kept, chr(10)), '') ELSE text END AS text,
+       CAST(coalesce(len(ls) - len(kept), 0) AS INTEGER) AS n_removed
+FROM k
 """

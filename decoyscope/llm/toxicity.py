@@ -14,60 +14,81 @@ from decoyscope.llm.common import crc_mod, read
 
 #: Weights are hashed into 2**BITS places.
 BITS = 20
-#: Labelled rows of each class that the fit reads at most, in the order of a hash of their ids.
-SAMPLE = 4000
+#: Labelled rows of each class that the fit reads at most, in the order of a hash of their ids, and distinct features of each.
+SAMPLE, FEATURES = 4000, 4096
 #: How much more a toxic row may count than another, where they are few.
 CAP = 3.0
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
-#: Letters of a word that make its stem.
-STEM = 4
+#: Letters of a word's stems, and numbers of words with a stem from which it is a further feature.
+STEMS, OFTEN = (4, 6, 8), (2, 4, 8)
 #: Words whose hashes a worker keeps.
-KEPT = 500_000
+KEPT = 300_000
+_MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
-_kept: dict[str, int] = {}
 
+class _Words:
+    """Hashes of words and of their stems, kept in each worker: 0 for a stem that a word is too short for."""
 
-def _hashes(text: str | None) -> np.ndarray:
-    """Hashes of each white-space separated word, lower-cased, without punctuation around it: of the word in the low 32 bits, of its stem above."""
-    global _kept
-    words = (text or "").split()
-    try:
-        return np.fromiter(map(_kept.__getitem__, words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        if len(_kept) > KEPT:
-            _kept = {}
-        for w in words:
-            if w not in _kept:
-                bare = w.lower().strip(".,;:!?\"'()[]{}<>*#$%&|-_/\\")
-                _kept[w] = zlib.crc32(bare.encode("utf-8", "surrogatepass")) | zlib.crc32(bare[:STEM].encode("utf-8", "surrogatepass")) << 32
-        return np.fromiter(map(_kept.__getitem__, words), dtype=np.uint64, count=len(words))
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, 1 + len(STEMS)), dtype=np.uint64)
+
+    def add(self, word: str) -> None:
+        bare = word.lower().strip(_MARKS)
+        n = len(self.at)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        crc = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) + 1
+        self.rows[n] = [crc(bare), *(crc(bare[:k]) if len(bare) >= k else 0 for k in STEMS)]
+        self.at[word] = n
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """One row for each white-space separated word, lower-cased, without punctuation around it."""
+        words = (text or "").split()
+        if len(self.at) > KEPT:
+            self.__init__()
+        try:
+            at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
+        except KeyError:
+            for w in words:
+                if w not in self.at:
+                    self.add(w)
+            at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.rows[at]
+
+
+_words = _Words()
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed places of a text's words, stems, word pairs and pairs with one word between, repeats included."""
-    both = _hashes(text)
-    h = both & np.uint64(0xFFFFFFFF)
+    """Distinct hashed places of a text's words, stems, word pairs and pairs with one word between; of stems also how often they occur."""
+    rows = _words.hashes(text)
     shift = np.uint64(64 - BITS)
+    h = rows[:, 0]
     with np.errstate(over="ignore"):
-        one = (h + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        parts = [one >> shift, ((both >> np.uint64(32)) + np.uint64(7)) * np.uint64(0xD1342543DE82EF95) >> shift]
+        one = h * np.uint64(0x9E3779B97F4A7C15)
+        parts = [one >> shift]
         if len(h) > 1:
             parts.append((one[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] * np.uint64(0x165667B19E3779F9)) >> shift)
         if len(h) > 2:
             parts.append((one[:-2] * np.uint64(0xD6E8FEB86659FD93) + h[2:] * np.uint64(0xA0761D6478BD642F)) >> shift)
-    return np.concatenate(parts).astype(np.int64)
+        salted = [(rows[:, k][rows[:, k] > 0] + np.uint64(k << 40)) * np.uint64(0xD1342543DE82EF95) for k in range(1, rows.shape[1])]
+        stems, n = np.unique(np.concatenate(salted), return_counts=True)
+        parts.append(stems >> shift)
+        for i, least in enumerate(OFTEN):
+            parts.append((stems[n >= least] + np.uint64(i + 1)) * np.uint64(0xA24BAED4963EE407) >> shift)
+    return np.unique(np.concatenate(parts).astype(np.int64))
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.1, epochs: int = 6, seed: int = 7):
+def fit(rows: list[np.ndarray], toxic: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.1, epochs: int = 6, seed: int = 7):
     """FTRL-proximal: per-coordinate learning rates, L1 for sparsity.
 
-    Features count once per text. Returns (bias, places, weights) of the
-    non-zero weights. Classes are weighted so that both count alike.
+    `rows` has the distinct features of each text. Returns (bias, places,
+    weights) of the non-zero weights. Classes are weighted towards counting alike.
     """
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
-    rows = [np.unique(features(t)).astype(np.int32) for t in texts]
     share = max(1e-6, float(np.mean(toxic))) if len(toxic) else 1.0
     cost = np.where(toxic == 1, min(CAP, (1 - share) / share), 1.0)
     rng = np.random.default_rng(seed)
@@ -93,29 +114,41 @@ def fit(texts: list[str | None], toxic: np.ndarray, alpha: float = 2.0, beta: fl
 
 
 def score(text: str | None, bias: float, dense: np.ndarray) -> float:
-    at = features(text)
-    at = np.unique(at[dense[at] != 0])
-    return float(1 / (1 + np.exp(-np.clip(bias + dense[at].sum(), -35, 35))))
+    return float(1 / (1 + np.exp(-np.clip(bias + dense[features(text)].sum(), -35, 35))))
+
+
+def _packed(texts: pd.Series) -> pd.Series:
+    """A text's features as 32-bit integers; of more than FEATURES, those that come first by a hash."""
+    out = []
+    for t in texts:
+        at = features(t)
+        if len(at) > FEATURES:
+            at = at[np.argpartition(at * 2654435761 % 4294967291, FEATURES)[:FEATURES]]
+        out.append(np.sort(at).astype("<i4").tobytes())
+    return pd.Series(out, dtype=object)
 
 
 def train(docs: DataFrame, labels: DataFrame):
     """Fits on labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    At most `SAMPLE` rows of each class are gathered, whole texts, chosen by
-    a hash of the id; conflicting labels of an id count as toxic. None if a
-    class is missing.
+    At most `SAMPLE` ids of each class are taken, chosen by a hash of the id,
+    and one row of each; conflicting labels of an id count as toxic. Tasks turn
+    the whole texts into features, and the driver gets at most FEATURES of
+    each: 4 bytes * FEATURES * 2 * SAMPLE, 131 MB, whatever the texts'
+    lengths. None if a class is missing.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for kind in (0, 1):
         some = marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         picked = some if picked is None else picked.unionByName(some)
-    # at most 2 * SAMPLE ids
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"]).toPandas()
+    # at most 2 * SAMPLE ids; of rows that share one, the one whose features come first
+    made = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.pandas_udf(_packed, "binary")("text").alias("x"))
+    got = made.groupBy("doc_id", "toxic").agg(F.min("x").alias("x")).select("toxic", "x").toPandas()
     if got["toxic"].nunique() < 2:
         return None
-    got = got.sort_values(["toxic", "text"], na_position="first", ignore_index=True)
-    return fit(got["text"].tolist(), got["toxic"].to_numpy(np.float64))
+    got = got.drop_duplicates().sort_values(["toxic", "x"], ignore_index=True)
+    return fit([np.frombuffer(x, dtype="<i4") for x in got["x"]], got["toxic"].to_numpy(np.float64))
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
@@ -139,9 +172,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores every whole text.
 
     The weights are learnt from `labels` (doc_id, toxic); scores use the text
-    alone. A null text counts as empty and gets the bias. Without labels of
-    both classes every score is 0. Repeated rows and null ids are kept. Other
-    columns are ignored.
+    alone, whole texts of any length. A null text counts as empty and gets the
+    bias. Without labels of both classes every score is 0. Repeated rows and
+    null ids are kept; an id that repeats teaches with one of its rows. An empty
+    table gives no rows. Other columns are ignored.
 
     Returns doc_id, held_out, score, predicted.
     """
