@@ -17,6 +17,8 @@ NEAR = 3 * 1.04 / (2**LG_K) ** 0.5
 SITES = 10
 #: Boilerplate lines up to which their hashes travel as one literal (some 20 bytes each); more of them meet the lines by a join.
 LITERAL_LINES = 20_000
+#: Near-threshold lines up to which their hashes (8 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def _line(x: Column) -> Column:
@@ -47,7 +49,10 @@ def _far(each: DataFrame, sites: int) -> DataFrame:
     sketched = each.groupBy("h").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("s")).where(F.col("n") >= sites)
     guess = cut(sketched.select("h", F.hll_sketch_estimate("s").alias("sites")).where(F.col("sites") >= sites * (1 - NEAR)))
     near = F.col("sites") <= sites * (1 + NEAR)
-    exact = each.join(guess.where(near).select("h"), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= sites)
+    band = guess.where(near).select("h")
+    # a line on few sites may have very many rows: they stay where they are, or come once per site
+    some = each.join(F.broadcast(band), "h", "left_semi") if band.count() <= BROADCAST_ROWS else each.distinct().join(band, "h", "left_semi")
+    exact = some.groupBy("h").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= sites)
     return cut(guess.where(~near).unionByName(exact))
 
 

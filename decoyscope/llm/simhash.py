@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import cut, read
+from decoyscope.llm.common import cut, join_groups, read
 from decoyscope.llm.components import components
 
 BITS = 64
@@ -153,12 +153,12 @@ def link(distinct: DataFrame, budget: int = 2) -> DataFrame:
 def groups(docs: DataFrame, key: str, budget: int = 2) -> DataFrame:
     """(key, doc_id, fp, root, component_id) for every row; rows with the same root form a group."""
     rows = cut(docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(F.col("text")).alias("fp")))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(link(distinct, budget))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp")
+    named = cut(placed.join(ids, "root").select("fp", "n", "root", "component_id"))
+    return join_groups(rows, named, ["fp"], "n", rows.count()).drop("n")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:

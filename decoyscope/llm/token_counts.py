@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import WHITE, in_batches, read, shared_dir
+from decoyscope.llm.common import WHITE, cut, in_batches, join_groups, read, shared_dir
 from decoyscope.llm.tokens import word_ids
 
+#: Digests to be encoded (32 bytes each) up to which they are broadcast, so that only their texts travel.
+BROADCAST_ROWS = 100_000
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
@@ -46,7 +48,8 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = "wo
     take one of the equal counts. None: a cache of this call alone.
 
     A null counts as the empty text, which has no tokens. Repeated rows and
-    null ids are kept. Other columns are ignored.
+    null ids are kept; an empty table gives no rows. Other columns are ignored.
+    A tokenizer that keeps white space or joins across it is refused.
 
     Returns doc_id, n_bytes, n_tokens, over_limit.
     """
@@ -55,18 +58,26 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = "wo
     version = tokenizer_digest(tokenizer)
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = F.trim(F.regexp_replace(text, WHITE, " "))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), norm.alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    digest = F.unhex(F.sha2("norm", 256)).alias("digest")
+    rows = cut(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), norm.alias("norm")).select("doc_id", "n_bytes", digest))
+    groups = cut(rows.groupBy("digest").agg(F.count("*").alias("n")))
     known = _stored(spark, cache).where(F.col("tokenizer") == version)
-    missing = rows.select("digest", "norm").join(known.select("digest").distinct(), "digest", "left_anti").dropDuplicates(["digest"])
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in in_batches(batches, 512):
-            counts = [len(ids) // 4 for ids in word_ids(tokenizer).texts(pdf["norm"].tolist())]
-            yield pd.DataFrame({"tokenizer": version, "digest": pdf["digest"], "n_tokens": counts})
-
-    missing.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
+    missing = cut(groups.select("digest").join(known.select("digest"), "digest", "left_anti"))
+    n = missing.count()
+    if n:
+        if n <= BROADCAST_ROWS:
+            missing = F.broadcast(missing)
+        texts = docs.select(norm.alias("norm")).select(digest, "norm").join(missing, "digest", "left_semi").dropDuplicates(["digest"])
+
+        def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in in_batches(batches, 512):
+                counts = [len(ids) // 4 for ids in word_ids(tokenizer).texts(pdf["norm"].tolist())]
+                yield pd.DataFrame({"tokenizer": version, "digest": pdf["digest"], "n_tokens": counts})
+
+        texts.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
     counts = _stored(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.select("doc_id", "n_bytes", "digest").join(counts, "digest").select(
+    counted = cut(groups.join(counts, "digest"))
+    return join_groups(rows, counted, ["digest"], "n", rows.count()).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 

@@ -55,6 +55,10 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.kept: dict[bytes, bytes] = {}
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        apart = [plain(w) for w in ("The", "cat's", "42", "ñandú,", "über-x")]
+        if any(plain(white.join(("The", "cat's", "42", "ñandú,", "über-x"))) != sum(apart, []) for white in (" ", "  ", "\n", "\t \r\n")):
+            raise ValueError(f"{name} keeps white space or joins across it: its ids aren't those of its words")
         # words of letters need no pre-tokenizer: the model takes them as they are spelt, if it spells as we do
         probe = "Straßeàñâÿí"
         spelt = [t.id for t in self.tokenizer.model.tokenize(probe.lower().encode().decode("latin-1").translate(_BYTES))]
