@@ -6,18 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decoyscope.llm.common import crc_mod, in_batches, read
 
-#: Documents of each language and bytes of each that the fit reads at most.
-SAMPLE, SAMPLE_BYTES = 300, 1500
-HIDDEN, EMBED = 24, 12
-#: Words whose label sums a worker keeps.
-KEPT = 400_000
-#: Longest run of bytes that one recurrent pass reads; longer words are read in such runs.
-RUN = 64
+#: Documents of each language that the fit reads at most, spans of each and their characters, and languages.
+SAMPLE, SPANS, SPAN_CHARS, LANGUAGES = 300, 6, 160, 1000
+HIDDEN, EMBED = 16, 12
+#: Bytes of a text that one recurrent pass labels, bytes on either side that it reads without labelling them, and least and most bytes of a pass in the fit.
+WINDOW, MARGIN, SHORT, TRAINED = 224, 16, 4, 48
+#: Windows that are read together.
+TOGETHER = 1024
 
 
 def _sigmoid(x):
@@ -55,12 +55,48 @@ class ByteGRU:
             out[t] = h
         return out
 
+    def _states(self, x: np.ndarray, full: np.ndarray, d: str) -> np.ndarray:
+        """As `_run`, for labelling alone: no masks where all windows go on, and few copies."""
+        p, H = self.p, HIDDEN
+        T, B = x.shape
+        table = p["E"] @ p[f"W{d}"] + p[f"b{d}"]
+        table[:, : 2 * H] *= 0.5  # sigmoid(v) = (1 + tanh(v / 2)) / 2
+        tz, tr, tc = (np.ascontiguousarray(table[:, k * H : (k + 1) * H], dtype=np.float32) for k in range(3))
+        uz, ur = (np.ascontiguousarray(p[f"U{d}"][:, k * H : (k + 1) * H] * np.float32(0.5)) for k in range(2))
+        z, r, c, a = (np.empty((B, H), np.float32) for _ in range(4))
+        h, out = np.zeros((B, H), np.float32), np.empty((T, B, H), np.float32)
+
+        def gate(g: np.ndarray, state: np.ndarray, weights: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+            np.matmul(state, weights, out=g)
+            np.take(rows, at, axis=0, out=a, mode="clip")
+            np.add(g, a, out=g)
+            np.tanh(g, out=g)
+
+        for t in range(T) if d == "f" else range(T - 1, -1, -1):
+            for g, u, rows in ((r, ur, tr), (z, uz, tz)):
+                gate(g, h, u, rows, x[t])
+                g += 1
+                g *= np.float32(0.5)
+            r *= h
+            gate(c, r, p[f"V{d}"], tc, x[t])
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= z
+            new += c
+            if not full[t]:
+                new[x[t] == 256] = h[x[t] == 256]
+            h = new
+        return out
+
     def log_probs(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Log-probability of each language at every position (T, B, L)."""
-        h = np.concatenate([self._run(x, mask, d, None) for d in "fb"], axis=2)
-        logits = h @ self.p["Wo"] + self.p["bo"]
+        full = mask.all(axis=1)
+        logits = self._states(x, full, "f") @ self.p["Wo"][:HIDDEN]
+        logits += self._states(x, full, "b") @ self.p["Wo"][HIDDEN:]
+        logits += self.p["bo"]
         logits -= logits.max(axis=2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        return logits
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
         """Mean cross-entropy over positions and its gradients, by backpropagation through time."""
@@ -104,15 +140,18 @@ class ByteGRU:
             g["E"] += per_byte @ p[f"W{d}"].T
         return loss, g
 
-    def fit(self, words: list[bytes], y: np.ndarray, steps: int = 500, batch: int = 256, rate: float = 0.01, seed: int = 5):
-        """Adam on random batches of words."""
+    def fit(self, spans: list[list[bytes]], steps: int = 700, batch: int = 128, rate: float = 0.01, seed: int = 5):
+        """Adam on random windows of the spans of each language; every language counts alike."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for i in range(1, steps + 1):
-            pick = rng.integers(0, len(words), batch)
-            x, mask = padded([words[j] for j in pick])
-            _, g = self.gradients(x, mask, y[pick])
+            y = rng.integers(0, len(spans), batch)
+            some = [spans[k][rng.integers(0, len(spans[k]))] for k in y]
+            size = rng.integers(SHORT, TRAINED + 1, batch)  # short texts are whole windows, too
+            at = [int(rng.integers(0, max(1, len(b) - n + 1))) for b, n in zip(some, size)]
+            x, mask = padded([b[k : k + n] for b, k, n in zip(some, at, size)])
+            _, g = self.gradients(x, mask, y)
             for k in self.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
@@ -120,110 +159,87 @@ class ByteGRU:
                 self.p[k] = (self.p[k] - step).astype(np.float32)
         return self
 
-
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    T = max(map(len, words))
-    flat = np.frombuffer(b"".join(w.ljust(T, b"\0") for w in words), dtype=np.uint8).reshape(len(words), T).T
-    mask = np.arange(T)[:, None] < np.array([len(w) for w in words])
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Best label and its pooled probability for each text.
+
+        A text's bytes are cut into windows of WINDOW, each read with MARGIN
+        more on either side, so that both passes come warm to the first byte
+        they label. Every byte is labelled once, and a text's log-probabilities
+        are the sums of its bytes'.
+        """
+        whole = [bytes_of(t) for t in texts]
+        sizes = np.array([len(b) for b in whole], dtype=np.int64)
+        flat = np.frombuffer(b"".join(whole), dtype=np.uint8)
+        ends = np.cumsum(sizes)
+        per = -(-sizes // WINDOW)
+        owner = np.repeat(np.arange(len(whole)), per)
+        start = (ends - sizes)[owner] + WINDOW * (np.arange(len(owner)) - (np.cumsum(per) - per)[owner])
+        stop = np.minimum(start + WINDOW, ends[owner])
+        lo, hi = np.maximum(start - MARGIN, (ends - sizes)[owner]), np.minimum(stop + MARGIN, ends[owner])
+        pooled = np.zeros((len(whole), len(self.labels)))
+        order = np.argsort(hi - lo, kind="stable")
+        for k in range(0, len(order), TOGETHER):
+            w = order[k : k + TOGETHER]
+            at = lo[w] + np.arange((hi - lo)[w].max())[:, None]
+            mask = at < hi[w]
+            x = np.where(mask, flat[np.minimum(at, len(flat) - 1)], 256).astype(np.intp)
+            labelled = (at >= start[w]) & (at < stop[w])
+            np.add.at(pooled, owner[w], np.einsum("tbl,tb->bl", self.log_probs(x, mask), labelled.astype(np.float32), dtype=np.float64))
+        q = np.exp(pooled - pooled.max(axis=1, keepdims=True))
+        return q.argmax(axis=1), q.max(axis=1) / q.sum(axis=1)
+
+
+def padded(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    T = max(1, *map(len, some))
+    flat = np.frombuffer(b"".join(b.ljust(T, b"\0") for b in some), dtype=np.uint8).reshape(len(some), T).T
+    mask = np.arange(T)[:, None] < np.array([len(b) for b in some])
     return np.where(mask, flat, 256).astype(np.int64), mask
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """White-space separated words, each with a space on either side, in runs of at most RUN bytes."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").split()
-
-
-class Labeller:
-    """Sums of position log-probabilities for words, kept in each worker."""
-
-    def __init__(self, model: ByteGRU):
-        self.model, self.kept, self.rows = model, {}, np.zeros((0, len(model.labels)))
-
-    def _label(self, words: list[bytes]) -> np.ndarray:
-        runs, owner = [], []
-        for i, w in enumerate(words):
-            w = b" " + w + b" "
-            for at in range(0, len(w), RUN):
-                runs.append(w[at : at + RUN])
-                owner.append(i)
-        out = np.zeros((len(words), len(self.model.labels)))
-        owner = np.array(owner)
-        order = np.argsort([len(r) for r in runs], kind="stable")
-        for at in range(0, len(order), 2048):
-            some = order[at : at + 2048]
-            x, mask = padded([runs[i] for i in some])
-            np.add.at(out, owner[some], (self.model.log_probs(x, mask) * mask[:, :, None]).sum(axis=0))
-        return out
-
-    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Best label and its pooled probability for each text."""
-        words = [words_of(t) for t in texts]
-        missing = set().union(*words).difference(self.kept)
-        if len(self.kept) + len(missing) > KEPT:
-            self.kept, self.rows = {}, np.zeros((0, len(self.model.labels)))
-            missing = set().union(*words)
-        if missing:
-            found = sorted(missing)
-            base = len(self.rows)
-            self.rows = np.concatenate([self.rows, self._label(found)])
-            self.kept |= {w: base + i for i, w in enumerate(found)}
-        best, sure = [], []
-        for ws in words:
-            at = np.fromiter(map(self.kept.__getitem__, ws), dtype=np.int64, count=len(ws))
-            pooled = self.rows[at].sum(axis=0)
-            q = np.exp(pooled - pooled.max())
-            best.append(int(q.argmax()))
-            sure.append(float(q.max() / q.sum()))
-        return np.array(best, dtype=np.int64), np.array(sure)
+def bytes_of(text: str | None) -> bytes:
+    """The lower-cased text with runs of white space as one space, in UTF-8."""
+    return " ".join((text or "").lower().split()).encode("utf-8", "surrogatepass")
 
 
 def sample(docs: DataFrame) -> pd.DataFrame:
-    """Bounded labelled texts for the fit: at most SAMPLE documents of a language.
+    """(lang, spans): labelled texts for the fit, SAMPLE documents of each language at most.
 
-    Only rows with a language whose crc32(doc_id) mod 4 is not 2. Each
-    language is thinned by a hash of the id to somewhat more than the bound,
-    and the driver gets a span of at most SAMPLE_BYTES characters from a hashed
-    place in each text.
+    Only rows with a language whose crc32(doc_id) mod 4 is not 2 and whose text
+    has a letter, in the order of a hash of id and text. The driver gets SPANS
+    spans of SPAN_CHARS characters from hashed places of each whole text,
+    and one row per language, of which there may be LANGUAGES.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod("doc_id", 4) != 2))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not sizes:
-        return pd.DataFrame({"lang": [], "text": []})
-    rate = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, min(1.0, 1.5 * SAMPLE / n)).otherwise(rate)
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    at = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(1))) + 1
-    got = usable.where(u <= rate).select("lang", F.substring("text", at.cast("int"), F.lit(SAMPLE_BYTES)).alias("text")).toPandas()
-    got = got.sort_values(["lang", "text"], ignore_index=True)
-    return got.groupby("lang", group_keys=False).head(2 * SAMPLE)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod("doc_id", 4) != 2)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = usable.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    # a language is thinned to about twice the bound where the rows are, and cut to it after that
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * SAMPLE + 50) / r["count"])) for r in sizes], "lang string, rate double")
+    thinned = usable.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("rate") * 1_000_003)
+    place = lambda i: F.pmod(F.xxhash64(i, "h"), F.greatest(F.length("text") - SPAN_CHARS, F.lit(0)) + 1).cast("int") + 1
+    spans = F.transform(F.sequence(F.lit(1), F.lit(SPANS)), lambda i: F.substring("text", place(i), F.lit(SPAN_CHARS)))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "text"))
+    got = thinned.select("lang", spans.alias("spans"), first.alias("at")).where(F.col("at") <= SAMPLE).select("lang", "spans", "at")
+    return got.toPandas().sort_values(["lang", "at"], ignore_index=True)
 
 
 def train(docs: DataFrame) -> ByteGRU | None:
     got = sample(docs)
-    labels = sorted(got["lang"].unique())
-    if not labels:
-        return None
-    per = {k: [] for k in labels}
-    for lang, text in zip(got["lang"], got["text"]):
-        per[lang] += [b" " + w[: RUN - 2] + b" " for w in words_of(text)]
-    rng = np.random.default_rng(1)
-    words, y = [], []
-    for i, k in enumerate(labels):  # every language counts alike
-        if per[k]:
-            words += [per[k][j] for j in rng.integers(0, len(per[k]), 20_000)]
-            y += [i] * 20_000
-    return ByteGRU(labels).fit(words, np.array(y))
+    spans: dict[str, list[bytes]] = {}
+    for lang, some in zip(got["lang"], got["spans"]):
+        spans.setdefault(lang, []).extend(b for b in map(bytes_of, some) if b)
+    labels = sorted(k for k, v in spans.items() if v)
+    return ByteGRU(labels).fit([spans[k] for k in labels]) if labels else None
 
 
 def languages(docs: DataFrame) -> DataFrame:
     """Predicts the language of every whole text.
 
-    The recurrent passes run over the words of a text, each with its spaces;
-    every byte gets label log-probabilities, and a document's are their sum.
-    Words are labelled once per worker, as their labels depend on nothing
-    else. Texts that are null or have no letter are `und` with score 0;
-    without any labelled text all are. Repeated rows and null ids are kept.
+    Both recurrent passes run over all bytes of a text, in overlapping
+    windows; every byte gets label log-probabilities, and a document's are
+    their sum. Texts that are null or have no letter are `und` with score 0;
+    without any labelled text all are. Repeated rows and null ids are kept; an
+    empty table gives no rows. Other columns are ignored.
 
     Returns doc_id, held_out, lang_pred, score.
     """
@@ -232,14 +248,13 @@ def languages(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("lang string, score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = sent.value
-        worker = Labeller(model) if model is not None else None
         for texts in batches:
             made = [pd.DataFrame({"lang": pd.Series(dtype=object), "score": pd.Series(dtype=float)})]
             for part in in_batches([texts.to_frame("text")], 512):
-                if worker is None:
+                if model is None:
                     made.append(pd.DataFrame({"lang": ["und"] * len(part), "score": 0.0}))
                     continue
-                best, sure = worker.texts(part["text"].tolist())
+                best, sure = model.texts(part["text"].tolist())
                 made.append(pd.DataFrame({"lang": [model.labels[i] for i in best], "score": sure}))
             yield pd.concat(made[1:] or made, ignore_index=True)
 
