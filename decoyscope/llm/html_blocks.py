@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 #: Elements whose start and end part one block from the next.
 BLOCK = frozenset(
@@ -27,11 +28,48 @@ ENDS = {
 #: Block elements that may stand inside an open paragraph.
 IN_PARAGRAPH = frozenset("button label option select".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: A tag's inside: quotes count where they begin a value.
+_INSIDE = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|[\"'=])*+")
+#: Foreign elements: these alone may be closed by a slash.
+_FOREIGN = frozenset(["svg", "math"])
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def _tags(page: str, start: int) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, whether it closes, tag or None for a comment or declaration, what stands in the tag) from `start` on.
+
+    The page is read forward once: a tag ends at the first > outside quoted
+    values, or, where a quote is never closed, at the first > of all; a tag
+    that the page's end cuts off is a comment. Takes the place to go on from
+    by `send`.
+    """
+    at, last, quoted = start, page.rfind(">"), True
+    while (p := page.find("<", at)) >= 0:
+        m = _OPEN.match(page, p)
+        if m is None:
+            if page.startswith("<!--", p):
+                end = page.find("-->", p + 4)
+                end = end + 3 if end >= 0 else len(page)
+            elif page[p + 1 : p + 2] in ("!", "?", "/"):
+                end = page.find(">", p) + 1 or len(page)
+            else:
+                at = p + 1
+                continue
+            found = (p, end, False, None, "")
+        elif p > last:
+            found = (p, end := len(page), False, None, "")
+        else:
+            end = _INSIDE.match(page, m.end()).end() if quoted else len(page)
+            if end == len(page):
+                quoted = False
+                end = page.find(">", m.end())
+            found = (p, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end])
+            end += 1
+        at = (yield found) or end
+
+
 def _path_tokens(tag: str, attrs: str) -> tuple[str, ...]:
     if "=" not in attrs:
         return (tag,)
@@ -47,7 +85,8 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     The path holds, from the outside in, each open element's tag and the
     words of its class, id and role. Markup that isn't closed, closes nothing
     or is cut off is borne; what stands in scripts, styles and the like is
-    skipped up to their end tag or the end of the page.
+    skipped up to their end tag or the end of the page. Time grows with the
+    page's length alone.
     """
     page = page or ""
     out: list[tuple[tuple[str, ...], str, float]] = []
@@ -76,39 +115,13 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         flush()
         del stack[k:]
 
-    at = 0
-    for m in iter(lambda: _TOKEN.search(page, at), None):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "a":
-                in_link = False
-            if tag in BLOCK:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        pop_to(k)
-                        break
-                else:
-                    flush()
-            continue
-        if tag in RAW and tag != "select" and tag != "head":
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            if tag in BLOCK:
-                flush()
-            continue
+    def opens(tag: str, inside: str, in_link: bool) -> bool:
+        """Takes a start tag in; whether text behind it is a link's."""
         if tag == "br":
             text.append(" ")
-        elif tag == "a":
-            in_link = True
         if tag not in BLOCK:
-            continue
+            return in_link or tag == "a"
         flush()
-        in_link = False
         if tag in ENDS:
             inner, limit = ENDS[tag]
             for k in range(len(stack) - 1, -1, -1):
@@ -125,9 +138,38 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
                 if stack[k][0] in ("td", "th", "button", "li", "div"):
                     break
         if tag not in VOID:
-            stack.append((tag, _path_tokens(tag, m[3] or "")))
-    rest = page[at:]
-    cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the page's end cuts off
-    add(rest[: cut.start()] if cut else rest)
+            stack.append((tag, _path_tokens(tag, inside)))
+        return False
+
+    at = 0
+    tags = _tags(page, 0)
+    found = next(tags, None)
+    while found:
+        start, end, closes, tag, inside = found
+        add(page[at:start])
+        at = end
+        if tag is None:
+            pass
+        elif closes:
+            if tag == "a":
+                in_link = False
+            if tag in BLOCK:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        pop_to(k)
+                        break
+                else:
+                    flush()
+        elif tag in RAW and tag not in ("select", "head"):
+            if not (tag in _FOREIGN and inside.endswith("/")):
+                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else len(page)
+        else:
+            in_link = opens(tag, inside, in_link)
+        try:
+            found = tags.send(at)
+        except StopIteration:
+            break
+    add(page[at:])
     flush()
     return [b for b in out if not {"head", "select"} & set(b[0])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 from decoyscope.llm.common import in_batches, read
 from decoyscope.llm.html_blocks import leaf_blocks
 
-#: Pages that the fit reads at most, and re-dressed copies made of each.
-SAMPLE, DRESSED = 200, 3
+#: Pages that the fit reads at most, blocks in a row of each, characters of a block and of its path, and re-dressed copies made of each page.
+SAMPLE, BLOCKS, BLOCK_CHARS, PATH_TOKENS, DRESSED = 200, 400, 1000, 100, 4
 PATHS, WORDS, EMBED_P, EMBED_W, HIDDEN = 1024, 4096, 16, 8, 16
 KEPT = 500_000
+#: Share of re-dressed pages whose markup says nothing.
+NEUTRAL = 0.35
 
 #: Words of tags, classes, ids and roles that mark what is not the article (fixed values, ours).
 ASIDE = {
@@ -54,8 +57,16 @@ def dressed(blocks: list[tuple[tuple[str, ...], str, float]], marks: list[int],
     tails = [("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("div",), ("h2",), ("h3",), ("figure", "figcaption"), ("table", "tr", "td"), ("pre",), ("dl", "dd")]
     base = ("html", "body", *pick([(), ("div", ".wrapper"), ("div", ".container"), ("div", ".page", "div", ".site")]))
     shell = pick(shells)
+    neutral = rng.random() < NEUTRAL
+    if neutral:  # markup that says nothing: one and the same shell for all, classes without meaning
+        base, shell = ("html", "body"), pick([("div",), ("div", ".x"), ("section", ".c"), ("div", ".x", "div")])
+        plain = pick([("p",), ("div",), ("div", ".x")])
 
     def side(kind: str):
+        if neutral:
+            link = float(kind in ("menu", "share"))
+            path = (*shell, *pick([("div",), ("p",), ("div", ".x"), ("ul", "li"), ("p", ".x")]))
+            return [(path, pick(rest), link) for _ in range(rng.integers(1, 5))]
         word = pick(ASIDE[kind].split())
         own = {"menu": [("nav",), ("nav", "ul", "li"), ("ul", ".menu", "li")], "header": [("header",)], "footer": [("footer",)], "sidebar": [("aside",)], "notice": [("dialog",)], "advert": [("div", ".ad")], "form": [("form",), ("form", "label"), ("form", "button")], "comment": [("section", ".comments", "div")], "share": [("ul", ".share", "li")]}[kind]
         path = pick(own) if rng.random() < 0.4 else (pick(["div", "section", "ul", "aside", "div"]), "." + word.split("-")[0])
@@ -74,6 +85,7 @@ def dressed(blocks: list[tuple[tuple[str, ...], str, float]], marks: list[int],
     body = []
     for path, text, link in main:
         tail = pick(tails) if rng.random() < 0.2 else (path[-1] if path and path[-1][0] != "." else "p",)
+        tail = plain if neutral and tail == ("p",) else tail
         words = text.split()
         if tail[-1] in ("li", "td", "figcaption", "h2", "h3") and len(words) > 4:  # such blocks are short
             text = " ".join(words[: rng.integers(2, 16)])
@@ -239,7 +251,7 @@ class BlockLabeller:
         np.add.at(g["W"], np.concatenate(words), np.repeat(each[:, EMBED_P : EMBED_P + EMBED_W] / np.maximum(1, sizes)[:, None], sizes, axis=0))
         return loss, g
 
-    def fit(self, pages, marks, steps: int = 400, batch: int = 16, rate: float = 0.02, seed: int = 13):
+    def fit(self, pages, marks, steps: int = 500, batch: int = 20, rate: float = 0.02, seed: int = 13):
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -259,20 +271,35 @@ class BlockLabeller:
 SPARE = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A title</h1><p>Some words of an article, and more.</p></article><footer>Imprint</footer></body></html>"
 
 
+def taught_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
+    """What the fit reads of a page: BLOCKS blocks in a row from a hashed place, with bounded texts and paths."""
+    blocks = leaf_blocks(page)
+    at = zlib.crc32((page or "").encode("utf-8", "surrogatepass")) % max(1, len(blocks) - BLOCKS + 1)
+    return [(path[-PATH_TOKENS:], text[:BLOCK_CHARS], link) for path, text, link in blocks[at : at + BLOCKS]]
+
+
 def train(pages: DataFrame) -> BlockLabeller:
     """Fits the labeller on at most SAMPLE pages, by what their own markup says.
 
     No page comes labelled, so blocks whose tag path names an article or a
-    surrounding (`teacher`) teach. Each page is also re-dressed: the same
+    surrounding (`teacher`) teach. Tasks cut the pages up; the driver gets at
+    most BLOCKS blocks of each, of bounded size. Each page is also re-dressed: the same
     blocks under other markup, among menus, notices, forms, comments and the
     like, so that the labeller doesn't hang on one site's template.
     """
     some = pages.where(F.col("html").isNotNull()).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
-    got = pages.select("page_id", "html").join(F.broadcast(some), "page_id").select("html").dropDuplicates().toPandas()["html"].tolist()
+
+    def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in in_batches(batches, 64):
+            yield pd.DataFrame({"page_id": pdf["page_id"], "x": [json.dumps(taught_blocks(h)) for h in pdf["html"]]})
+
+    # one row for each of SAMPLE ids
+    made = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").join(F.broadcast(some), "page_id").mapInPandas(blocks_of, "page_id long, x string")
+    got = made.groupBy("page_id").agg(F.min("x").alias("x")).toPandas()["x"].tolist()
     rng = np.random.default_rng(17)
     taught = []
-    for page in [*sorted(got), SPARE]:
-        blocks = leaf_blocks(page)[:400]
+    for page in [*sorted(set(got)), json.dumps(taught_blocks(SPARE))]:
+        blocks = [(tuple(path), text, link) for path, text, link in json.loads(page)]
         marks = [teacher(path) for path, _, _ in blocks]
         if blocks and 1 in marks and 0 in marks and None not in marks:
             taught.append((blocks, marks))
