@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decoyscope.llm.common import cut, join_groups, read
@@ -15,21 +16,27 @@ from decoyscope.llm.components import components
 BITS = 64
 #: Fingerprints in one bucket of the trie, about, and node pairs walked at a time.
 BUCKET, WALKED = 100_000, 1_000_000
+#: Near copies: words of a shingle, least similarity, fingerprints of a text's words, and bits in which one of them may differ.
+WORDS, SIMILAR, FAMILIES, WIDE = 5, 0.8, 2, 6
+#: Rounds of comparisons, texts of a connected part that all others are compared with in each, and texts of a part that one task compares, about.
+ROUNDS, PIVOTS, SALTED = 2, 8, 1000
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of one text: XXH64 (seed 42) of its word shingles, repeats included."""
+def shingle_hashes(text: str | None, words: int, distinct: bool = False) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, A-Z in lower case; of all its words if they are fewer; none without words."""
     import xxhash
 
     ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return 0
     line = b" ".join(ws)
-    ends = np.cumsum([len(w) + 1 for w in ws]) - 1
+    ends = np.cumsum([len(w) + 1 for w in ws], dtype=np.int64) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    k = min(words, len(ws))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist())], dtype="<u8")
+    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[min(words, max(1, len(ws))) - 1 :].tolist())], dtype="<u8")
+    return np.unique(hashes) if distinct else hashes
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half the hashes."""
     set_bits = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -37,6 +44,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int((2 * set_bits > len(hashes)).astype(np.uint64) @ (np.uint64(1) << np.arange(BITS, dtype=np.uint64)))
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of one text over its word shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprint_of(text: Column) -> Column:
     """The fingerprint of a text column as a signed long."""
 
@@ -112,42 +124,53 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def link(distinct: DataFrame, budget: int = 2) -> DataFrame:
+def _turned(keys: np.ndarray, sizes: list[int], order: list[int]) -> np.ndarray:
+    """The keys with their blocks of bits, `sizes` from the top, put in another order."""
+    down = BITS - np.cumsum(sizes)
+    out = np.zeros(len(keys), dtype=np.uint64)
+    for i in order:
+        out = (out << np.uint64(sizes[i] % BITS)) | (keys >> np.uint64(down[i])) & np.uint64(2 ** sizes[i] - 1)
+    return out
+
+
+def link(distinct: DataFrame, budget: int = 2, exact: int = 1) -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints (fp) within `budget` bits of each other.
 
-    The bits are cut into budget + 1 blocks; two fingerprints within the
-    budget agree on one block at least. So the trie is dealt out once for
-    each block, turned so that this block leads: keys with an equal leading
-    block meet in one bucket, where the walk has no error to spend in the
-    block and the whole budget behind it. A bucket returns a spanning forest
-    of its links rather than the links.
+    The bits are cut into budget + exact blocks; two fingerprints within the
+    budget agree on `exact` of them at least. So the trie is dealt out once
+    for each choice of `exact` blocks, turned so that these lead: keys with
+    equal leading blocks meet in one bucket, where the walk has no error to
+    spend in them and the whole budget behind. More exact blocks make more
+    tries with smaller buckets, and the same links. A bucket returns a
+    spanning forest of its links rather than the links.
     """
-    sizes = [BITS // (budget + 1) + (i < BITS % (budget + 1)) for i in range(budget + 1)]
-    starts = np.cumsum([0, *sizes[:-1]]).tolist()
+    blocks = budget + exact
+    sizes = [BITS // blocks + (i < BITS % blocks) for i in range(blocks)]
+    tries = [(*c, *(i for i in range(blocks) if i not in c)) for c in itertools.combinations(range(blocks), exact)]
+    leads = [sum(sizes[i] for i in order[:exact]) for order in tries]
     n = distinct.count()
-    buckets = max(12, -(-n * len(sizes) // BUCKET))
-
-    def turn(k: int):
-        if not starts[k]:
-            return F.col("fp")
-        return F.shiftleft("fp", starts[k]).bitwiseOR(F.shiftrightunsigned("fp", BITS - starts[k]))
+    buckets = max(12, -(-n * len(tries) // BUCKET))
 
-    turned = distinct.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), turn(k).alias("key"), F.shiftrightunsigned(turn(k), BITS - sizes[k]).alias("lead")) for k in range(len(sizes))
-    ])).alias("x")).select("x.k", "x.key", F.pmod(F.xxhash64("x.k", "x.lead"), F.lit(buckets)).cast("int").alias("bucket"))
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            for k, order in enumerate(tries):
+                key = _turned(fp, sizes, order)
+                lead = (key >> np.uint64(BITS - leads[k])) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0xD1342543DE82EF95 % 2**64)
+                yield pd.DataFrame({"k": np.int32(k), "key": key.view(np.int64), "bucket": ((lead >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)})
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         made = [np.zeros((0, 2), dtype=np.int64)]
         for k, part in pdf.groupby("k"):
             keys = np.sort(part["key"].to_numpy(np.int64).view(np.uint64))
-            root = forest(len(keys), trie_links(keys, sizes[k], budget))
+            root = forest(len(keys), trie_links(keys, leads[k], budget))
             far = np.flatnonzero(root != np.arange(len(keys)))
-            back = np.uint64(starts[k])
-            fp = (keys >> back) | (keys << np.uint64(BITS - starts[k])) if starts[k] else keys
+            order = tries[k]
+            fp = _turned(keys, [sizes[i] for i in order], [order.index(i) for i in range(blocks)])
             made.append(np.stack([fp[far].view(np.int64), fp[root[far]].view(np.int64)], axis=1))
         return pd.DataFrame(np.concatenate(made), columns=["u", "v"])
 
-    return turned.groupBy("bucket").applyInPandas(walk, "u long, v long")
+    return distinct.select("fp").mapInPandas(deal, "k int, key long, bucket int").groupBy("bucket").applyInPandas(walk, "u long, v long")
 
 
 def groups(docs: DataFrame, key: str, budget: int = 2) -> DataFrame:
@@ -161,6 +184,119 @@ def groups(docs: DataFrame, key: str, budget: int = 2) -> DataFrame:
     return join_groups(rows, named, ["fp"], "n", rows.count()).drop("n")
 
 
+def _sets(text: Column, words: int) -> Column:
+    """(whole, size, fps): a hash of the set of a text's shingles, its size, and FAMILIES fingerprints of the set of its words."""
+
+    @F.pandas_udf("whole long, size int, fps array<long>")
+    def work(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        out = np.zeros((2 + FAMILIES, len(texts)), dtype=np.uint64)
+        for i, t in enumerate(texts):
+            hs = shingle_hashes(t, words, True)
+            ws = set((t or "").encode("utf-8", "surrogatepass").lower().split())
+            out[:2, i] = xxhash.xxh64_intdigest(hs.tobytes(), 7), len(hs)
+            for f in range(FAMILIES):
+                out[2 + f, i] = majority(np.array([xxhash.xxh64_intdigest(w, 42 + f) for w in ws], dtype="<u8"))
+        return pd.DataFrame({"whole": out[0].view(np.int64), "size": out[1].astype(np.int32), "fps": out[2:].T.copy().view(np.int64).tolist()})
+
+    return work(text)
+
+
+def _alike(words: int, least: float):
+    """Whether two texts' sets of shingles have a Jaccard similarity of `least` or more."""
+
+    @F.pandas_udf("boolean")
+    def work(a: pd.Series, b: pd.Series) -> pd.Series:
+        kept: dict[str, np.ndarray] = {}
+        out = []
+        for x, y in zip(a, b):
+            if y not in kept:
+                kept = {y: shingle_hashes(y, words, True)}
+            x, y = shingle_hashes(x, words, True), kept[y]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    return work
+
+
+def _rest(left: DataFrame, words: int, least: float) -> DataFrame:
+    """All links (u, v) among the texts of each part (whole, size, part, text), for parts of which few texts are alike.
+
+    Two sets of similarity `least` or more share one of the first
+    n - ceil(least * n) + 1 of the n shingles of either, in any common order.
+    Here the part's rarest come first, so texts that only share what all of
+    the part share don't meet.
+    """
+    hashes = F.pandas_udf(lambda texts: pd.Series([shingle_hashes(t, words, True).view(np.int64) for t in texts]), "array<long>")
+    several = left.groupBy("part").agg(F.count("*").alias("members")).where("members > 1").select("part")
+    each = cut(left.join(several, "part").select("whole", "size", "part", F.explode(hashes("text")).alias("h")))
+    each = each.join(each.groupBy("part", "h").agg(F.count("*").alias("held")), ["part", "h"])
+    at = F.row_number().over(Window.partitionBy("whole").orderBy("held", "h"))
+    first = cut(each.withColumn("at", at).where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1) & (F.col("held") > 1)).select("whole", "size", "part", "h"))
+    other = first.select(F.col("whole").alias("v"), F.col("size").alias("its"), "part", "h")
+    fits = F.least("size", "its") >= F.greatest("size", "its") * least - 1e-9
+    pairs = first.join(other, ["part", "h"]).where((F.col("whole") > F.col("v")) & fits).select(F.col("whole").alias("u"), "v").distinct()
+    a, b = (left.select(F.col("whole").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").where(_alike(words, least)("a", "b")).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, key: str, words: int = WORDS, least: float = SIMILAR, budget: int = WIDE) -> DataFrame:
+    """(key, doc_id, root) for every row; rows with the same root form a group of near copies.
+
+    Candidates come from the trie: FAMILIES fingerprints of the texts' sets of
+    words, linked at `budget` bits or fewer in one of them. They are verified by the exact Jaccard
+    similarity of their sets of `words`-word shingles. What links connect is
+    verified in rounds: in each connected part PIVOTS texts, or all if it has
+    no more, are compared with all others; those of similarity `least` or
+    more to one of them are linked to it, and the rest go on to the next of
+    ROUNDS rounds. What is left after these is little alike, and is searched
+    for all its links by shared rare shingles. So a part of many copies costs a
+    number of comparisons for each of its texts, never its pairs. Groups are
+    what these links connect. Texts with the same set of shingles are one; those without
+    words are one group. `key` is a unique long; ids may be null or repeat.
+    """
+    rows = cut(docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _sets(F.col("text"), words).alias("x")).select("key", "doc_id", "x.*"))
+    one = cut(rows.groupBy("whole").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("fps").alias("fps"), F.count("*").alias("n")))
+    near = None
+    for f in range(FAMILIES):
+        named = one.where("size > 0").select(F.col("fps")[f].alias("fp"), "whole")
+        fps = cut(named.groupBy("fp").agg(F.count("*").alias("n")))
+        roots = components(link(fps, budget, 2)).withColumnRenamed("node", "fp")
+        placed = cut(fps.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")))
+        placed = cut(join_groups(named, placed, ["fp"], "n", named.count()).select("whole", "root"))
+        least_of = cut(placed.groupBy("root").agg(F.min("whole").alias("v"), F.count("*").alias("n")).where("n > 1"))
+        edges = join_groups(placed, least_of, ["root"], "n", placed.count()).select(F.col("whole").alias("u"), "v")
+        near = edges if near is None else near.unionByName(edges)
+    placed = cut(one.select("whole", "key", "size").join(components(near).select(F.col("node").alias("whole"), F.col("root").alias("part")), "whole"))
+    left = cut(placed.join(docs.select(F.col(key).alias("key"), "text"), "key").select("whole", "size", "part", "text"))
+    links = None
+    alike = _alike(words, least)
+    for _ in range(ROUNDS):
+        counted = cut(left.groupBy("part").agg(F.count("*").alias("members"), F.array(*[
+            F.min(F.struct(F.xxhash64(F.lit(i), "whole"), F.col("whole")))["whole"] for i in range(PIVOTS)
+        ]).alias("some")).where("members > 1"))
+        everyone = left.join(counted.where(F.col("members") <= PIVOTS).select("part"), "part").groupBy("part").agg(F.collect_list("whole").alias("all"))
+        salts = F.ceil(F.col("members") / SALTED).cast("int").alias("salts")
+        parts = cut(counted.join(everyone, "part", "left").select("part", "members", salts, F.array_distinct(F.coalesce("all", "some")).alias("pivots")))
+        # a large part's pivots are sent to as many tasks as it has thousands of texts
+        named = parts.select("salts", F.explode("pivots").alias("whole"))
+        chosen = left.join(named, "whole").select("part", F.col("whole").alias("pivot"), F.col("size").alias("its"), F.col("text").alias("other"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        dealt = join_groups(left, parts, ["part"], "members", left.count()).withColumn("salt", F.pmod(F.xxhash64("whole"), F.col("salts")).cast("int"))
+        fits = F.least("size", "its") >= F.greatest("size", "its") * least - 1e-9
+        other = ~F.array_contains("pivots", F.col("whole")) | (F.col("whole") > F.col("pivot"))
+        pairs = dealt.join(chosen, ["part", "salt"]).where(other & fits)
+        found = cut(pairs.sortWithinPartitions("part", "pivot").where(alike("text", "other")).select(F.col("whole").alias("u"), F.col("pivot").alias("v")))
+        links = cut(found if links is None else links.unionByName(found))
+        gone = found.select(F.col("u").alias("whole")).unionByName(parts.select(F.explode("pivots").alias("whole"))).distinct()
+        left = cut(left.join(gone, "whole", "left_anti"))
+    links = cut(links.unionByName(_rest(left, words, least)))
+    roots = components(links).withColumnRenamed("node", "whole")
+    named = cut(one.select("whole", "n").join(roots, "whole", "left").select("whole", "n", F.coalesce("root", "whole").alias("root")))
+    return join_groups(rows.select("key", "doc_id", "whole"), named, ["whole"], "n", rows.count()).select("key", "doc_id", "root")
+
+
 def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
     """Fingerprint and component of every row.
 
