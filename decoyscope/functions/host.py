@@ -137,10 +137,10 @@ def redirect_penalty(chain: Column, hops: Column) -> Column:
 
 
 def hosting_class(h: Column) -> Column:
-    """struct(service, risk, type) of the first hosting service whose suffix ends the host, else null."""
+    """struct(service, risk, type) of the first hosting service whose suffix ends the host, or whose part stands in it, else null."""
     found = None
     for name, suffixes, risk, kind in HOSTING_SERVICES:
-        hit = F.exists(strings(suffixes), lambda s: F.endswith(h, s))
+        hit = F.exists(strings([s for s in suffixes if not s.endswith(".")]), lambda s: F.endswith(h, s)) | any_in(h, [s for s in suffixes if s.endswith(".")])
         value = F.struct(F.lit(name).alias("service"), F.lit(risk).alias("risk"), F.lit(kind).alias("type"))
         found = F.when(hit, value) if found is None else found.when(hit, value)
     return found

@@ -42,6 +42,7 @@ JS_REDIRECT = r"window\.location\s*=|window\.location\.href\s*=|window\.location
 JS_FORM = r"\.action\s*=|\.submit\s*\(|setattribute\s*\(\s*['\"]action['\"]"
 JS_KEYS = [r"addeventlistener\s*\(\s*['\"]keypress['\"]", r"addeventlistener\s*\(\s*['\"]keydown['\"]", r"addeventlistener\s*\(\s*['\"]keyup['\"]", r"onkeypress\s*=", r"onkeydown\s*=", r"\.keycode", r"\.key\s*=="]
 # Hosting services by host suffix: name, suffixes, risk, type.
+# A name that ends with a dot may stand anywhere in a host.
 HOSTING_SERVICES = [
     ("ngrok", ["ngrok.io", "ngrok-free.app"], "critical", "tunnel"),
     ("localtunnel", ["loca.lt", "localtunnel.me"], "critical", "tunnel"),
@@ -63,7 +64,7 @@ HOSTING_SERVICES = [
     ("firebase", ["firebaseapp.com", "web.app"], "medium", "hosting"),
     ("bitly", ["bit.ly", "bitly.com"], "high", "shortener"),
     ("tinyurl", ["tinyurl.com"], "high", "shortener"),
-    ("rebrandly", ["rebrandly.com"], "high", "shortener"),
+    ("rebrandly", ["rebrandly.com", "link."], "high", "shortener"),
     ("wix", ["wixsite.com", "wix.com"], "medium", "builder"),
     ("weebly", ["weebly.com"], "medium", "builder"),
     ("wordpress-com", ["wordpress.com"], "low", "builder"),
@@ -71,3 +72,32 @@ HOSTING_SERVICES = [
     ("infinityfree", ["infinityfreeapp.com"], "high", "free-hosting"),
     ("000webhost", ["000webhostapp.com"], "high", "free-hosting"),
 ]
+# Endings that the first and the third pass of lookalike variants draw on (G3).
+COMMON_TLDS = [
+    "com", "net", "org", "info", "online", "app", "site", "xyz", "shop", "top", "io", "co", "me", "live", "click", "help", "link", "store", "pro",
+    "buzz", "cloud", "dev", "world", "vip", "loans", "finance", "money", "credit", "services", "support", "center", "global", "group", "tech",
+    "digital", "secure", "bank", "life", "today", "now", "biz", "name", "mobi", "email", "news", "work", "company", "solutions", "network", "systems",
+    "consulting", "capital", "ventures", "holdings", "partners", "associates",
+]
+# Endings of the second pass (G3).
+REGIONAL_TLDS = [
+    "in", "co.in", "gov.in", "nic.in", "ac.in", "res.in", "net.in", "org.in", "ind.in", "firm.in", "gen.in", "edu.in", "mil.in", "sbi", "bharat",
+    "এভারত", "ভারত", "ਭਾਰਤ", "ભારત", "ଭାରତ", "భారత్", "ಭಾರತ", "ഭാരതം", "இந்தியா", "بھارت",
+]
+# Words of the third pass (G3).
+RISK_WORDS = [
+    "secure", "verify", "login", "signin", "update", "alert", "confirm", "customer", "support", "official", "security", "blocked", "suspended",
+    "expired", "renewal", "activate", "validation", "authenticate", "unlock", "restore", "recover", "reset", "helpdesk", "helpline", "service",
+    "assistance", "urgent", "action", "required", "important", "notice", "notification", "warning", "critical", "immediate", "temporary", "emergency",
+    "lockout", "frozen", "restricted", "limited", "pending", "awaiting", "processing", "verification", "protected", "safeguard", "certified",
+    "validated", "authorized", "genuine", "authentic", "legitimate", "trusted", "verified", "approved", "registered", "validated", "customer-care",
+    "toll-free", "helpline-number", "contact-us", "reach-us", "call-now", "click-here", "update-now", "verify-now", "login-here", "secure-login",
+    "net-banking", "internet-banking", "mobile-banking", "online-banking", "e-banking", "digital-banking", "web-banking",
+]
+# The declarative rules for parked pages (H13): patterns of titles, names of parking firms, their hosts, patterns of bodies,
+# characters of a body that count, and rules from which a page counts as parked.
+PARKING_RULE_TITLES = [r"\b(domain|this domain) (is )?for sale\b", r"\b(domain parked|parked domain)\b", r"\bbuy this domain\b"]
+PARKING_RULE_BRANDS = [r"\bsedo\b", r"\bparkingcrew\b", r"\bbodis\b", r"\bafternic\b", r"\buniregistry\b", r"\bdan\.com\b", r"\bhugedomains\b"]
+PARKING_RULE_HOSTS = ["sedo.com", "parkingcrew.net", "bodis.com", "afternic.com", "dan.com", "hugedomains.com"]
+PARKING_RULE_HINTS = [r"This domain is for sale", r"Buy now on", r"Make an offer"]
+PARKING_RULE_CHARS, PARKING_RULE_LEAST = 50_000, 3

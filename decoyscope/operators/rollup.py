@@ -116,3 +116,18 @@ def parked_insights(rows: DataFrame, domain: str, ts: str, verdict: str, tie: st
     return rows.groupBy(domain).agg(
         F.min(F.when(F.col(verdict) == "parked", F.col(ts))).alias("first_parked"),
         F.max_by(verdict, F.struct(ts, tie)).alias("last_verdict"))
+
+
+#: Relative ranges of the dashboards and their minutes.
+RANGES = {"5m": 5, "30m": 30, "1h": 60, "24h": 1440}
+
+
+def in_range(ts: Column, as_of: Column, name: str) -> Column:
+    """Whether `ts` lies in the range `name` (5m, 30m, 1h, 24h) that ends with `as_of`."""
+    return (ts > as_of - F.make_dt_interval(mins=F.lit(RANGES[name]))) & (ts <= as_of)
+
+
+def range_counts(rows: DataFrame, ts: str, as_of: Column) -> DataFrame:
+    """(range, n): rows in each relative range, counted in one pass."""
+    counts = F.array(*[F.struct(F.lit(k).alias("range"), F.count_if(in_range(F.col(ts), as_of, k)).alias("n")) for k in RANGES])
+    return rows.agg(counts.alias("xs")).select(F.explode("xs").alias("x")).select("x.*")

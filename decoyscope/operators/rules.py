@@ -298,3 +298,14 @@ def merged(scored: DataFrame, chain: Column, summary: Column, penalty: Column) -
 def category_sums(scored: DataFrame, key: str) -> DataFrame:
     """(key, category, points), a row for each category of each record."""
     return scored.select(key, F.explode("categories").alias("category", "points"))
+
+
+def category_columns(scored: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:
+    """A row per record and a column cat_<name> per category, null where a record has none.
+
+    Without `names` the categories are those that occur; there are as many as
+    kinds of rules, never as many as records.
+    """
+    rows = category_sums(scored, key)
+    wide = rows.groupBy(key).pivot("category", names).agg(F.sum("points")) if names else rows.groupBy(key).pivot("category").agg(F.sum("points"))
+    return wide.select(key, *[F.col(f"`{c}`").alias(f"cat_{c}") for c in wide.columns if c != key])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decoyscope.functions.terms import COMMON_TLDS, REGIONAL_TLDS, RISK_WORDS
 from decoyscope.functions.text import strings
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -12,8 +13,12 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 VOWELS = "aeiou"
 HOMOGLYPHS = {"a": "4", "b": "d6", "c": "e", "d": "bc", "e": "3c", "g": "q9", "i": "1l", "l": "1i", "m": "n", "n": "mr", "o": "0", "q": "g", "s": "5", "u": "v", "v": "u", "z": "2"}
 NEIGHBOURS = {"q": "wa", "w": "qe", "e": "wr", "r": "et", "t": "ry", "y": "tu", "u": "yi", "i": "uo", "o": "ip", "p": "ol", "a": "sq", "s": "ad", "d": "sf", "f": "dg", "g": "fh", "h": "gj", "j": "hk", "k": "jl", "l": "ko", "z": "xa", "x": "zc", "c": "xv", "v": "cb", "b": "vn", "n": "bm", "m": "nk"}
-#: Pass -> (families, what the families tld-swap and dictionary draw on).
-PASSES = {"PASS_A": ("addition bitsquatting homoglyph hyphenation insertion omission repetition replacement subdomain transposition vowel-swap tld-swap".split(), "common"), "PASS_B": (["tld-swap"], "regional"), "PASS_C": (["dictionary"], "words")}
+#: Pass -> (families, endings, words). Fixed values.
+PASSES = {
+    "PASS_A": ("addition bitsquatting homoglyph hyphenation insertion omission repetition replacement subdomain transposition vowel-swap dictionary tld-swap".split(), COMMON_TLDS, []),
+    "PASS_B": ("homoglyph transposition insertion omission replacement addition dictionary tld-swap".split(), REGIONAL_TLDS, []),
+    "PASS_C": ("dictionary tld-swap addition replacement".split(), COMMON_TLDS, RISK_WORDS),
+}
 
 
 def _at(c: Column, start: int, to) -> Column:
@@ -55,7 +60,7 @@ def _named(family: str, hosts: Column) -> Column:
     return F.transform(hosts, lambda v: F.struct(F.lit(family).alias("fuzzer"), v.alias("fqdn")))
 
 
-def generate(seeds: DataFrame, passes: dict[str, tuple[list[str], list[str], list[str]]]) -> DataFrame:
+def generate(seeds: DataFrame, passes: dict[str, tuple[list[str], list[str], list[str]]] = PASSES) -> DataFrame:
     """(seed, fqdn, fuzzer, pass) of all passes; a variant equal to its seed is left out.
 
     seeds: label, tld. passes: name -> (families, tlds, words). A variant may

@@ -119,3 +119,13 @@ def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookalike_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lookalikes take mail, are active, are parked."""
     return rollup.lookalike_summary(_verdicts(spark, sf_dir).withColumn("mx", F.when(F.col("event_id") % 3 > 0, F.array(F.lit("mx")))))
+
+
+@query("""
+WITH n AS (SELECT max(ts) AS t FROM events)
+SELECT k AS range, count(*) FILTER (ts > t - to_minutes(m) AND ts <= t) AS n FROM events, n, (VALUES ('5m', 5), ('30m', 30), ('1h', 60), ('24h', 1440)) r(k, m) GROUP BY k""")
+def recent_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in each relative range that ends with the newest."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = e.agg(F.max("ts").alias("newest"))  # one row
+    return rollup.range_counts(e.crossJoin(F.broadcast(newest)), "ts", F.col("newest"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,15 @@ def predicate_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", F.when(F.col("c_nationkey") == 3, "pairs").alias("pairs"), F.when(tree, "tree").alias("tree"))
 
 
+@query("""
+SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 2, 3) AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AND c_acctbal < 5000 OR c_custkey = 7 OR c_acctbal <= -900 AND c_nationkey > 5""")
+def predicate_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each of the comparison operators helps to find."""
+    few = {"c_nationkey": {"$in": [1, 2, 3]}, "c_mktsegment": {"$nin": ["BUILDING", "MACHINERY"]}, "c_acctbal": {"$lt": 5000}}
+    tree = {"$or": [few, {"c_custkey": {"$eq": 7}}, {"$and": [{"c_acctbal": {"$lte": -900}}, {"c_nationkey": {"$gt": 5}}]}]}
+    return table(spark, sf_dir, "customer").where(search.where_tree(tree)).select("c_custkey")
+
+
 @query("""
 WITH h AS (SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00012'))
 SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY c_custkey DESC LIMIT 100""")
@@ -183,10 +193,11 @@ def time_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; one of this machine's only where that isn't set and tasks run here alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base}/scratch_{uuid.uuid4().hex}"
 
@@ -223,3 +234,12 @@ def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, other = S.split_collections(rows)
     both = own.select(F.lit("originals").alias("collection")).unionByName(other.select(F.lit("variants").alias("collection")))
     return both.groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'c' || c_custkey AS id, c_name AS document, c_mktsegment AS segment, c_acctbal > 0 AS solvent FROM customer")
+def whole_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored collection read as a whole: id, document and the rest as metadata."""
+    at = _scratch(spark)
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("document"), "c_mktsegment", (F.col("c_acctbal") > 0).alias("solvent"))
+    rows.write.parquet(at)
+    return S.fetch_all(spark, at).select("id", "document", F.col("metadata.c_mktsegment").alias("segment"), "metadata.solvent")

@@ -101,11 +101,62 @@ def lookalike_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(made, ["seed", "fqdn"], "left").select("seed", "fqdn", "fuzzer", "pass", F.coalesce(F.array_join("reasons", ","), F.lit("")).alias("reasons"), "is_original_seed")
 
 
-@query()
+def _values(pairs: dict[str, str]) -> str:
+    """(ch, y): a row for each character and each that may take its place."""
+    rows = ", ".join(f"('{c}', '{y}')" for c, ys in pairs.items() for y in ys)
+    return f"(VALUES {rows}) x(ch, y)"
+
+
+def _sql_list(items: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]::VARCHAR[]"
+
+
+def _family_sql(name: str, tlds: list[str], words: list[str]) -> str:
+    """SELECT label, fqdn of one family over s (label), every seed being label.com."""
+    at = lambda first: f"s, unnest(range({first}, length(label) + 1)) t(i)"
+    changed = lambda table, keep="": f"SELECT label, left(label, i - 1) || y{keep} || label[i + 1:] || '.com' AS fqdn FROM {at(1)} JOIN {table} ON ch = label[i]"
+    letters = f"unnest(string_split('{variants.LETTERS}', '')) z(c)"
+    squat = f"(SELECT c AS ch, chr(xor(ascii(c), CAST(1 << b AS INTEGER))) AS y FROM {letters}, unnest(range(0, 7)) w(b) WHERE contains('{variants.LETTERS}-', chr(xor(ascii(c), CAST(1 << b AS INTEGER))))) x"
+    return {
+        "addition": f"SELECT label, label || c || '.com' AS fqdn FROM s, {letters}",
+        "bitsquatting": changed(squat),
+        "homoglyph": changed(_values(variants.HOMOGLYPHS)),
+        "hyphenation": f"SELECT label, left(label, i - 1) || '-' || label[i:] || '.com' AS fqdn FROM {at(2)}",
+        "insertion": changed(_values(variants.NEIGHBOURS), " || label[i]"),
+        "omission": f"SELECT label, left(label, i - 1) || label[i + 1:] || '.com' AS fqdn FROM {at(1)}",
+        "repetition": f"SELECT label, left(label, i) || label[i:] || '.com' AS fqdn FROM {at(1)}",
+        "replacement": changed(_values(variants.NEIGHBOURS)),
+        "subdomain": f"SELECT label, left(label, i - 1) || '.' || label[i:] || '.com' AS fqdn FROM {at(2)}",
+        "transposition": f"SELECT label, left(label, i - 2) || label[i] || label[i - 1] || label[i + 1:] || '.com' AS fqdn FROM {at(2)}",
+        "vowel-swap": changed(_values({v: variants.VOWELS for v in variants.VOWELS})),
+        "dictionary": f"SELECT label, unnest([label || '-' || w, label || w, w || '-' || label, w || label]) || '.com' AS fqdn FROM s, unnest({_sql_list(words)}) t(w)",
+        "tld-swap": f"SELECT label, label || '.' || x AS fqdn FROM s, unnest({_sql_list(tlds)}) t(x)",
+    }[name]
+
+
+def _passes_sql(passes: dict) -> str:
+    """v: seed, fqdn, fuzzer, pass of all passes."""
+    parts = [f"SELECT *, '{name}' AS fuzzer, '{label}' AS pass FROM ({_family_sql(name, tlds, words)}) q" for label, (names, tlds, words) in passes.items() for name in names]
+    return f"""s AS ({_SEEDS}), v AS (SELECT DISTINCT label || '.com' AS seed, fqdn, fuzzer, pass FROM ({" UNION ALL ".join(parts)}) q
+  WHERE fqdn <> label || '.com' AND NOT regexp_matches(fqdn, '(^|\\.)-|-(\\.|$)|\\.\\.|^\\.'))"""
+
+
+_ALL = {"PASS_A": (variants.PASSES["PASS_A"][0], _TLDS, _WORDS)}
+
+
+@query(f"WITH {_passes_sql(_ALL)} SELECT * FROM v")
 def all_variant_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every family over every seed."""
-    wanted = list(variants.families(F.lit("a"), F.lit("b"), [], []))
-    return variants.generate(_seeds(spark, sf_dir), {"PASS_A": (wanted, _TLDS, _WORDS)})
+    return variants.generate(_seeds(spark, sf_dir), _ALL)
+
+
+@query(f"""
+WITH {_passes_sql(variants.PASSES)}
+SELECT seed, fqdn, arg_min(fuzzer, pass || fuzzer) AS fuzzer, min(pass) AS pass, array_to_string(list_sort(list_distinct(list(pass))), ',') AS reasons FROM v GROUP BY seed, fqdn""")
+def three_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three passes with their own families, endings and words, each lookalike once."""
+    made = variants.first_pass(variants.generate(_seeds(spark, sf_dir)))
+    return made.withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("""
@@ -190,3 +241,31 @@ def topic_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "supplier").select(F.lit("raw.hosts").alias("topic"), F.col("s_nationkey").alias("key"), F.col("s_name").alias("name"))
     b = table(spark, sf_dir, "customer").select(F.lit("domains.candidates").alias("topic"), F.col("c_nationkey").alias("key"))
     return a.unionByName(b, allowMissingColumns=True).groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE 'ct' END AS src, CASE WHEN c_custkey % 3 = 0 THEN CAST(1704067200 AS BIGINT) ELSE CAST(c_custkey AS BIGINT) END AS observed_at,
+  'h' || c_custkey || '.com' AS canonical_fqdn, CAST(c_custkey % 7 = 0 AS INTEGER) AS reasons, coalesce(c_custkey % 4 = 0, FALSE) AS is_original_seed, 8 AS width FROM customer""")
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in their fixed columns with defaults, without heavy ones."""
+    k = F.col("c_custkey")
+    raw = table(spark, sf_dir, "customer").select(
+        F.when(k % 5 > 0, "ct").alias("src"), F.when(k % 3 > 0, k.cast("long")).alias("observed_at"), F.concat(F.lit("h"), k.cast("string"), F.lit(".com")).alias("canonical_fqdn"),
+        F.lit("x.com").alias("registrable"), k.cast("string").alias("cse_id"), F.lit(None).cast("string").alias("seed_registrable"),
+        F.when(k % 7 == 0, F.array(F.lit("seed"))).alias("reasons"), F.when(k % 4 == 0, True).alias("is_original_seed"), F.lit("<html>").alias("html"), F.lit("x").alias("screenshot"))
+    light = route.drop_heavy(raw)
+    made = route.candidate(light, F.lit(1704067200).cast("long"))
+    width = len(made.columns) + len({"html", "screenshot"} & set(light.columns))
+    return made.select(F.col("cse_id").cast("long").alias("c_custkey"), "src", "observed_at", "canonical_fqdn", F.size("reasons").alias("reasons"), "is_original_seed", F.lit(width).alias("width"))
+
+
+@query("""
+WITH h AS (SELECT s_suppkey, 'h' || s_suppkey AS fqdn, CASE s_suppkey % 3 WHEN 0 THEN 'dnstwist' WHEN 1 THEN 'ct' END AS src, CAST(s_suppkey % 4 = 0 AS INTEGER) AS n FROM supplier)
+SELECT s_suppkey, fqdn, src FROM h WHERE (src IS NULL OR src <> 'dnstwist') AND n > 0""")
+def seed_mode_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts with a reason, as the `seed` mode keeps them, without a source's own rows."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.concat(F.lit("h"), k.cast("string")).alias("fqdn"), F.when(k % 3 == 0, "dnstwist").when(k % 3 == 1, "ct").alias("src"),
+        F.when(k % 4 == 0, F.array(F.lit("seed:registrable:eq"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
+    return route.match_mode(route.not_from(rows)).select("s_suppkey", "fqdn", "src")

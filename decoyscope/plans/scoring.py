@@ -89,22 +89,34 @@ def scored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("k", "verdict", "score", "confidence", "monitor_until")
 
 
-@query(f"""
-WITH {SQL_SCORED},
+_SQL_CATEGORIES = f"""
 c AS (
   SELECT k, 'whois' AS category, {SQL_POINTS['registration']} AS points FROM v WHERE verdict <> 'parked'
   UNION ALL SELECT k, 'impersonation', impersonation FROM v WHERE verdict <> 'parked'
   UNION ALL SELECT k, 'ssl', certificate FROM v WHERE verdict <> 'parked'
   UNION ALL SELECT k, 'temporal', temporal FROM v WHERE verdict <> 'parked'
   UNION ALL SELECT k, 'behavior', behaviour FROM v WHERE verdict <> 'parked'
-  UNION ALL SELECT k, 'parked', sure FROM v WHERE verdict = 'parked')
-SELECT category, count(*) AS records, CAST(sum(points) AS BIGINT) AS points FROM c WHERE points > 0 GROUP BY category""")
+  UNION ALL SELECT k, 'parked', sure FROM v WHERE verdict = 'parked')"""
+_CATEGORIES = ["whois", "impersonation", "ssl", "temporal", "behavior", "parked"]
+
+
+@query(f"WITH {SQL_SCORED}, {_SQL_CATEGORIES} SELECT category, count(*) AS records, CAST(sum(points) AS BIGINT) AS points FROM c WHERE points > 0 GROUP BY category")
 def category_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points by rule category, for categories that one group fills."""
-    rows = rules.category_sums(_scored(spark, sf_dir), "k").where(F.col("category").isin("whois", "impersonation", "ssl", "temporal", "behavior", "parked"))
+    rows = rules.category_sums(_scored(spark, sf_dir), "k").where(F.col("category").isin(_CATEGORIES))
     return rows.groupBy("category").agg(F.count("*").alias("records"), F.sum("points").alias("points"))
 
 
+@query(f"""
+WITH {SQL_SCORED}, {_SQL_CATEGORIES}
+SELECT k, {", ".join(f"CAST(sum(points) FILTER (category = '{x}') AS BIGINT) AS cat_{x}" for x in ("whois", "impersonation", "ssl", "temporal", "behavior", "parked"))}
+FROM c WHERE points > 0 GROUP BY k""")
+def category_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of each record with a column per category."""
+    wide = rules.category_columns(_scored(spark, sf_dir), "k", _CATEGORIES)
+    return wide.where(F.coalesce(*[f"cat_{x}" for x in _CATEGORIES]).isNotNull())
+
+
 @query(f"""
 WITH {SQL_SCORED},
 m AS (SELECT *, k % 3 AS hops, k % 3 * 10 + CASE WHEN k % 3 > 0 THEN 15 ELSE 0 END AS penalty FROM s)

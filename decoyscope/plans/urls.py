@@ -216,13 +216,13 @@ def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH h AS (SELECT page_id, {HOST} AS host, page_id % 4 AS k FROM pages),
-c AS (SELECT page_id, CASE k WHEN 0 THEN host WHEN 1 THEN host || '.vercel.app' WHEN 2 THEN 'x.' || host || '.bit.ly' ELSE 'a.ngrok.io' END AS host, k FROM h)
-SELECT coalesce(CASE k WHEN 1 THEN 'vercel' WHEN 2 THEN 'bitly' WHEN 3 THEN 'ngrok' END, 'none') AS service,
-  coalesce(CASE k WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' END, 'none') AS risk, count(*) AS n FROM c GROUP BY ALL""")
+c AS (SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 4 ELSE k END AS k FROM h)
+SELECT coalesce(CASE k WHEN 1 THEN 'vercel' WHEN 2 THEN 'bitly' WHEN 3 THEN 'ngrok' WHEN 4 THEN 'rebrandly' END, 'none') AS service,
+  coalesce(CASE k WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' WHEN 4 THEN 'high' END, 'none') AS risk, count(*) AS n FROM c GROUP BY ALL""")
 def hosting_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts by hosting service."""
     h, k = H.url_host(F.col("url")), F.col("page_id") % 4
-    host = F.when(k == 0, h).when(k == 1, F.concat(h, F.lit(".vercel.app"))).when(k == 2, F.concat(F.lit("x."), h, F.lit(".bit.ly"))).otherwise("a.ngrok.io")
+    host = F.when(F.col("page_id") % 5 == 4, F.concat(F.lit("link."), h)).when(k == 0, h).when(k == 1, F.concat(h, F.lit(".vercel.app"))).when(k == 2, F.concat(F.lit("x."), h, F.lit(".bit.ly"))).otherwise("a.ngrok.io")
     df = table(spark, sf_dir, "pages").select(host.alias("host")).withColumn("c", H.hosting_class(F.col("host")))
     return df.groupBy(F.coalesce("c.service", F.lit("none")).alias("service"), F.coalesce("c.risk", F.lit("none")).alias("risk")).agg(F.count("*").alias("n"))
 
