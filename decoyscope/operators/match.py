@@ -9,7 +9,6 @@ from decoyscope.functions.host import left_label
 from decoyscope.functions.terms import GENERIC_TOKENS, NOISE_LABELS
 
 #: Rows of a token table up to which it is broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def is_noise(host: Column) -> Column:

@@ -68,12 +68,17 @@ def image_text_rollup(images: DataFrame, brands: list[str], urgent: list[str], p
 
 
 def top_words(docs: DataFrame, key: str, text: str, stop: list[str], n: int = 20) -> DataFrame:
-    """(key, word, count, rank) of the `n` most frequent words of 3 letters or more; ties by first appearance."""
-    whole = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike("^[a-z]{3,}$"))
-    words = F.filter(F.transform(whole, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: ~x["word"].isin(stop))
-    counted = docs.select(key, F.explode(words).alias("x")).groupBy(key, "x.word").agg(F.count("*").alias("count"), F.min("x.at").alias("at"))
-    w = Window.partitionBy(key).orderBy(F.desc("count"), "at")
-    return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(key, "word", "count", "rank")
+    """(key, word, count, rank) of the `n` most frequent words of 3 letters or more; ties by first appearance.
+
+    Words are counted per row before they are shuffled; a row's distinct words
+    are ordered in one array, without a sort of all rows.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
+    each = docs.select(key, F.posexplode(words).alias("at", "word")).where(~F.col("word").isin(stop))
+    counted = each.groupBy(key, "word").agg(F.count("*").alias("count"), F.min("at").alias("at"))
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "at", "word"))), 1, n)
+    return counted.groupBy(key).agg(ordered.alias("xs")).select(key, F.posexplode("xs").alias("rank", "x")).select(
+        key, "x.word", (-F.col("x.n")).alias("count"), (F.col("rank") + 1).alias("rank"))
 
 
 def dashboard(scored: DataFrame) -> DataFrame:
@@ -105,9 +110,12 @@ def risk_matrix(rows: DataFrame, sector: str, score: str) -> DataFrame:
     return rows.groupBy(sector).agg(F.count_if(s < 40).alias("low"), F.count_if((s >= 40) & (s < 70)).alias("medium"), F.count_if(s >= 70).alias("high"))
 
 
-def category_shares(rows: DataFrame, category: str, member: str) -> DataFrame:
-    """Percentage of each category and its members; members are few per category."""
-    per = rows.groupBy(category).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(member)), ",").alias("members"))
+def category_shares(rows: DataFrame, category: str, member: str, most: int = 1000) -> DataFrame:
+    """Percentage of each category and its members, the first `most` in order by name; all rows count."""
+    pairs = rows.groupBy(category, member).agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy(category).orderBy(F.col(member).isNull(), member))
+    named = F.when((F.col("at") <= most) & F.col(member).isNotNull(), F.col(member))
+    per = pairs.withColumn("at", at).groupBy(category).agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(named)), ",").alias("members"))
     total = rows.agg(F.count("*").alias("_total"))
     return per.crossJoin(F.broadcast(total)).select(category, "n", F.round(100.0 * F.col("n") / F.col("_total"), 2).alias("share"), "members")  # one row
 

@@ -223,7 +223,7 @@ def upserted_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = F.lit("2024-01-16").cast("timestamp_ntz")
     S.upsert(spark, at, e.where(F.col("at.ts") < middle), "user_id", "at", 0)
     last = S.upsert(spark, at, e.where(F.col("at.ts") >= middle), "user_id", "at", 1, merge=False)
-    return spark.read.parquet(last).select("user_id", "event_id", "value")
+    return S.collection(spark, at, last).select("user_id", "event_id", "value")
 
 
 @query("SELECT 'originals' AS collection, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'variants', count(*) FROM customer WHERE c_custkey % 3 <> 0")

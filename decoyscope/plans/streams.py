@@ -7,23 +7,29 @@ from pyspark.sql import functions as F
 
 from decoyscope.plans.history import _scratch
 from decoyscope.plans.registry import ORACLES, query
+from decoyscope.sources.records import collection
 from decoyscope.streaming import state
 
+#: Files that a micro-batch reads.
+FILES = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     batch = spark.read.parquet(path)
-    reader = spark.readStream.schema(batch.schema)
+    reader = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", FILES)
     if all(f.endswith("/events.parquet") for f in batch.inputFiles()):  # one file, where a stream wants a folder
         reader, path = reader.option("pathGlobFilter", "events.parquet"), sf_dir
     return reader.parquet(path).withColumns({
         "ts": F.col("ts").cast("timestamp"), "at": F.unix_micros(F.col("ts").cast("timestamp"))})
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream until its source is read and returns what it wrote to the shared folder."""
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append", key: str | None = None) -> DataFrame:
+    """Runs a stream until its source is read and returns what it wrote to the shared folder.
+
+    In update mode a key comes out in every batch that changes it; its last row is returned.
+    """
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ROCKS)
@@ -36,7 +42,10 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Dat
         run.awaitTermination()
     finally:
         spark.conf.set(name, before)
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    every = spark.read.schema(stream.schema.add("n", "long")).parquet(f"{at}/out")
+    return every.groupBy(key).agg(F.max_by(F.struct(*[c for c in stream.columns if c != key]), "n").alias("x")).select(key, "x.*")
 
 
 @query(ORACLES["first_seen"])
@@ -57,7 +66,7 @@ def stream_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest parts with keyed state, without expiry."""
     t = F.col("event_type")
     rows = _events(spark, sf_dir).withColumn("kind", F.when(t == "click", "domain").when(t == "view", "http").when(t == "purchase", "features"))
-    out = drained(spark, state.fuse(rows, "user_id", ["domain", "http", "features"], idle_seconds=None), "update")
+    out = drained(spark, state.fuse(rows, "user_id", ["domain", "http", "features"], idle_seconds=None), "update", "k")
     return out.select(F.col("k").alias("user_id"), "domain", "http", "features")
 
 
@@ -65,7 +74,7 @@ def stream_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each url and status of a seed counted once."""
     rows = _events(spark, sf_dir).select("user_id", (F.col("event_id") % 50).alias("url"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), "ts")
-    return drained(spark, state.progress(rows, "user_id", "url", "90 days", "ts"), "update").select("user_id", "crawled", "failed")
+    return drained(spark, state.progress(rows, "user_id", "url", "90 days", "ts"), "update", "user_id").select("user_id", "crawled", "failed")
 
 
 @query("""
@@ -75,3 +84,13 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per closed window of six hours."""
     out = drained(spark, state.windowed_verdicts(_events(spark, sf_dir), "ts", "event_type", "6 hours"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query(ORACLES["upserted_collection"])
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events put into a keyed collection batch by batch."""
+    at = _scratch(spark)
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"))
+    run = state.upsert_stream(rows, f"{at}/kept", "user_id", "at", f"{at}/log", merge=False, drain=True)
+    run.awaitTermination()
+    return collection(spark, f"{at}/kept", run.lastProgress["batchId"]).select("user_id", "event_id", "value")

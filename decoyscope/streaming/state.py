@@ -1,4 +1,8 @@
-"""Keyed state over streams: dedup, recheck, fusion, retries, progress."""
+"""Keyed state over streams: dedup, recheck, fusion, retries, progress.
+
+A key's rows of one micro-batch are ordered in one task; a source's
+maxFilesPerTrigger or maxBytesPerTrigger bounds how many these can be.
+"""
 
 from __future__ import annotations
 
@@ -82,6 +86,7 @@ class Recheck(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
         for pdf in rows:
+            pdf = pdf.sort_values("at")
             for at, due in zip(pdf["at"], pdf["due"]):
                 out += self._due(key, int(at))
                 if pd.notna(due):
@@ -228,8 +233,9 @@ def windowed_verdicts(rows: DataFrame, ts: str, kind: str, size: str = "1 hour",
     return rows.withWatermark(ts, delay).groupBy(w.alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
 
 
-def upsert_stream(rows: DataFrame, path: str, key: str, ts: str, checkpoint: str):
-    """Micro-batch upsert: batch n writes snapshot n of the collection at `path`, again the same if it is repeated."""
+def upsert_stream(rows: DataFrame, path: str, key: str, ts: str, checkpoint: str, merge: bool = True, drain: bool = False):
+    """Micro-batch upsert: batch n writes version n of the collection at `path`, again the same if it is repeated; `drain` ends with the source."""
     from decoyscope.sources.records import upsert
 
-    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: upsert(df.sparkSession, path, df, key, ts, n)).start()
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: upsert(df.sparkSession, path, df, key, ts, n, merge))
+    return (writer.trigger(availableNow=True) if drain else writer).start()

@@ -126,3 +126,75 @@ def test_active_rechecks():
     assert pd.concat(list(p.handleExpiredTimer(("d",), None, At(10_000)))).recheck.tolist() == [1]
     assert feed(11, 20) == [] and feed(19) == [] and feed(20) == [2]
     assert feed(21, 30) == [] and feed(40) == [3] and feed(50) == []
+
+
+def live(spark, tmp_path, df, mode, feeds, done, seconds=90):
+    """Runs a stream by the clock: `feeds` are (seconds to wait, rows) written one after the other; ends when done(rows) holds."""
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    seen = []
+    run = df.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "log")).trigger(processingTime="500 milliseconds").foreachBatch(lambda x, n: seen.extend(r.asDict() for r in x.collect())).start()
+    try:
+        for i, (wait, rows) in enumerate(feeds):
+            if wait:
+                time.sleep(wait)
+            before = len(seen)
+            (tmp_path / "in" / f".{i}").write_text("".join(json.dumps(r) + "\n" for r in rows))
+            (tmp_path / "in" / f".{i}").rename(tmp_path / "in" / f"{i}.json")
+            until = time.time() + seconds
+            while mode == "update" and len(seen) == before and time.time() < until:
+                time.sleep(0.2)
+        until = time.time() + seconds
+        while not done(seen) and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        run.stop()
+    return seen
+
+
+def test_active_rechecks_in_a_stream(spark, tmp_path):
+    """Timers fire by the clock; a key's own later rows trigger what is due, too."""
+    import time
+
+    (tmp_path / "in").mkdir()
+    now = int(time.time())
+    df = spark.readStream.schema("domain string, at long, due long").json(str(tmp_path / "in"))
+    row = lambda d, at, due=None: {"domain": d, "at": at, "due": due}
+    feeds = [(0, [row("a", now, now + 1), row("b", now + 5000, None), row("b", now, now + 4000), row("c", now)]), (1, [row("b", now + 6000, now + 9000)]), (1, [row("b", now + 9000)])]
+    seen = live(spark, tmp_path, state.recheck(df), "append", feeds, lambda rows: len(rows) >= 3)
+    assert {(r["domain"], r["due"], r["recheck"], r["reason"]) for r in seen} == {("a", now + 1, 1, "Re-check #1"), ("b", now + 4000, 1, "Re-check #1"), ("b", now + 9000, 2, "Re-check #2")}
+
+
+def test_idle_parts_are_evicted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    df = spark.readStream.schema("k string, kind string, at long, event_id long, value double").json(str(tmp_path / "in"))
+    row = lambda k, kind, at, v: {"k": k, "kind": kind, "at": at, "event_id": at, "value": v}
+    feeds = [(0, [row("a", "domain", 1, 1.0)]), (8, [row("a", "http", 2, 2.0)]), (0, [row("a", "domain", 3, 3.0)])]
+    seen = live(spark, tmp_path, state.fuse(df, "k", ["domain", "http"], idle_seconds=5), "update", feeds, lambda rows: len(rows) >= 3)
+    none = lambda v: None if v is None or v != v else v
+    # the domain part of the first batch is gone when the second comes, its http part is there in the third
+    assert [(none(r["domain"]), none(r["http"])) for r in seen] == [(1.0, None), (None, 2.0), (3.0, 2.0)]
+
+
+def test_micro_batches_upsert(spark, tmp_path):
+    groups = [[{"id": 1, "x": "a", "ts": 1}, {"id": 2, "x": "b", "ts": 1}], [{"id": 2, "x": "c", "ts": 2}], [{"id": 3, "x": "d", "ts": 3}, {"id": 3, "x": "e", "ts": 4}], [{"id": 1, "x": None, "ts": 5}], [{"id": 4, "x": "f", "ts": 6}]]
+    df = batches(spark, tmp_path, "id long, x string, ts long", groups)
+    at = f"file://{tmp_path}/kept"
+    state.upsert_stream(df, at, "id", "ts", str(tmp_path / "log"), drain=True).awaitTermination(120)
+    rows = lambda v: sorted((r.id, r.x, r.ts) for r in S.collection(spark, at, v).collect())
+    assert rows(4) == [(1, "a", 5), (2, "c", 2), (3, "e", 4), (4, "f", 6)] and rows(3) == rows(4)[:3]
+    again = S.upsert(spark, at, spark.createDataFrame([(4, "f", 6)], "id long, x string, ts long"), "id", "ts", 4)
+    assert rows(again) == [(1, "a", 5), (2, "c", 2), (3, "e", 4), (4, "f", 6)]
+    assert sorted(p.name for p in (tmp_path / "kept" / "manifest").iterdir()) == ["v=2", "v=3", "v=4"]
+
+
+@pytest.mark.parametrize("how,want", [({"size": "10 minutes", "slide": "5 minutes"}, {(-5, "x", 1), (0, "x", 2), (5, "x", 1)}), ({"gap": "4 minutes"}, {(1, "x", 1), (6, "x", 1)})])
+def test_sliding_and_session_windows(spark, tmp_path, how, want):
+    at = lambda m: f"2024-01-01T{m // 60:02d}:{m % 60:02d}:00Z"
+    row = lambda m: {"ts": at(m), "verdict": "x"}
+    df = batches(spark, tmp_path, "ts timestamp, verdict string", [[row(1), row(6)], [row(200)], [row(400)]])
+    got = run(spark, tmp_path, state.windowed_verdicts(df, "ts", "verdict", delay="1 minute", **how))
+    zero = 1_704_067_200
+    early = {((int(r.start.timestamp()) - zero) // 60, r.verdict, r.n) for r in got if r.start.timestamp() < zero + 3600}
+    assert early == want
