@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from decoyscope.functions.host import left_label
 from decoyscope.functions.terms import GENERIC_TOKENS, NOISE_LABELS
 
-#: Rows of a token table up to which it is broadcast.
-
 
 def is_noise(host: Column) -> Column:
     """Infrastructure labels and long hexadecimal labels."""
