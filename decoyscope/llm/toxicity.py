@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,12 @@ from decoyscope.llm.common import crc_mod, read
 #: Weights are hashed into 2**BITS places.
 BITS = 20
 #: Labelled rows of each class that the fit reads at most, in the order of a hash of their ids, and distinct features of each.
-SAMPLE, FEATURES = 4000, 4096
+SAMPLE, FEATURES = 3000, 4096
 #: How much more a toxic row may count than another, where they are few.
 CAP = 3.0
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
-#: Letters of a word's stems, and numbers of words with a stem from which it is a further feature.
+#: Bytes of a word's stems, and numbers of words with a stem from which it is a further feature.
 STEMS, OFTEN = (4, 6, 8), (2, 4, 8)
 #: Words whose hashes a worker keeps.
 KEPT = 300_000
@@ -32,16 +33,14 @@ class _Words:
 
     def __init__(self):
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, 1 + len(STEMS)), dtype=np.uint64)
+        self.numbers = array("Q")
 
     def add(self, word: str) -> None:
-        bare = word.lower().strip(_MARKS)
-        n = len(self.at)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        crc = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) + 1
-        self.rows[n] = [crc(bare), *(crc(bare[:k]) if len(bare) >= k else 0 for k in STEMS)]
-        self.at[word] = n
+        bare = word.lower().strip(_MARKS).encode("utf-8", "surrogatepass")
+        self.at[word] = len(self.at)
+        self.numbers.append(zlib.crc32(bare) + 1)
+        for k in STEMS:  # letters of two bytes are cut between two of them at most: a stem is a stem
+            self.numbers.append(zlib.crc32(bare[:k]) + 1 if len(bare) >= k else 0)
 
     def hashes(self, text: str | None) -> np.ndarray:
         """One row for each white-space separated word, lower-cased, without punctuation around it."""
@@ -55,14 +54,17 @@ class _Words:
                 if w not in self.at:
                     self.add(w)
             at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.rows[at]
+        return np.frombuffer(self.numbers, dtype=np.uint64).reshape(-1, 1 + len(STEMS))[at]
 
 
 _words = _Words()
 
 
-def features(text: str | None) -> np.ndarray:
-    """Distinct hashed places of a text's words, stems, word pairs and pairs with one word between; of stems also how often they occur."""
+def features(text: str | None, dense: np.ndarray | None = None) -> np.ndarray:
+    """Distinct hashed places of a text's words, stems, word pairs and pairs with one word between; of stems also how often they occur.
+
+    With the weights of all places, `dense`, those are left out that have none and whose stem has none.
+    """
     rows = _words.hashes(text)
     shift = np.uint64(64 - BITS)
     h = rows[:, 0]
@@ -73,12 +75,15 @@ def features(text: str | None) -> np.ndarray:
             parts.append((one[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] * np.uint64(0x165667B19E3779F9)) >> shift)
         if len(h) > 2:
             parts.append((one[:-2] * np.uint64(0xD6E8FEB86659FD93) + h[2:] * np.uint64(0xA0761D6478BD642F)) >> shift)
-        salted = [(rows[:, k][rows[:, k] > 0] + np.uint64(k << 40)) * np.uint64(0xD1342543DE82EF95) for k in range(1, rows.shape[1])]
-        stems, n = np.unique(np.concatenate(salted), return_counts=True)
-        parts.append(stems >> shift)
-        for i, least in enumerate(OFTEN):
-            parts.append((stems[n >= least] + np.uint64(i + 1)) * np.uint64(0xA24BAED4963EE407) >> shift)
-    return np.unique(np.concatenate(parts).astype(np.int64))
+        stems = np.concatenate([(rows[:, k][rows[:, k] > 0] + np.uint64(k << 40)) * np.uint64(0xD1342543DE82EF95) for k in range(1, rows.shape[1])])
+        often = lambda x, i: (x + np.uint64(i)) * np.uint64(0xA24BAED4963EE407) >> shift if i else x >> shift
+        if dense is not None:
+            some = dense != 0
+            parts = [p[some[p]] for p in (q.astype(np.int64) for q in parts)]
+            stems = stems[np.logical_or.reduce([some[often(stems, i).astype(np.int64)] for i in range(len(OFTEN) + 1)])]
+        stems, n = np.unique(stems, return_counts=True)
+        parts += [often(stems[n >= least], i).astype(np.int64) for i, least in enumerate((1, *OFTEN))]
+    return np.unique(np.concatenate([p.astype(np.int64) for p in parts]))
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.1, epochs: int = 6, seed: int = 7):
@@ -114,7 +119,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, alpha: float = 2.0, beta: flo
 
 
 def score(text: str | None, bias: float, dense: np.ndarray) -> float:
-    return float(1 / (1 + np.exp(-np.clip(bias + dense[features(text)].sum(), -35, 35))))
+    return float(1 / (1 + np.exp(-np.clip(bias + dense[features(text, dense)].sum(), -35, 35))))
 
 
 def _packed(texts: pd.Series) -> pd.Series:
@@ -134,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame):
     At most `SAMPLE` ids of each class are taken, chosen by a hash of the id,
     and one row of each; conflicting labels of an id count as toxic. Tasks turn
     the whole texts into features, and the driver gets at most FEATURES of
-    each: 4 bytes * FEATURES * 2 * SAMPLE, 131 MB, whatever the texts'
+    each: 4 bytes * FEATURES * 2 * SAMPLE, 98 MB, whatever the texts'
     lengths. None if a class is missing.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
