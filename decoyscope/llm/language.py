@@ -182,7 +182,7 @@ class ByteGRU:
             w = order[k : k + TOGETHER]
             at = lo[w] + np.arange((hi - lo)[w].max())[:, None]
             mask = at < hi[w]
-            x = np.where(mask, flat[np.minimum(at, len(flat) - 1)], 256).astype(np.intp)
+            x = np.where(mask, flat[np.minimum(at, len(flat) - 1)].astype(np.intp), 256)
             labelled = (at >= start[w]) & (at < stop[w])
             np.add.at(pooled, owner[w], np.einsum("tbl,tb->bl", self.log_probs(x, mask), labelled.astype(np.float32), dtype=np.float64))
         q = np.exp(pooled - pooled.max(axis=1, keepdims=True))
@@ -193,7 +193,7 @@ def padded(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     T = max(1, *map(len, some))
     flat = np.frombuffer(b"".join(b.ljust(T, b"\0") for b in some), dtype=np.uint8).reshape(len(some), T).T
     mask = np.arange(T)[:, None] < np.array([len(b) for b in some])
-    return np.where(mask, flat, 256).astype(np.int64), mask
+    return np.where(mask, flat.astype(np.intp), 256), mask
 
 
 def bytes_of(text: str | None) -> bytes:
