@@ -50,6 +50,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     and meet their rows where these are; the others are shuffled.
     """
     hot = groups.where(F.col(size) * HOT > total)
+    if hot.isEmpty():
+        return rows.join(groups, keys)
     near = rows.join(F.broadcast(hot), keys)
     far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) * HOT <= total), keys)
     return near.unionByName(far)

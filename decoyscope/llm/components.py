@@ -21,9 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
     state, n = None, links.count()
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
         large = cut(join_groups(both.where("v > u"), least, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = join_groups(large, least, ["u"], "n", n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         links = cut(small.select("e.u", "e.v").where("u <> v").distinct())
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()

@@ -17,7 +17,7 @@ NEAR = 3 * 1.04 / (2**LG_K) ** 0.5
 SITES = 10
 #: Boilerplate lines up to which their hashes travel as one literal (some 20 bytes each); more of them meet the lines by a join.
 LITERAL_LINES = 20_000
-#: Near-threshold lines up to which their hashes (8 bytes each) are broadcast.
+#: Lines, near the threshold or far-spread, up to which their hashes (8 bytes each) are broadcast.
 BROADCAST_ROWS = 100_000
 
 
@@ -70,11 +70,12 @@ def spread(docs: DataFrame, sites: int = SITES, own: float = 0.0) -> DataFrame:
         return _far(texts.select("site", F.explode("ls.h").alias("h")), sites)
     texts = cut(texts.withColumn("text", F.monotonically_increasing_id()))
     each = texts.select("text", "site", F.explode("ls").alias("x")).select("text", "site", "x.*")
-    far = _far(each.select("h", "site"), sites)
-    shared = each.join(far.select("h"), "h", "left_semi").groupBy("text").agg(F.sum("size").alias("shared"))
+    far = _far(each.select("h", "site"), sites).select("h")
+    far = F.broadcast(far) if far.count() <= BROADCAST_ROWS else far  # so that very common lines stay where they are
+    shared = each.join(far, "h", "left_semi").groupBy("text").agg(F.sum("size").alias("shared"))
     whole = F.aggregate("ls", F.lit(0).cast("long"), lambda n, x: n + x["size"])
     voters = texts.join(shared, "text").where(whole - F.col("shared") >= own * whole)
-    return _far(voters.select("site", F.explode("ls.h").alias("h")).join(far.select("h"), "h", "left_semi"), sites)
+    return _far(voters.select("site", F.explode("ls.h").alias("h")).join(far, "h", "left_semi"), sites)
 
 
 def removed(docs: DataFrame, sites: int = SITES, own: float = 0.0, count: str = "n_removed") -> DataFrame:

@@ -15,11 +15,12 @@ from decoyscope.llm.components import components
 
 BITS = 64
 #: Fingerprints in one bucket of the trie, about, and node pairs walked at a time.
-BUCKET, WALKED = 100_000, 1_000_000
+BUCKET, WALKED = 100_000, 200_000
 #: Near copies: words of a shingle, least similarity, fingerprints of a text's words, and bits in which one of them may differ.
 WORDS, SIMILAR, FAMILIES, WIDE = 5, 0.8, 2, 6
-#: Rounds of comparisons, texts of a connected part that all others are compared with in each, and texts of a part that one task compares, about.
-ROUNDS, PIVOTS, SALTED = 2, 8, 1000
+#: Rounds of comparisons, texts of a connected part that all others are compared with in each, texts of a part that are compared together,
+#: and texts, of one part or of several, that a group of rows holds, about.
+ROUNDS, PIVOTS, SALTED, TOGETHER = 2, 8, 200, 300
 
 
 def shingle_hashes(text: str | None, words: int, distinct: bool = False) -> np.ndarray:
@@ -221,6 +222,30 @@ def _alike(words: int, least: float):
     return work
 
 
+def _compared(rows: DataFrame, n: int, words: int, least: float) -> DataFrame:
+    """(u, v): each text (part, salt, whole, text, pivot) of similarity `least` or more to a pivot of its part and salt, and that pivot."""
+    buckets = max(12, -(-n // TOGETHER))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, some in pdf.groupby(["part", "salt"]):
+            pivots = {w: shingle_hashes(t, words, True) for w, t, p in zip(some["whole"], some["text"], some["pivot"]) if p}
+            for w, t, p in zip(some["whole"], some["text"], some["pivot"]):
+                if p:
+                    continue
+                own = pivots[w] if w in pivots else shingle_hashes(t, words, True)
+                for v, its in pivots.items():
+                    if v == w or (w in pivots and w < v) or min(len(own), len(its)) < least * max(len(own), len(its)) - 1e-9:
+                        continue
+                    both = len(np.intersect1d(own, its, assume_unique=True))
+                    if both >= least * (len(own) + len(its) - both) - 1e-9:
+                        out.append((w, v))
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    bucket = F.pmod(F.xxhash64("part", "salt"), F.lit(buckets)).cast("int")
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, "u long, v long")
+
+
 def _rest(left: DataFrame, words: int, least: float) -> DataFrame:
     """All links (u, v) among the texts of each part (whole, size, part, text), for parts of which few texts are alike.
 
@@ -262,17 +287,15 @@ def similar_groups(docs: DataFrame, key: str, words: int = WORDS, least: float =
     near = None
     for f in range(FAMILIES):
         named = one.where("size > 0").select(F.col("fps")[f].alias("fp"), "whole")
-        fps = cut(named.groupBy("fp").agg(F.count("*").alias("n")))
-        roots = components(link(fps, budget, 2)).withColumnRenamed("node", "fp")
-        placed = cut(fps.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")))
-        placed = cut(join_groups(named, placed, ["fp"], "n", named.count()).select("whole", "root"))
-        least_of = cut(placed.groupBy("root").agg(F.min("whole").alias("v"), F.count("*").alias("n")).where("n > 1"))
-        edges = join_groups(placed, least_of, ["root"], "n", placed.count()).select(F.col("whole").alias("u"), "v")
-        near = edges if near is None else near.unionByName(edges)
+        firsts = cut(named.groupBy("fp").agg(F.min("whole").alias("v"), F.count("*").alias("n")))
+        same = join_groups(named, firsts.where("n > 1"), ["fp"], "n", named.count()).select(F.col("whole").alias("u"), "v")
+        u, v = (firsts.select(F.col("fp").alias(k), F.col("v").alias(to)) for k, to in (("u", "a"), ("v", "b")))
+        others = link(firsts, budget, 2).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        both = cut(same.unionByName(others))
+        near = both if near is None else near.unionByName(both)
     placed = cut(one.select("whole", "key", "size").join(components(near).select(F.col("node").alias("whole"), F.col("root").alias("part")), "whole"))
     left = cut(placed.join(docs.select(F.col(key).alias("key"), "text"), "key").select("whole", "size", "part", "text"))
     links = None
-    alike = _alike(words, least)
     for _ in range(ROUNDS):
         counted = cut(left.groupBy("part").agg(F.count("*").alias("members"), F.array(*[
             F.min(F.struct(F.xxhash64(F.lit(i), "whole"), F.col("whole")))["whole"] for i in range(PIVOTS)
@@ -280,14 +303,12 @@ def similar_groups(docs: DataFrame, key: str, words: int = WORDS, least: float =
         everyone = left.join(counted.where(F.col("members") <= PIVOTS).select("part"), "part").groupBy("part").agg(F.collect_list("whole").alias("all"))
         salts = F.ceil(F.col("members") / SALTED).cast("int").alias("salts")
         parts = cut(counted.join(everyone, "part", "left").select("part", "members", salts, F.array_distinct(F.coalesce("all", "some")).alias("pivots")))
-        # a large part's pivots are sent to as many tasks as it has thousands of texts
-        named = parts.select("salts", F.explode("pivots").alias("whole"))
-        chosen = left.join(named, "whole").select("part", F.col("whole").alias("pivot"), F.col("size").alias("its"), F.col("text").alias("other"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        dealt = join_groups(left, parts, ["part"], "members", left.count()).withColumn("salt", F.pmod(F.xxhash64("whole"), F.col("salts")).cast("int"))
-        fits = F.least("size", "its") >= F.greatest("size", "its") * least - 1e-9
-        other = ~F.array_contains("pivots", F.col("whole")) | (F.col("whole") > F.col("pivot"))
-        pairs = dealt.join(chosen, ["part", "salt"]).where(other & fits)
-        found = cut(pairs.sortWithinPartitions("part", "pivot").where(alike("text", "other")).select(F.col("whole").alias("u"), F.col("pivot").alias("v")))
+        # a large part is dealt out by salts, and its pivots are sent to each of them
+        stood = left.join(parts.select("salts", F.explode("pivots").alias("whole")), "whole")
+        stood = stood.select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "whole", "text", F.lit(True).alias("pivot"))
+        dealt = join_groups(left, parts.select("part", "members", "salts"), ["part"], "members", left.count())
+        dealt = dealt.select("part", F.pmod(F.xxhash64("whole"), F.col("salts")).cast("int").alias("salt"), "whole", "text", F.lit(False).alias("pivot"))
+        found = cut(_compared(dealt.unionByName(stood), left.count(), words, least))
         links = cut(found if links is None else links.unionByName(found))
         gone = found.select(F.col("u").alias("whole")).unionByName(parts.select(F.explode("pivots").alias("whole"))).distinct()
         left = cut(left.join(gone, "whole", "left_anti"))

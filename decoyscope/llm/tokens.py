@@ -7,7 +7,7 @@ from array import array
 from functools import lru_cache
 
 #: Words whose ids a Python worker keeps; words met after that are encoded again in each batch.
-KEPT = 1_500_000
+KEPT = 800_000
 
 
 #: Words of Latin letters: one composed character each, whose lower case is one character too.

@@ -24,7 +24,7 @@ THRESHOLD = 0.7
 #: Bytes of a word's stems, and numbers of words with a stem from which it is a further feature.
 STEMS, OFTEN = (4, 6, 8), (2, 4, 8)
 #: Words whose hashes a worker keeps.
-KEPT = 300_000
+KEPT = 150_000
 _MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
