@@ -13,9 +13,9 @@ from decoyscope.llm.common import crc_mod, in_batches, read
 
 #: Documents of each language that the fit reads at most, spans of each and their characters, and languages.
 SAMPLE, SPANS, SPAN_CHARS, LANGUAGES = 300, 6, 160, 1000
-HIDDEN, EMBED = 16, 12
+HIDDEN, EMBED = 10, 12
 #: Bytes of a text that one recurrent pass labels, bytes on either side that it reads without labelling them, and least and most bytes of a pass in the fit.
-WINDOW, MARGIN, SHORT, TRAINED = 224, 16, 4, 48
+WINDOW, MARGIN, SHORT, TRAINED = 480, 16, 4, 48
 #: Windows that are read together.
 TOGETHER = 1024
 
@@ -94,8 +94,8 @@ class ByteGRU:
         logits = self._states(x, full, "f") @ self.p["Wo"][:HIDDEN]
         logits += self._states(x, full, "b") @ self.p["Wo"][HIDDEN:]
         logits += self.p["bo"]
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        np.clip(logits, -60, 60, out=logits)  # so that no exponential overflows
+        logits -= np.log(np.exp(logits) @ np.ones(len(self.labels), np.float32))[:, :, None]
         return logits
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray):
@@ -184,7 +184,7 @@ class ByteGRU:
             mask = at < hi[w]
             x = np.where(mask, flat[np.minimum(at, len(flat) - 1)].astype(np.intp), 256)
             labelled = (at >= start[w]) & (at < stop[w])
-            np.add.at(pooled, owner[w], np.einsum("tbl,tb->bl", self.log_probs(x, mask), labelled.astype(np.float32), dtype=np.float64))
+            np.add.at(pooled, owner[w], np.einsum("tbl,tb->bl", self.log_probs(x, mask), labelled.astype(np.float32)))
         q = np.exp(pooled - pooled.max(axis=1, keepdims=True))
         return q.argmax(axis=1), q.max(axis=1) / q.sum(axis=1)
 
