@@ -16,8 +16,8 @@ from decoyscope.llm.tokens import word_ids
 
 #: A document's last, partial window is cut into pieces of at most this many tokens.
 PIECE = 512
-#: Windows that one differencing fills, about.
-WINDOWS = 512
+#: Windows that one differencing fills, and pieces that it takes, about.
+WINDOWS, PIECES = 512, 32_768
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataFrame:
@@ -60,40 +60,41 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.j
     """Packs all documents into sequences of at most `capacity` tokens.
 
     A document is its text's ids and `end_id`. Its full windows are
-    sequences of their own; what is left is cut into pieces of at most
-    `PIECE` tokens, dealt evenly into buckets of about `WINDOWS` windows, and
-    differenced there. A null or empty text is one piece that holds the end
+    sequences of their own, numbered where they are; what is left is cut into
+    pieces of at most `PIECE` tokens, dealt evenly into buckets of about
+    `WINDOWS` windows and at most about `PIECES` pieces, and differenced there. A null or empty text is one piece that holds the end
     id. Repeated rows are packed each; null ids are kept. Other columns are
     ignored; an empty table gives no rows. A sequence id is its bucket times
-    2**32 plus its number there.
+    2**32 plus its number there, and negative for a full window.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     cutted = cut(pieces(docs, capacity, tokenizer, end_id))
-    total = cutted.where(F.col("length") < capacity).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // (capacity * WINDOWS)))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    rests = cutted.where(F.col("length") < capacity)
+    total, n = rests.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    buckets = max(1, -(-total // (capacity * WINDOWS)), -(-n // PIECES))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row_id", "start"], ascending=[False, True, True], ignore_index=True)
-        full = (pdf["length"] == capacity).to_numpy()
         lengths = pdf["length"].to_numpy(np.int64)
-        window = np.empty(len(pdf), dtype=np.int64)
-        part = fill(lengths[~full], capacity)
-        window[~full] = part
-        window[full] = part.max(initial=-1) + 1 + np.arange(full.sum())
+        window = fill(lengths, capacity)
         order = np.argsort(window, kind="stable")
         ends = np.cumsum(lengths[order])
         first = np.r_[True, window[order][1:] != window[order][:-1]]
         base = np.maximum.accumulate(np.where(first, ends - lengths[order], 0))
         offset = np.empty(len(pdf), dtype=np.int64)
         offset[order] = ends - lengths[order] - base
-        out = pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]]
+        out = pdf[columns]
         return out.assign(doc_id=out["doc_id"].astype("Int64"), sequence_id=(np.int64(pdf["bucket"].iloc[0]) << 32) + window, offset=offset)
 
-    dealt = cutted.withColumn("bucket", F.pmod(F.xxhash64("row_id", "start"), F.lit(buckets)).cast("int"))
-    return dealt.groupBy("bucket").applyInPandas(
+    dealt = rests.withColumn("bucket", F.pmod(F.xxhash64("row_id", "start"), F.lit(buckets)).cast("int"))
+    placed = dealt.groupBy("bucket").applyInPandas(
         place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
+    # full windows stay where they are
+    full = cutted.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

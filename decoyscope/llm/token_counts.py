@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import WHITE, cut, in_batches, join_groups, read, shared_dir
+from decoyscope.llm.common import WHITE, cut, in_batches, join_groups, read, remove, shared_dir
 from decoyscope.llm.tokens import word_ids
 
 #: Digests to be encoded (32 bytes each) up to which they are broadcast, so that only their texts travel.
@@ -54,7 +54,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = "wo
     Returns doc_id, n_bytes, n_tokens, over_limit.
     """
     spark = docs.sparkSession
-    cache = cache or f"{shared_dir(spark)}/token_counts_{uuid.uuid4().hex}"
+    own, cache = cache is None, cache or f"{shared_dir(spark)}/token_counts_{uuid.uuid4().hex}"
     version = tokenizer_digest(tokenizer)
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = F.trim(F.regexp_replace(text, WHITE, " "))
@@ -77,6 +77,8 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = "wo
         texts.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
     counts = _stored(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted = cut(groups.join(counts, "digest"))
+    if own:
+        remove(spark, cache)
     return join_groups(rows, counted, ["digest"], "n", rows.count()).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
