@@ -63,6 +63,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return near.unionByName(far)
 
 
+#: Rows of ids or hashes up to which `small` broadcasts a table.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few narrow columns, to be broadcast if its rows are few enough, so that texts stay where they are."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of `df` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import cut, free_name, read
+from decoyscope.llm.common import cut, free_name, read, small
 
 WORDS = 5
-#: Rows of a table (signatures, candidates, texts found) up to which it is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
 
 
 def word_list(text: Column) -> Column:
@@ -24,11 +22,6 @@ def shingles(words: str, k: int) -> Column:
     return F.array_distinct(F.slice(whole, F.lit(1), F.greatest(F.size(ws) - (k - 1), F.lit(0))))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _once(x: Column) -> Column:
     """Works `x` out once a row: later expressions can't be merged with it across a generator."""
     return F.explode(F.array(x))
@@ -87,10 +80,10 @@ def held_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Dat
     minima = hashed.select("body", F.size("hs").alias("n"), "hs", _once(ceiling).alias("ceiling"))
     probes = minima.select("body", "n", F.explode(F.filter("hs", lambda h: h <= F.col("ceiling"))).alias("h"))
     signed = cut(rows.where("signature").select("item", "size", "h", "need"))
-    met = probes.join(_small(signed), "h").where(F.col("n") >= threshold * F.col("size") - 1e-9)
+    met = probes.join(small(signed), "h").where(F.col("n") >= threshold * F.col("size") - 1e-9)
     # copies of a text are counted together: their hits are too many rather than too few
     candidates = cut(met.groupBy("body", "item", "need").agg(F.count("*").alias("hits")).where("hits >= need").select("body", "item"))
-    some = _small(cut(candidates.select("body").distinct()))
+    some = small(cut(candidates.select("body").distinct()))
     have = words.join(some, "body", "left_semi").dropDuplicates(["body"]).select("body", F.explode(every).alias("h"))
     both = have.join(candidates.join(rows.select("item", "size", "h"), "item"), ["body", "h"])
     counted = both.groupBy("body", "item", "size").agg(F.count("*").alias("held"))
@@ -120,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     named = cut(_named(benchmark.select("item_id", "text")))
     found = held_items(docs, named.select("item", "words").dropDuplicates(["item"]), threshold)
     ids = cut(found.join(named.select("item", "item_id"), "item").select("body", "item_id", "size", "held"))
-    rows = docs.select("doc_id", identity(F.col("text")).alias("body")).join(_small(ids), "body")
+    rows = docs.select("doc_id", identity(F.col("text")).alias("body")).join(small(ids), "body")
     best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("held") / F.col("size")).alias("share"), "size", "held")).alias("x"))
     return best.select(
         "doc_id", "item_id", F.col("x.size").alias("item_shingles"), F.col("x.held").alias("held_shingles"), F.round("x.share", 6).alias("containment")
@@ -132,7 +125,7 @@ def without_held(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     items = cut(_named(benchmark.select("text")).select("item", "words").dropDuplicates(["item"]))
     body = free_name(docs, "body")
     gone = cut(held_items(docs, items, threshold).select(F.col("body").alias(body)).distinct())
-    return docs.withColumn(body, identity(F.col("text"))).join(_small(gone), body, "left_anti").select(*docs.columns)
+    return docs.withColumn(body, identity(F.col("text"))).join(small(gone), body, "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

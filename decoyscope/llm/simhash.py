@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import cut, join_groups, read
+from decoyscope.llm.common import cut, join_groups, read, small
 from decoyscope.llm.components import components
 
 BITS = 64
@@ -249,19 +249,24 @@ def _compared(rows: DataFrame, n: int, words: int, least: float) -> DataFrame:
 def _rest(left: DataFrame, words: int, least: float) -> DataFrame:
     """All links (u, v) among the texts of each part (whole, size, part, text), for parts of which few texts are alike.
 
-    Two sets of similarity `least` or more share one of the first
-    n - ceil(least * n) + 1 of the n shingles of either, in any common order.
-    Here the part's rarest come first, so texts that only share what all of
-    the part share don't meet.
+    Two sets of sizes n and m and similarity `least` or more share
+    least / (1 + least) * (n + m) shingles; so, in any common order, one of the
+    first few of either, with enough left behind it in both. Here the part's
+    rarest come first, so texts that share only what all of the part share
+    don't meet.
     """
     hashes = F.pandas_udf(lambda texts: pd.Series([shingle_hashes(t, words, True).view(np.int64) for t in texts]), "array<long>")
-    several = left.groupBy("part").agg(F.count("*").alias("members")).where("members > 1").select("part")
-    each = cut(left.join(several, "part").select("whole", "size", "part", F.explode(hashes("text")).alias("h")))
-    each = each.join(each.groupBy("part", "h").agg(F.count("*").alias("held")), ["part", "h"])
+    several = cut(left.groupBy("part").agg(F.count("*").alias("members"), F.min("size").alias("smallest")).where("members > 1"))
+    each = cut(join_groups(left, several, ["part"], "members", left.count()).select("whole", "size", "smallest", "part", F.explode(hashes("text")).alias("h")))
+    held = cut(each.groupBy("part", "h").agg(F.count("*").alias("held")))
+    each = join_groups(each, held, ["part", "h"], "held", each.count())
     at = F.row_number().over(Window.partitionBy("whole").orderBy("held", "h"))
-    first = cut(each.withColumn("at", at).where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1) & (F.col("held") > 1)).select("whole", "size", "part", "h"))
-    other = first.select(F.col("whole").alias("v"), F.col("size").alias("its"), "part", "h")
-    fits = F.least("size", "its") >= F.greatest("size", "its") * least - 1e-9
+    shared = lambda n, m: least / (1 + least) * (n + m) - 1e-9
+    partner = F.greatest(F.ceil(F.col("size") * least - 1e-9), F.col("smallest"))
+    first = each.withColumn("at", at).where((F.col("at") <= F.col("size") - F.ceil(shared(F.col("size"), partner)) + 1) & (F.col("held") > 1))
+    first = cut(first.select("whole", "size", "part", "h", "at"))
+    other = first.select(F.col("whole").alias("v"), F.col("size").alias("its"), "part", "h", F.col("at").alias("there"))
+    fits = (F.least("size", "its") >= F.greatest("size", "its") * least - 1e-9) & (F.least(F.col("size") - F.col("at"), F.col("its") - F.col("there")) + 1 >= shared(F.col("size"), F.col("its")))
     pairs = first.join(other, ["part", "h"]).where((F.col("whole") > F.col("v")) & fits).select(F.col("whole").alias("u"), "v").distinct()
     a, b = (left.select(F.col("whole").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
     return pairs.join(a, "u").join(b, "v").where(_alike(words, least)("a", "b")).select("u", "v")
@@ -294,21 +299,23 @@ def similar_groups(docs: DataFrame, key: str, words: int = WORDS, least: float =
         both = cut(same.unionByName(others))
         near = both if near is None else near.unionByName(both)
     placed = cut(one.select("whole", "key", "size").join(components(near).select(F.col("node").alias("whole"), F.col("root").alias("part")), "whole"))
-    left = cut(placed.join(docs.select(F.col(key).alias("key"), "text"), "key").select("whole", "size", "part", "text"))
+    left = cut(docs.select(F.col(key).alias("key"), "text").join(small(placed), "key").select("whole", "size", "part", "text"))
     links = None
     for _ in range(ROUNDS):
+        n = left.count()
         counted = cut(left.groupBy("part").agg(F.count("*").alias("members"), F.array(*[
             F.min(F.struct(F.xxhash64(F.lit(i), "whole"), F.col("whole")))["whole"] for i in range(PIVOTS)
         ]).alias("some")).where("members > 1"))
-        everyone = left.join(counted.where(F.col("members") <= PIVOTS).select("part"), "part").groupBy("part").agg(F.collect_list("whole").alias("all"))
+        known = join_groups(left.select("whole", "part"), counted, ["part"], "members", n)
+        everyone = known.where(F.col("members") <= PIVOTS).groupBy("part").agg(F.collect_list("whole").alias("all"))
         salts = F.ceil(F.col("members") / SALTED).cast("int").alias("salts")
         parts = cut(counted.join(everyone, "part", "left").select("part", "members", salts, F.array_distinct(F.coalesce("all", "some")).alias("pivots")))
         # a large part is dealt out by salts, and its pivots are sent to each of them
         stood = left.join(parts.select("salts", F.explode("pivots").alias("whole")), "whole")
         stood = stood.select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "whole", "text", F.lit(True).alias("pivot"))
-        dealt = join_groups(left, parts.select("part", "members", "salts"), ["part"], "members", left.count())
+        dealt = join_groups(left, parts.select("part", "members", "salts"), ["part"], "members", n)
         dealt = dealt.select("part", F.pmod(F.xxhash64("whole"), F.col("salts")).cast("int").alias("salt"), "whole", "text", F.lit(False).alias("pivot"))
-        found = cut(_compared(dealt.unionByName(stood), left.count(), words, least))
+        found = cut(_compared(dealt.unionByName(stood), n, words, least))
         links = cut(found if links is None else links.unionByName(found))
         gone = found.select(F.col("u").alias("whole")).unionByName(parts.select(F.explode("pivots").alias("whole"))).distinct()
         left = cut(left.join(gone, "whole", "left_anti"))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from decoyscope.llm import decontamination, exact_dedup, html_extraction, language, line_dedup, packing, sharding, simhash, token_counts, toxicity
+from decoyscope.llm import common, decontamination, exact_dedup, html_extraction, language, line_dedup, packing, sharding, simhash, token_counts, toxicity
 from decoyscope.llm.differencing import differencing
 from decoyscope.llm.html_blocks import leaf_blocks
 
@@ -255,7 +255,7 @@ def test_decontamination(spark):
 
 def test_decontamination_of_null_and_repeated_ids(spark, monkeypatch):
     """Items and documents of one id are searched each by itself; the best is returned. Shuffled instead of broadcast."""
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     rng = random.Random(21)
     a, b, c = (words(rng, 30) for _ in range(3))
     items = spark.createDataFrame([(1, a), (1, b), (None, c), (None, None), (4, a)], "item_id long, text string")
