@@ -247,27 +247,34 @@ def _compared(rows: DataFrame, n: int, words: int, least: float) -> DataFrame:
 
 
 def _rest(left: DataFrame, words: int, least: float) -> DataFrame:
-    """All links (u, v) among the texts of each part (whole, size, part, text), for parts of which few texts are alike.
+    """Links (u, v) among the texts of each part (whole, size, part, text), for parts of which few texts are alike: all in parts of up to SALTED texts.
 
     Two sets of sizes n and m and similarity `least` or more share
     least / (1 + least) * (n + m) shingles; so, in any common order, one of the
     first few of either, with enough left behind it in both. Here the part's
     rarest come first, so texts that share only what all of the part share
-    don't meet.
+    don't meet. In larger parts a text is compared with one text for each of
+    these shingles, the first that has it, so that comparisons stay in
+    proportion to the texts.
     """
     hashes = F.pandas_udf(lambda texts: pd.Series([shingle_hashes(t, words, True).view(np.int64) for t in texts]), "array<long>")
     several = cut(left.groupBy("part").agg(F.count("*").alias("members"), F.min("size").alias("smallest")).where("members > 1"))
-    each = cut(join_groups(left, several, ["part"], "members", left.count()).select("whole", "size", "smallest", "part", F.explode(hashes("text")).alias("h")))
+    each = cut(join_groups(left, several, ["part"], "members", left.count()).select("whole", "size", "smallest", "members", "part", F.explode(hashes("text")).alias("h")))
     held = cut(each.groupBy("part", "h").agg(F.count("*").alias("held")))
     each = join_groups(each, held, ["part", "h"], "held", each.count())
     at = F.row_number().over(Window.partitionBy("whole").orderBy("held", "h"))
     shared = lambda n, m: least / (1 + least) * (n + m) - 1e-9
     partner = F.greatest(F.ceil(F.col("size") * least - 1e-9), F.col("smallest"))
     first = each.withColumn("at", at).where((F.col("at") <= F.col("size") - F.ceil(shared(F.col("size"), partner)) + 1) & (F.col("held") > 1))
-    first = cut(first.select("whole", "size", "part", "h", "at"))
-    other = first.select(F.col("whole").alias("v"), F.col("size").alias("its"), "part", "h", F.col("at").alias("there"))
+    first = cut(first.select("whole", "size", "part", "h", "at", "members", "held"))
+    few, many = first.where(F.col("members") <= SALTED), first.where(F.col("members") > SALTED)
+    other = F.struct(F.col("whole").alias("v"), F.col("size").alias("its"), F.col("at").alias("there"))
     fits = (F.least("size", "its") >= F.greatest("size", "its") * least - 1e-9) & (F.least(F.col("size") - F.col("at"), F.col("its") - F.col("there")) + 1 >= shared(F.col("size"), F.col("its")))
-    pairs = first.join(other, ["part", "h"]).where((F.col("whole") > F.col("v")) & fits).select(F.col("whole").alias("u"), "v").distinct()
+    each_other = few.join(few.select("part", "h", other.alias("x")).select("part", "h", "x.*"), ["part", "h"])
+    holders = cut(many.groupBy("part", "h").agg(F.min(other).alias("x"), F.count("*").alias("n"))).select("part", "h", "n", "x.*")
+    with_first = join_groups(many, holders, ["part", "h"], "n", many.count())
+    met = each_other.select("whole", "v", fits.alias("fits")).unionByName(with_first.select("whole", "v", fits.alias("fits")))
+    pairs = cut(met.where("whole <> v and fits").select(F.greatest("whole", "v").alias("u"), F.least("whole", "v").alias("v")).distinct())
     a, b = (left.select(F.col("whole").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
     return pairs.join(a, "u").join(b, "v").where(_alike(words, least)("a", "b")).select("u", "v")
 
@@ -282,8 +289,8 @@ def similar_groups(docs: DataFrame, key: str, words: int = WORDS, least: float =
     no more, are compared with all others; those of similarity `least` or
     more to one of them are linked to it, and the rest go on to the next of
     ROUNDS rounds. What is left after these is little alike, and is searched
-    for all its links by shared rare shingles. So a part of many copies costs a
-    number of comparisons for each of its texts, never its pairs. Groups are
+    by shared rare shingles. So a part of any size costs a bounded number of
+    comparisons for each of its texts, never its pairs. Groups are
     what these links connect. Texts with the same set of shingles are one; those without
     words are one group. `key` is a unique long; ids may be null or repeat.
     """

@@ -220,6 +220,39 @@ def test_trie_links_are_all_links(spark, seed):
     assert groups(found) == groups(want)
 
 
+def test_all_links_of_little_alike_texts_are_found(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = rng.choice([f"x{rng.randrange(9999)}", f"c{rng.randrange(5)}"])
+        texts.append(" ".join(w[: rng.randrange(110, 151)]))
+    texts = list(dict.fromkeys(texts))
+    sets = [set(simhash.shingle_hashes(t, 5, True).tolist()) for t in texts]
+    part = lambda i: 7 if i % 3 else 8
+    df = spark.createDataFrame([(i, len(sets[i]), part(i), t) for i, t in enumerate(texts)], "whole long, size int, part long, text string")
+    got = Counter((min(r.u, r.v), max(r.u, r.v)) for r in simhash._rest(df, 5, 0.8).collect())
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if part(i) == part(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    assert len(want) > 100 and got == Counter(want)
+
+
+def test_links_don_t_depend_on_the_number_of_exact_blocks(spark):
+    rng = random.Random(8)
+    centres = [rng.getrandbits(64) for _ in range(20)]
+    points = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for c in centres for _ in range(6)} | {0, 2**64 - 1}
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(signed(p),) for p in points], "fp long")
+    from decoyscope.llm.components import components
+
+    want = brute_components(points, 6)
+    for exact in (1, 2):
+        found = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in components(simhash.link(df, 6, exact)).collect()}
+        groups = lambda m: {frozenset(q for q in points if m.get(q, q) == r) for r in {m.get(p, p) for p in points}}
+        assert groups(found) == groups(want)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     from decoyscope.llm.components import components
 
