@@ -8,6 +8,7 @@ from decoyscope.llm import (
     html_extraction,
     language,
     line_dedup,
+    manifest,
     packing,
     sharding,
     simhash,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
 }
