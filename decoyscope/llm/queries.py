@@ -10,6 +10,7 @@ from decoyscope.llm import (
     line_dedup,
     manifest,
     packing,
+    resampling,
     sharding,
     simhash,
     token_counts,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
     "op12_merkle_manifest": manifest.ORACLE,
 }
