@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from decoyscope.llm.common import cut, join_groups
 
+#: Rows of links in a partition of a written round, about.
+TOGETHER = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u long, v long); the root is the smallest node.
@@ -14,18 +17,19 @@ def components(edges: DataFrame) -> DataFrame:
     Only a minimum per node is gathered, never a list of neighbours, and the
     rows of a node with very many links stay where they are, so such a node
     costs a task no more than another. Each round is written to the shared
-    folder; rounds end when no link changes. Repeated links and links of a
+    folder, in as many parts as its rows need; rounds end when no link changes. Repeated links and links of a
     node to itself count for nothing; an empty table gives no rows.
     """
     links = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state, n = None, links.count()
     while True:
+        written = lambda df, n=n: cut(df.coalesce(max(8, n // TOGETHER)))
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
-        large = cut(join_groups(both.where("v > u"), least, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        large = written(join_groups(both.where("v > u"), least, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = join_groups(large, least, ["u"], "n", n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        links = cut(small.select("e.u", "e.v").where("u <> v").distinct())
+        links = written(small.select("e.u", "e.v").where("u <> v").distinct())
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -9,6 +9,7 @@ from decoyscope.llm import (
     language,
     line_dedup,
     manifest,
+    minhash,
     packing,
     resampling,
     sharding,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 ORACLES = {
