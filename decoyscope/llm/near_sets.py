@@ -16,8 +16,8 @@ from decoyscope.llm.components import components
 SAMPLES, BITS, BLOCK = 256, 1024, 65_536
 #: Rounds of comparisons with one member of a bucket's largest group; members of a bucket that meet in one task, on either side; pairs of a task, about.
 ROUNDS, LEFT, RIGHT, PAIRS = 3, 512, 2048, 2_000_000
-#: Rows that meet one copy of a set.
-SALTED = 256
+#: Rows that meet one copy of a set, and narrow rows of a written part, about.
+SALTED, PART = 256, 20_000
 
 
 def _odd(rng: np.random.Generator, n: int) -> np.ndarray:
@@ -84,32 +84,36 @@ def _apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def _written(df: DataFrame, n: int) -> DataFrame:
+    """Written in as many parts as n rows need, however many partitions made them."""
+    return cut(df.coalesce(max(12, n // PART)))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose sketches and then whose full sets (key, set) are alike to `least`; a set that many pairs share comes once for SALTED of them."""
-    pairs = cut(pairs)
     n = pairs.count()
-    sizes = cut(pairs.groupBy("v").agg(F.count("*").alias("n")))
+    sizes = _written(pairs.groupBy("v").agg(F.count("*").alias("n")), n)
     salts = F.ceil(F.col("n") / SALTED).cast("int")
     dealt = join_groups(pairs, sizes, ["v"], "n", n).select("u", "v", F.pmod(F.xxhash64("u"), salts).cast("int").alias("salt"))
     copies = lambda of, name: sizes.join(of, F.col("v") == F.col("key")).select("v", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col(name).alias("b"))
     seen = dealt.join(sketches.select(F.col("key").alias("u"), F.col("odd").alias("a")), "u").join(copies(sketches, "odd"), ["v", "salt"])
-    dealt = cut(seen.where(_apart("a", "b") <= allowed(least)).select("u", "v", "salt"))
+    dealt = _written(seen.where(_apart("a", "b") <= allowed(least)).select("u", "v", "salt"), n)
     both = dealt.join(sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u").join(copies(sets, "set"), ["v", "salt"])
     shared = F.size(F.array_intersect("a", "b"))
-    return cut(both.where(F.round(100 * shared - 100 * least * (F.size("a") + F.size("b") - shared), 6) >= 0).select("u", "v"))
+    return _written(both.where(F.round(100 * shared - 100 * least * (F.size("a") + F.size("b") - shared), 6) >= 0).select("u", "v"), n)
 
 
-def _unsettled(members: DataFrame, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+def _unsettled(members: DataFrame, n: int, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
     """(members with their root, buckets) of the buckets (h, key) that hold more than one root: n rows, the largest root and one of its members, by turns another."""
-    rows = members.withColumn("root", F.col("key")) if roots is None else members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rows = cut(rows)
+    rows = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = _written(rows, n)
     one = F.min(F.struct(F.xxhash64(F.lit(turn), "key"), "key"))["key"].alias("pivot")
     parts = rows.groupBy("h", "root").agg(F.count("*").alias("n"), one)
     buckets = parts.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root", "pivot")).alias("most"))
-    return rows, cut(buckets.where("roots > 1").select("h", "n", F.col("most.root").alias("main"), F.col("most.pivot").alias("pivot"), F.col("most.n").alias("its")))
+    return rows, _written(buckets.where("roots > 1").select("h", "n", F.col("most.root").alias("main"), F.col("most.pivot").alias("pivot"), F.col("most.n").alias("its")), n)
 
 
-def _rest(members: DataFrame, sets: DataFrame, sketches: DataFrame, roots: DataFrame | None, least: float) -> DataFrame:
+def _rest(members: DataFrame, total: int, sets: DataFrame, sketches: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Pairs (u, v) of different roots that share a bucket and may be alike: all that neither bound rules out.
 
     Each member outside its bucket's largest root meets all members, dealt
@@ -119,15 +123,14 @@ def _rest(members: DataFrame, sets: DataFrame, sketches: DataFrame, roots: DataF
     be too far apart. Most texts that are like none have much of their own,
     so they leave few pairs.
     """
-    rows, buckets = _unsettled(members, roots, ROUNDS)
-    total = rows.count()
-    rows = cut(join_groups(rows, buckets, ["h"], "n", total))
-    mine = cut(rows.select("key").distinct())
+    rows, buckets = _unsettled(members, total, roots, ROUNDS)
+    rows = _written(join_groups(rows, buckets, ["h"], "n", total), total)
+    mine = _written(rows.select("key").distinct(), total)
     each = sets.join(mine, "key").select("key", F.explode("set").alias("x"))
     own = each.groupBy("x").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("own"))
-    known = cut(mine.join(own, "key", "left").join(sketches, "key").select("key", "size", F.coalesce("own", F.lit(0)).alias("own"), "odd"))
+    known = mine.join(own, "key", "left").join(sketches, "key").select("key", "size", F.coalesce("own", F.lit(0)).alias("own"), "odd")
     known = known.where(100 * (F.col("size") - F.col("own")) >= 100 * least * F.col("size") - 1e-6)
-    rows = rows.join(known, "key")
+    rows = cut(rows.join(known, "key"))
     few = (F.ceil((F.col("n") - F.col("its")) / LEFT)).cast("int")
     many = (F.ceil(F.col("n") / RIGHT)).cast("int")
     turned = lambda blocks: F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -170,16 +173,19 @@ def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, least: float
     the end those that are still apart meet all others, save what bounds rule
     out. Every link is confirmed on the full sets.
     """
-    found, roots = None, None
+    found, roots, n = None, None, members.count()
     for turn in range(ROUNDS):
-        rows, buckets = _unsettled(members, roots, turn)
-        pairs = join_groups(rows, buckets, ["h"], "n", rows.count()).where("root <> main")
-        new = _confirmed(pairs.select(F.col("key").alias("u"), F.col("pivot").alias("v")).distinct(), sets, sketches, least)
-        found = new if found is None else cut(found.unionByName(new))
-        if not new.isEmpty():
-            roots = cut(components(found))
-    rest = _confirmed(_rest(members, sets, sketches, roots, least), sets, sketches, least)
-    return found.unionByName(rest)
+        rows, buckets = _unsettled(members, n, roots, turn)
+        pairs = join_groups(rows, buckets, ["h"], "n", n).where("root <> main")
+        pairs = _written(pairs.groupBy(F.col("key").alias("u"), F.col("pivot").alias("v")).agg(F.max("main").alias("main")), n)
+        new = _confirmed(pairs.select("u", "v"), sets, sketches, least)
+        found = new if found is None else found.unionByName(new)
+        # enough for the next round: who was linked is counted to the root it met
+        moved = new.join(pairs, ["u", "v"]).groupBy(F.col("u").alias("key")).agg(F.max("main").alias("root"))
+        roots = _written(moved if roots is None else moved.unionByName(roots.join(moved, "key", "left_anti")), n)
+    found = _written(found, n)
+    roots = components(found).withColumnRenamed("node", "key")
+    return found.unionByName(_confirmed(cut(_rest(members, n, sets, sketches, roots, least)), sets, sketches, least))
 
 
 def shared_buckets(each: DataFrame) -> DataFrame:
