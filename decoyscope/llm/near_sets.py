@@ -14,8 +14,8 @@ from decoyscope.llm.components import components
 
 #: MinHash samples of a set, bits of its odd sketch, and shingle hashes worked on together.
 SAMPLES, BITS, BLOCK = 256, 1024, 65_536
-#: Rounds of comparisons with one member of a bucket's largest group; members of a bucket that meet in one task, on either side; pairs of a task, about.
-ROUNDS, LEFT, RIGHT, PAIRS = 3, 512, 2048, 2_000_000
+#: Rounds of comparisons with one member of a bucket's largest group; members of a bucket that meet in one task, on either side.
+ROUNDS, LEFT, RIGHT = 2, 512, 2048
 #: Rows that meet one copy of a set, and narrow rows of a written part, about.
 SALTED, PART = 256, 20_000
 

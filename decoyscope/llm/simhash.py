@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decoyscope.llm.common import cut, join_groups, read, small
-from decoyscope.llm.components import components
+from decoyscope.llm.components import components, forest
 
 BITS = 64
 #: Fingerprints in one bucket of the trie, about, and node pairs walked at a time.
@@ -111,20 +111,6 @@ def trie_links(keys: np.ndarray, lead: int, budget: int) -> Iterator[tuple[np.nd
         stack.append((depth + 1, *(np.concatenate(x) for x in zip(*parts))))
 
 
-def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest index linked to each index, however many steps away."""
-    root = np.arange(n)
-    for a, b in links:
-        while len(a):
-            a, b = root[a], root[b]
-            part = a != b
-            a, b = a[part], b[part]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root != root[root]).any():
-                root = root[root]
-    return root
-
-
 def _turned(keys: np.ndarray, sizes: list[int], order: list[int]) -> np.ndarray:
     """The keys with their blocks of bits, `sizes` from the top, put in another order."""
     down = BITS - np.cumsum(sizes)
