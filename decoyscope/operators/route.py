@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from decoyscope.functions.text import first_non_empty
 from decoyscope.functions.url import extract_domain, is_valid_domain, normalize_url
+from decoyscope.functions.variant import first_text, first_value, flag_at, record, settled
 
 #: Schema of probe records as JSON.
 PROBE = "ok boolean, url string, final_url string, final struct<url:string,title:string>, result struct<final_url:string>, href string, input_url string, canonical_fqdn string, fqdn string, host string, domain string, registrable string, cse_id string, error string, ts long"
@@ -31,38 +32,71 @@ def parse(values: DataFrame, schema: str = PROBE) -> DataFrame:
     return values.withColumn("rec", F.when(whole, F.from_json("value", schema)))
 
 
+#: Objects in which a record may hold its url, an object of the probe itself, names of a seed's id, and fields that are passed on.
+CONTAINERS = ["result", "http", "http_result", "artifact", "artifacts", "data"]
+PROBED = "final"
+SEED_IDS = ["cse_id", "id", "cse", "canonical_id"]
+PASSED = ["status", "status_code", "title", "registrable", "brand", "seed_registrable", "canonical_fqdn", "fqdn"]
+
+
+def found_url(v: Column) -> Column:
+    """A record's url: final_url before url, then the probe's own, then those of the containers, in order; only strings count."""
+    return first_text(v, ("final_url",), ("url",), (PROBED, "url"), *[(k, name) for k in CONTAINERS for name in ("final_url", "url", "location")])
+
+
+def found_seed(v: Column) -> Column:
+    """The id of the seed that a record belongs to, from the top level or the containers, in order."""
+    return first_text(v, *[(*at, name) for at in [(), *((k,) for k in (*CONTAINERS, PROBED))] for name in SEED_IDS])
+
+
+def passed_field(v: Column, name: str) -> Column:
+    """A field of any type: the top level wins, then the first container that has it."""
+    return first_value(v, (name,), *[(k, name) for k in (*CONTAINERS, PROBED)])
+
+
 def route(values: DataFrame) -> DataFrame:
-    """Adds route (crawl, inactive, dead), failure_type, url and raw_value to JSON records in `value`.
+    """Adds rec (a variant), route (crawl, inactive, dead), failure_type, url and raw_value to JSON records in `value`.
 
     Unreadable values are dead letters, rows with ok = false are inactive,
     rows without a url or with an invalid one are dead letters again.
     """
     r = F.col("rec")
-    df = parse(values).withColumn("_url", pick_url(r)).withColumn("url", normalize_url(F.col("_url")))
+    failed = flag_at(r, "ok").eqNullSafe(F.lit(False))
+    df = settled(settled(values, rec=record(F.col("value"))), _url=found_url(r)).withColumn("url", normalize_url(F.col("_url")))
     kind = (
         F.when(r.isNull(), "json_parse_error")
-        .when(r["ok"].eqNullSafe(F.lit(False)), F.coalesce(r["error"], F.lit("connection_failed")))
+        .when(failed, F.coalesce(first_text(r, ("error",)), F.lit("connection_failed")))
         .when(F.col("_url").isNull(), "missing_url")
         .when(F.col("url").isNull(), "invalid_url")
     )
-    where = F.when(r.isNotNull() & r["ok"].eqNullSafe(F.lit(False)), "inactive").when(F.col("url").isNull(), "dead").otherwise("crawl")
+    where = F.when(failed, "inactive").when(F.col("url").isNull(), "dead").otherwise("crawl")
     return df.withColumns({"route": where, "failure_type": kind, "raw_value": F.when(where == "dead", F.left("value", F.lit(500)))}).drop("_url")
 
 
 def inactive(routed: DataFrame) -> DataFrame:
+    """Records of inactive hosts that name one; only their top level counts."""
     r = F.col("rec")
+    name = first_text(r, ("registrable",), ("canonical_fqdn",), ("fqdn",))
     return routed.where("route = 'inactive'").select(
-        first_non_empty(r["registrable"], r["canonical_fqdn"], r["fqdn"]).alias("registrable"),
-        pick_fqdn(r).alias("canonical_fqdn"), r["cse_id"].alias("cse_id"), F.lit("inactive").alias("status"), "failure_type", r["ts"].alias("ts"))
+        name.alias("registrable"), F.coalesce(first_text(r, ("canonical_fqdn",)), name).alias("canonical_fqdn"), first_text(r, ("cse_id",)).alias("cse_id"),
+        first_text(r, ("seed_registrable",)).alias("seed_registrable"), F.lit("inactive").alias("status"), "failure_type",
+        F.array(F.lit("http_probe_failed")).alias("reasons")).where("registrable is not null")
 
 
-def crawl_requests(routed: DataFrame) -> DataFrame:
-    """Versioned request as JSON, without absent fields, keyed by url."""
+def crawl_requests(routed: DataFrame, now: Column | None = None) -> DataFrame:
+    """Versioned request as JSON, without absent fields, keyed by url; `now` is its time in milliseconds."""
     r = F.col("rec")
-    body = F.struct(F.lit("v1").alias("schema_version"), F.col("url").alias("url"), r["cse_id"].alias("cse_id"), r["registrable"].alias("registrable"), r["final"]["title"].alias("title"), r["ts"].alias("ts"))
+    passed = ["registrable", "title", "status", "status_code", "brand", "canonical_fqdn", "seed_registrable"]
+    time = [] if now is None else [F.unix_millis(now).alias("ts")]
+    body = F.struct(F.lit("v1").alias("schema_version"), F.col("url").alias("url"), *time, found_seed(r).alias("cse_id"), *[passed_field(r, k).alias(k) for k in passed])
     return routed.where("route = 'crawl'").select(F.col("url").alias("key"), F.to_json(body).alias("value"))
 
 
+def dead_letters(routed: DataFrame) -> DataFrame:
+    """(failure_type, raw_value, record_keys) of what can't be crawled; a record's keys tell its shape."""
+    return routed.where("route = 'dead'").select("failure_type", "raw_value", F.json_object_keys("value").alias("record_keys"))
+
+
 def candidate(df: DataFrame, now: Column) -> DataFrame:
     """Fixed candidate columns with defaults."""
     none = F.array().cast("array<string>")

@@ -174,12 +174,12 @@ def route_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT CASE page_id % 7 WHEN 5 THEN 'r.org' ELSE {HOST} END AS registrable, {HOST} AS canonical_fqdn, NULL AS cse_id, 'inactive' AS status,
-  CASE page_id % 7 WHEN 5 THEN 'timeout' ELSE 'connection_failed' END AS failure_type, CAST(NULL AS BIGINT) AS ts
+SELECT CASE page_id % 7 WHEN 5 THEN 'r.org' ELSE {HOST} END AS registrable, CASE page_id % 7 WHEN 5 THEN 'r.org' ELSE {HOST} END AS canonical_fqdn,
+  NULL AS cse_id, NULL AS seed_registrable, 'inactive' AS status, CASE page_id % 7 WHEN 5 THEN 'timeout' ELSE 'connection_failed' END AS failure_type
 FROM pages WHERE page_id % 7 IN (0, 5)""")
 def inactive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of inactive hosts."""
-    return R.inactive(R.route(_probes(table(spark, sf_dir, "pages"))))
+    return R.inactive(R.route(_probes(table(spark, sf_dir, "pages")))).drop("reasons")
 
 
 @query("""
@@ -190,6 +190,91 @@ def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.crawl_requests(R.route(_probes(table(spark, sf_dir, "pages"))))
 
 
+#: Records of every shape, @ standing for a page's url and # for its id; one page has the one of its id's remainder.
+SHAPES = [
+    '{"url":"@?short","final_url":" @#landing "}',
+    '{"url":"  ","final":{"url":"@","title":"inner"},"title":"outer","status":200}',
+    '{"final":{"url":"@?probe","status_code":301,"id":"f#"},"result":{"final_url":"@?result"}}',
+    '{"result":{"final_url":null,"url":"@","cse_id":"r#"},"cse_id":" "}',
+    '{"http":{"location":"@","url":7},"id":"top#","data":{"id":"in#"}}',
+    '{"http_result":{"final_url":"@?r","url":"@"},"http":{"status":404,"brand":"b"},"status":null}',
+    '{"artifact":{"url":"@"},"artifacts":{"url":"@?later","cse":"a#"},"brand":{"n":1,"name":"x"}}',
+    '{"artifacts":{"location":"@"},"data":{"registrable":"d.org"},"result":{"registrable":"r.org"}}',
+    '{"data":{"location":"@","fqdn":"f.data","seed_registrable":"s.org"},"canonical_id":5,"http":[{"url":"@?list"}]}',
+    '{"final_url":5,"url":["@"],"http":"@"}',
+    '{"url":"http://","data":{"url":"@"}}',
+    '{"url":"@","ok":"false","status_code":"200","canonical_fqdn":"c.org"}',
+    '{"url":"@","ok":false,"fqdn":"only.org","cse_id":"c#"}',
+    '{"url":"@","ok":false,"error":"dns","result":{"registrable":"r.org"}}',
+    '["@"]',
+    '"@"',
+    '{"url":"@"',
+    '{"other":{"url":"@"},"ts":1}',
+]
+SHAPED = "CASE page_id % " + str(len(SHAPES)) + "".join(f" WHEN {i} THEN replace(replace('{s}', '#', CAST(page_id AS VARCHAR(20))), '@', url)" for i, s in enumerate(SHAPES)) + " END"
+
+
+def _sql_text(at: str) -> str:
+    return f"CASE WHEN json_type(value, '$.{at}') = 'VARCHAR' THEN nullif(trim(json_extract_string(value, '$.{at}')), '') END"
+
+
+SQL_URL = ", ".join(map(_sql_text, ["final_url", "url", "final.url", *(f"{k}.{n}" for k in ["result", "http", "http_result", "artifact", "artifacts", "data"] for n in ["final_url", "url", "location"])]))
+SQL_SEED = ", ".join(_sql_text(at + n) for at in ["", "result.", "http.", "http_result.", "artifact.", "artifacts.", "data.", "final."] for n in ["cse_id", "id", "cse", "canonical_id"])
+SQL_SHAPED = f"""
+WITH s AS (SELECT page_id, {SHAPED} AS raw FROM pages),
+j AS (SELECT page_id, raw, CASE WHEN json_valid(raw) THEN CASE WHEN json_type(raw) = 'OBJECT' THEN raw::JSON END END AS value FROM s),
+u AS (SELECT *, coalesce(json_type(value, '$.ok') = 'BOOLEAN' AND json_extract_string(value, '$.ok') = 'false', false) AS failed, coalesce({SQL_URL}) AS found FROM j),
+f AS (SELECT *, CASE WHEN regexp_matches(lower(found), '^https?://') THEN found ELSE 'http://' || found END AS full_url FROM u),
+h AS (SELECT *, regexp_extract(full_url, '^(https?://[^/?#\\s]+)', 1) AS head FROM f),
+r AS (SELECT *, CASE WHEN head <> '' THEN head || CASE WHEN starts_with(full_url[length(head) + 1:], '/') THEN '' ELSE '/' END || full_url[length(head) + 1:] END AS url FROM h)
+"""
+
+
+def _shaped(df: DataFrame) -> DataFrame:
+    return df.select("page_id", F.expr(SHAPED).alias("value"))
+
+
+def _sql_passed(name: str) -> str:
+    at = [f"nullif(json_extract(value, '$.{k}{name}')::VARCHAR, 'null')" for k in ["", "result.", "http.", "http_result.", "artifact.", "artifacts.", "data.", "final."]]
+    return f"coalesce({', '.join(at)}) AS {name}"
+
+
+@query(SQL_SHAPED + f"""
+SELECT page_id, CASE WHEN failed THEN 'inactive' WHEN url IS NULL THEN 'dead' ELSE 'crawl' END AS route,
+  CASE WHEN value IS NULL THEN 'json_parse_error' WHEN failed THEN coalesce(json_extract_string(value, '$.error'), 'connection_failed')
+    WHEN found IS NULL THEN 'missing_url' WHEN url IS NULL THEN 'invalid_url' END AS failure_type,
+  url, coalesce({SQL_SEED}) AS cse_id, {", ".join(map(_sql_passed, ["status", "status_code", "title", "registrable", "brand", "seed_registrable", "canonical_fqdn", "fqdn"]))}
+FROM r""")
+def record_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route, url, seed and passed fields of records of every shape."""
+    routed = R.route(_shaped(table(spark, sf_dir, "pages")))
+    r = F.col("rec")
+    return routed.select("page_id", "route", "failure_type", "url", R.found_seed(r).alias("cse_id"), *[F.to_json(R.passed_field(r, k)).alias(k) for k in R.PASSED])
+
+
+@query(SQL_SHAPED + """
+SELECT failure_type, keys AS shape, count(*) AS n, min(left(raw, 20)) AS least FROM (
+  SELECT raw, CASE WHEN value IS NULL THEN 'json_parse_error' WHEN found IS NULL THEN 'missing_url' ELSE 'invalid_url' END AS failure_type,
+    CASE WHEN value IS NULL THEN '-' ELSE array_to_string(json_keys(value), ',') END AS keys
+  FROM r WHERE NOT failed AND url IS NULL) q GROUP BY failure_type, keys""")
+def dead_letter_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters by failure and by the record's keys."""
+    dead = R.dead_letters(R.route(_shaped(table(spark, sf_dir, "pages"))))
+    shape = F.coalesce(F.array_join("record_keys", ","), F.lit("-"))
+    return dead.groupBy("failure_type", shape.alias("shape")).agg(F.count("*").alias("n"), F.min(F.left("raw_value", F.lit(20))).alias("least"))
+
+
+@query(SQL_SHAPED + """
+SELECT coalesce(json_extract_string(value, '$.registrable'), json_extract_string(value, '$.canonical_fqdn'), json_extract_string(value, '$.fqdn')) AS registrable,
+  coalesce(json_extract_string(value, '$.cse_id'), 'none') AS cse_id, 'http_probe_failed' AS reason
+FROM r WHERE failed AND coalesce(json_extract_string(value, '$.registrable'), json_extract_string(value, '$.canonical_fqdn'), json_extract_string(value, '$.fqdn')) IS NOT NULL""")
+def inactive_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inactive records of any shape; those that name no host are left out."""
+    found = R.inactive(R.route(_shaped(table(spark, sf_dir, "pages"))))
+    return found.select("registrable", F.coalesce("cse_id", F.lit("none")).alias("cse_id"), F.element_at("reasons", 1).alias("reason"))
+
+
+
 @query(f"""
 WITH p AS (SELECT page_id, url, {HOST} AS full_host FROM pages),
 w AS (SELECT page_id, url, CASE WHEN regexp_matches(full_host, '^www\\.[^.]*\\..*') THEN full_host[5:] ELSE full_host END AS h FROM p),
