@@ -82,18 +82,39 @@ def cross_registrable(original: Column, final: Column) -> Column:
     return F.coalesce(dotted & (rest(original) != rest(final)), F.lit(False))
 
 
-def with_registrable(hosts: DataFrame, suffixes: DataFrame, host: str = "host") -> DataFrame:
-    """Adds `registrable`: the longest public suffix of `host` and one more label; the host itself if none fits.
+def suffix_rules(suffixes: DataFrame) -> DataFrame:
+    """(tail, more, exception) of the rules of a public suffix list in `suffix`.
 
-    `suffixes` has a column `suffix`. Each host's label tails meet the
-    suffixes in an equi-join, once per distinct host.
+    `co.in` is a suffix itself. `*.ck` makes one of every label below ck, so
+    it is looked up by `ck` and has one label more. `!www.ck` is an exception
+    to that: its suffix has one label less. Blank lines and // comments, as
+    the list has them, are left out.
     """
+    s = F.lower(F.trim("suffix"))
+    rules = suffixes.select(s.alias("s")).where((F.col("s") != "") & ~F.startswith("s", F.lit("//"))).distinct()
+    star, bang = F.startswith("s", F.lit("*.")), F.startswith("s", F.lit("!"))
+    more = F.when(star, 1).when(bang, -1).otherwise(0)
+    tail = F.when(star, F.substr("s", F.lit(3))).when(bang, F.substr("s", F.lit(2))).otherwise(F.col("s"))
+    return rules.select(tail.alias("tail"), more.alias("more"), bang.alias("exception"))
+
+
+def with_registrable(hosts: DataFrame, suffixes: DataFrame, host: str = "host", private: bool = True, unknown: int | None = None) -> DataFrame:
+    """Adds `registrable`: the public suffix of `host` and one more label.
+
+    `suffixes` has a column `suffix` with the rules, and may have a boolean
+    `private`; those marked so are left out unless `private`. An exception
+    decides before all other rules, then the rule of most labels. Where none
+    fits, the last `unknown` labels are taken, or the whole host. Each host's
+    label tails meet the rules in an equi-join, once per distinct host.
+    """
+    if not private and "private" in suffixes.columns:
+        suffixes = suffixes.where(~F.coalesce("private", F.lit(False)))
     tails = hosts.select(host).where(F.col(host).isNotNull()).distinct().withColumn("_p", labels(F.col(host)))
-    tails = tails.select(host, "_p", F.explode(F.sequence(F.lit(1), F.size("_p"))).alias("_n")).withColumn(
-        "suffix", F.array_join(F.slice("_p", -F.col("_n"), F.col("_n")), "."))
-    best = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy(host).agg(F.max("_n").alias("_n"))
+    tails = tails.select(host, F.size("_p").alias("_all"), F.explode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_p", -n, n), ".").alias("tail")))).alias("_t"))
+    met = tails.select(host, "_all", F.col("_t.n").alias("_n"), F.col("_t.tail").alias("tail")).join(suffix_rules(suffixes), "tail").where(F.col("_n") + F.col("more") <= F.col("_all"))
+    best = met.groupBy(host).agg(F.max(F.struct("exception", (F.col("_n") + F.col("more")).alias("n")))["n"].alias("_n"))
     parts = labels(F.col(host))
-    take = F.least(F.coalesce("_n", F.size(parts)) + 1, F.size(parts))
+    take = F.least(F.coalesce(F.col("_n") + 1, F.size(parts) if unknown is None else F.lit(unknown)), F.size(parts))
     return hosts.join(best, host, "left").withColumn("registrable", F.array_join(F.slice(parts, -take, take), ".")).drop("_n")
 
 

@@ -34,7 +34,7 @@ FORM_TLDS = [".tk", ".ml", ".ga", ".cf", ".gq", ".xyz", ".top", ".work", ".click
 SHORTENERS = ["bit.ly", "tinyurl.com", "goo.gl", "ow.ly", "t.co", "rebrandly.com", "short.io", "cutt.ly", "is.gd", "v.gd"]
 FREE_HOSTS = ["000webhostapp.com", "infinityfreeapp.com", "netlify.app", "vercel.app", "herokuapp.com", "repl.co", "glitch.me"]
 TRUSTED_ISSUERS = ["Let's Encrypt", "DigiCert", "GoDaddy", "Comodo", "Sectigo", "GlobalSign", "Entrust", "Amazon", "Google Trust Services", "IdenTrust", "Baltimore", "ISRG"]
-PAGE_KEYWORDS = ["verify", "urgent", "suspended", "password", "account", "reset", "update", "limited", "confirm", "login", "sign in"]
+PAGE_KEYWORDS = ["verify", "urgent", "suspended", "password", "account", "reset", "update", "limited", "confirm", "login", "sign in", "secure", "blocked"]
 NOISE_LABELS = ["cpanel", "cpcalendars", "cpcontacts", "webdisk", "webmail", "autodiscover", "autoconfig", "whm", "mail", "ns1", "ns2", "imap", "pop", "smtp"]
 GENERIC_TOKENS = ["mail", "email", "account", "accounts", "web", "www", "app", "api", "admin", "login", "secure", "bank", "net", "online", "service", "services", "portal", "user", "customer", "support"]
 # JavaScript: a regular expression per pattern; keyloggers need two of theirs.

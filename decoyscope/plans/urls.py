@@ -102,6 +102,42 @@ def host_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         H.strip_www(h).alias("bare"), is_noise(h).alias("noisy"), U.is_valid_domain(h).alias("valid"))
 
 
+#: Rules of every kind, and what hosts end with; @ stands for the first label of a page's host.
+RULES = ["com", "in", "co.in", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "jp", "kawasaki.jp", "// a comment", " ", "UK", "co.uk"]
+PRIVATE_RULES = ["blogspot.com", "*.compute.cloud.com", "!own.compute.cloud.com"]
+ENDS = [
+    "@.com", "b.@.co.in", "a.b.@.ck", "@.ck", "a.www.ck", "www.ck", "a.@.kawasaki.jp", "a.b.city.kawasaki.jp", "@.city.kawasaki.jp", "kawasaki.jp", "x.@.blogspot.com",
+    "a.@.eu.compute.cloud.com", "@.own.compute.cloud.com", "a.@.unknown", "@", "co.uk", "a.@.co.uk", "@.in",
+]
+ENDED = "CASE page_id % " + str(len(ENDS)) + "".join(f" WHEN {i} THEN replace('{e}', '@', label)" for i, e in enumerate(ENDS)) + " END"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, string_split({HOST}, '.')[1] AS label FROM pages),
+h AS (SELECT page_id, {ENDED} AS host FROM p),
+rule AS (
+  SELECT trim(lower(r)) AS r, priv FROM (SELECT unnest({RULES}) AS r, false AS priv UNION ALL SELECT unnest({PRIVATE_RULES}), true) q
+  WHERE trim(r) <> '' AND NOT starts_with(r, '//')),
+regex AS (
+  SELECT priv, starts_with(r, '!') AS exception, len(string_split(r, '.')) - CASE WHEN starts_with(r, '!') THEN 1 ELSE 0 END AS n,
+    '^(.*\\.)?' || replace(replace(replace(r, '!', ''), '.', '\\.'), '*', '[^.]+') || '$' AS x FROM rule),
+hit AS (SELECT h.page_id, g.priv, g.exception, g.n FROM h JOIN regex g ON regexp_matches(h.host, g.x)),
+best AS (SELECT page_id, arg_max(n, (exception::INT, n)) AS n FROM hit GROUP BY page_id),
+open AS (SELECT page_id, arg_max(n, (exception::INT, n)) AS n FROM hit WHERE NOT priv GROUP BY page_id),
+l AS (SELECT page_id, host, string_split(host, '.') AS ls FROM h)
+SELECT l.page_id, l.host, array_to_string(ls[greatest(len(ls) - coalesce(best.n, len(ls)), 1):], '.') AS registrable,
+  array_to_string(ls[greatest(len(ls) - coalesce(open.n, 1), 1):], '.') AS without_private
+FROM l LEFT JOIN best USING (page_id) LEFT JOIN open USING (page_id)""")
+def suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registrable domains under rules with wildcards, exceptions and private suffixes, and under none."""
+    label = H.left_label(H.url_host(F.col("url")))
+    hosts = table(spark, sf_dir, "pages").select("page_id", label.alias("label")).select("page_id", F.expr(ENDED).alias("host"))
+    rules = spark.createDataFrame([(r, False) for r in RULES] + [(r, True) for r in PRIVATE_RULES], "suffix string, private boolean")
+    every = H.with_registrable(hosts, rules)
+    public = H.with_registrable(every.withColumnRenamed("registrable", "every"), rules, private=False, unknown=2)
+    return public.select("page_id", "host", F.col("every").alias("registrable"), F.col("registrable").alias("without_private"))
+
+
 @query(f"""
 WITH p AS (SELECT page_id, url, {HOST} AS host FROM pages),
 q AS (SELECT *, CASE WHEN regexp_matches(host, '^www\\.[^.]*\\..*') THEN host[5:] ELSE host END AS bare FROM p)
