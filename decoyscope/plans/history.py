@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decoyscope.durable import scratch
 from decoyscope.functions import text as T
 from decoyscope.operators import dedup, fuse, search
 from decoyscope.plans.registry import query, table
@@ -57,6 +55,37 @@ def retry_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.retries(e, "user_id", ["ts", "event_id"], F.col("ok")).select("event_id", "attempt", "dead")
 
 
+ONE_KEY = "CASE WHEN user_id % 3 = 0 THEN user_id END"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT coalesce({ONE_KEY}, -1) AS k, event_id, ts, row_number() OVER (PARTITION BY {ONE_KEY} ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT k, event_id, ts, n FROM e WHERE n = 1
+  UNION ALL
+  SELECT * FROM (
+    SELECT e.k, e.event_id, e.ts, e.n FROM r JOIN e ON e.k = r.k AND e.ts >= r.ts + INTERVAL 7 HOUR AND e.n > r.n
+    QUALIFY row_number() OVER (PARTITION BY e.k ORDER BY e.n) = 1) q)
+SELECT k, event_id FROM r""")
+def first_seen_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept events where one key, the null key, has two thirds of all rows: it is folded in segments of a hundredth of its rows or more."""
+    e = table(spark, sf_dir, "events").select(F.expr(ONE_KEY).alias("k"), "event_id", "ts")
+    segment = max(100, e.count() // 150)
+    return dedup.first_seen(e, "k", "ts", 7 * 3600, "event_id", segment).select(F.coalesce("k", F.lit(-1)).alias("k"), "event_id")
+
+
+@query(f"""
+WITH e AS (SELECT {ONE_KEY} AS k, event_id, ts, event_id % 50 = 0 AS ok FROM events),
+g AS (SELECT *, coalesce(sum(CAST(ok AS INTEGER)) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ep FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, ep ORDER BY ts, event_id) AS n FROM g)
+SELECT event_id, CAST(CASE WHEN ok THEN 0 ELSE n END AS INTEGER) AS attempt, NOT ok AND n >= 3 AS dead FROM r""")
+def retries_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures in a row where one key has two thirds of all rows and long runs of failures cross its segments."""
+    ok = F.col("event_id") % 50 == 0
+    e = table(spark, sf_dir, "events").select(F.expr(ONE_KEY).alias("k"), "event_id", "ts", ok.alias("ok"))
+    return dedup.retries(e, "k", ["ts", "event_id"], F.col("ok"), segment=max(20, e.count() // 1000)).select("event_id", "attempt", "dead")
+
+
 @query("""
 WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events WHERE event_type = 'error')
 SELECT user_id, event_id, CAST(n AS INTEGER) AS recheck, 'Re-check #' || n AS reason FROM e WHERE n BETWEEN 1 AND 3""")
@@ -192,20 +221,10 @@ def time_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_timestamp(T.exif_time(exif)).alias("shot"), F.from_json("props", "k bigint")["k"].alias("k"), F.size(F.json_object_keys("props")).alias("keys"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; one of this machine's only where that isn't set and tasks run here alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/scratch_{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as JSON lines with bad lines among them, read again, bad lines dropped."""
-    at = _scratch(spark)
+    at = scratch(spark)
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     S.write_jsonl(e, at, "20240101T000000Z")
     e.where("event_id % 100 = 0").select(F.lit("{broken").alias("value")).write.mode("append").text(f"{at}/bad")
@@ -218,7 +237,7 @@ WITH l AS (SELECT user_id, event_id, value, ts, row_number() OVER (PARTITION BY
 SELECT user_id, event_id, value FROM l WHERE n = 1""")
 def upserted_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of the events put one after the other into a keyed collection."""
-    at = _scratch(spark)
+    at = scratch(spark)
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"))
     middle = F.lit("2024-01-16").cast("timestamp_ntz")
     S.upsert(spark, at, e.where(F.col("at.ts") < middle), "user_id", "at", 0)
@@ -239,7 +258,7 @@ def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'c' || c_custkey AS id, c_name AS document, c_mktsegment AS segment, c_acctbal > 0 AS solvent FROM customer")
 def whole_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored collection read as a whole: id, document and the rest as metadata."""
-    at = _scratch(spark)
+    at = scratch(spark)
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("document"), "c_mktsegment", (F.col("c_acctbal") > 0).alias("solvent"))
     rows.write.parquet(at)
     return S.fetch_all(spark, at).select("id", "document", F.col("metadata.c_mktsegment").alias("segment"), "metadata.solvent")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.plans.history import _scratch
+from decoyscope.durable import scratch
 from decoyscope.plans.registry import ORACLES, query
 from decoyscope.sources.records import collection
 from decoyscope.streaming import state
@@ -33,7 +33,7 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "append", key: s
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, ROCKS)
-    at = _scratch(spark)
+    at = scratch(spark)
     try:
         if mode == "append":
             run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
@@ -89,7 +89,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["upserted_collection"])
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events put into a keyed collection batch by batch."""
-    at = _scratch(spark)
+    at = scratch(spark)
     rows = _events(spark, sf_dir).select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"))
     run = state.upsert_stream(rows, f"{at}/kept", "user_id", "at", f"{at}/log", merge=False, drain=True)
     run.awaitTermination()
