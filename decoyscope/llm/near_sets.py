@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decoyscope.llm.common import cut, join_groups, small
@@ -14,8 +12,8 @@ from decoyscope.llm.components import components
 
 #: MinHash samples of a set, bits of its odd sketch, and shingle hashes worked on together.
 SAMPLES, BITS, BLOCK = 256, 1024, 65_536
-#: Rounds of comparisons with one member of a bucket's largest group; members of a bucket that meet in one task, on either side.
-ROUNDS, LEFT, RIGHT = 2, 512, 2048
+#: Rounds of comparisons with one member of a bucket's largest group.
+ROUNDS = 2
 #: Rows that meet one copy of a set, and narrow rows of a written part, about.
 SALTED, PART = 256, 20_000
 
@@ -113,55 +111,32 @@ def _unsettled(members: DataFrame, n: int, roots: DataFrame | None, turn: int) -
     return rows, _written(buckets.where("roots > 1").select("h", "n", F.col("most.root").alias("main"), F.col("most.pivot").alias("pivot"), F.col("most.n").alias("its")), n)
 
 
-def _rest(members: DataFrame, total: int, sets: DataFrame, sketches: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) of different roots that share a bucket and may be alike: all that neither bound rules out.
+def _rest(members: DataFrame, total: int, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of different roots that may be alike, at least one of them outside the largest root of a bucket that they may share.
 
-    Each member outside its bucket's largest root meets all members, dealt
-    out in blocks. Two sets have at most m = min(|a| - own(a), |b| - own(b))
-    hashes in common, own being those that no other set of these has, so a
-    similarity of at most m / (|a| + |b| - m); and their sketches must not
-    be too far apart. Most texts that are like none have much of their own,
-    so they leave few pairs.
+    Two sets of similarity `least` or more share `least` / (1 + `least`) of
+    their sizes' sum. In any common order they share one of the first hashes
+    of either, with so many left from there on in both. Here the rarest come
+    first. What sets of one bucket have in common comes last, so sets that
+    differ in more than they may are not compared, however many share a bucket.
     """
     rows, buckets = _unsettled(members, total, roots, ROUNDS)
-    rows = _written(join_groups(rows, buckets, ["h"], "n", total), total)
-    mine = _written(rows.select("key").distinct(), total)
-    each = sets.join(mine, "key").select("key", F.explode("set").alias("x"))
-    own = each.groupBy("x").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("own"))
-    known = mine.join(own, "key", "left").join(sketches, "key").select("key", "size", F.coalesce("own", F.lit(0)).alias("own"), "odd")
-    known = known.where(100 * (F.col("size") - F.col("own")) >= 100 * least * F.col("size") - 1e-6)
-    rows = cut(rows.join(known, "key"))
-    few = (F.ceil((F.col("n") - F.col("its")) / LEFT)).cast("int")
-    many = (F.ceil(F.col("n") / RIGHT)).cast("int")
-    turned = lambda blocks: F.pmod(F.xxhash64("key"), blocks).cast("int")
-    left = rows.where("root <> main").withColumn("i", turned(few)).withColumn("j", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("side", F.lit(0))
-    right = rows.withColumn("j", turned(many)).withColumn("i", F.explode(F.sequence(F.lit(0), few - 1))).withColumn("side", F.lit(1))
-    bound, far = 100 * least - 1e-6, allowed(least)
-    tasks = max(12, -(-total // RIGHT))
-
-    def alike(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        columns = lambda x: (x["key"].to_numpy(), x["root"].to_numpy(), x["size"].to_numpy(np.int64), (x["size"] - x["own"]).to_numpy(np.int64), np.stack(list(x["odd"])))
-        key, root, size, common, odd = columns(b)
-        order = columns(a)
-        for k, r, n, c, o in zip(*order):
-            m = np.minimum(c, common)
-            some = np.flatnonzero((root != r) & (100 * m >= bound * (size + n - m)))
-            if len(some):
-                some = some[np.bitwise_count(odd[some] ^ o).sum(axis=1) <= far]
-            yield np.maximum(key[some], k), np.minimum(key[some], k)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-        for _, part in pdf.groupby(["h", "i", "j"], sort=False):
-            a, b = part[part["side"] == 0], part[part["side"] == 1]
-            if len(a) and len(b):
-                out += alike(a, b)
-        u, v = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"u": u, "v": v}).drop_duplicates()
-
-    dealt = left.unionByName(right).select("h", "i", "j", "side", "key", "root", "size", "own", "odd")
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("h", "i", "j"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("task").applyInPandas(compare, "u long, v long").distinct()
+    rows = join_groups(rows, buckets, ["h"], "n", total)
+    apart = _written(rows.groupBy("key").agg(F.max("root").alias("root"), F.max((F.col("root") != F.col("main")).cast("int")).alias("outside")), total)
+    each = cut(sets.join(apart, "key").select("key", "root", "outside", F.size("set").alias("size"), F.explode("set").alias("x")))
+    held = cut(each.groupBy("x").agg(F.count("*").alias("held")).where("held > 1"))
+    each = join_groups(each, held, ["x"], "held", each.count())
+    mine = Window.partitionBy("key")
+    # hashes that no other set has come first of all
+    place = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held", "x"))
+    each = each.withColumn("at", place).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    each = cut(each.select("key", "root", "outside", "size", "x", "at"))
+    needed = least / (1 + least) * (F.col("size") + F.col("its")) - 1e-9
+    left = 1 + F.least(F.col("size") - F.col("at"), F.col("its") - F.col("there"))
+    fits = (F.col("root") != F.col("other")) & (F.least("size", "its") >= least * F.greatest("size", "its") - 1e-9) & (left >= needed)
+    there = each.select("x", F.col("key").alias("v"), F.col("root").alias("other"), F.col("size").alias("its"), F.col("at").alias("there"))
+    met = each.where("outside = 1").join(there, "x").where(fits)
+    return met.select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v")).distinct()
 
 
 def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -170,8 +145,8 @@ def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, least: float
     `sketches` has (key, size, odd) and `sets` (key, set), the distinct
     hashes, of every member. In each of ROUNDS rounds a bucket's members
     outside its largest group are compared with one member of that group; in
-    the end those that are still apart meet all others, save what bounds rule
-    out. Every link is confirmed on the full sets.
+    the end those that are still apart meet all others with which they share
+    a rare hash. Every link is confirmed on the full sets.
     """
     found, roots, n = None, None, members.count()
     for turn in range(ROUNDS):
@@ -185,7 +160,7 @@ def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, least: float
         roots = _written(moved if roots is None else moved.unionByName(roots.join(moved, "key", "left_anti")), n)
     found = _written(found, n)
     roots = components(found).withColumnRenamed("node", "key")
-    return found.unionByName(_confirmed(cut(_rest(members, n, sets, sketches, roots, least)), sets, sketches, least))
+    return found.unionByName(_confirmed(cut(_rest(members, n, sets, roots, least)), sets, sketches, least))
 
 
 def shared_buckets(each: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def test_sketches_tell_similarity():
         drawn = near_sets.samples([np.r_[both, own[:100]], np.r_[both, own[100:]]])  # 800 of 1000
         assert abs((drawn[0] == drawn[1]).mean() - 0.8) < 0.15
         a, b = near_sets.odd_sketches(drawn)
-        far.append(int(np.bitwise_count(a ^ b).sum()))
+        far.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()))
     assert max(far) <= near_sets.allowed(0.8)
     assert abs(np.mean(near_sets.similarity(np.array(far))) - 0.8) < 0.01
     assert np.std(near_sets.similarity(np.array(far))) < 0.04
