@@ -9,6 +9,7 @@ from decoyscope.durable import scratch
 from decoyscope.functions import text as T
 from decoyscope.operators import dedup, fuse, search
 from decoyscope.plans.registry import query, table
+from decoyscope.sources import collections as C
 from decoyscope.sources import records as S
 
 
@@ -240,9 +241,47 @@ def upserted_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark)
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("at"))
     middle = F.lit("2024-01-16").cast("timestamp_ntz")
-    S.upsert(spark, at, e.where(F.col("at.ts") < middle), "user_id", "at", 0)
-    last = S.upsert(spark, at, e.where(F.col("at.ts") >= middle), "user_id", "at", 1, merge=False)
-    return S.collection(spark, at, last).select("user_id", "event_id", "value")
+    C.upsert(spark, at, e.where(F.col("at.ts") < middle), "user_id", "at", 0)
+    last = C.upsert(spark, at, e.where(F.col("at.ts") >= middle), "user_id", "at", 1, merge=False)
+    return C.collection(spark, at, last).select("user_id", "event_id", "value")
+
+
+#: Batches of events by id; those of the third replace whole rows, the others keep what they have no value for.
+BATCHES = 6
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_type <> 'view' THEN value END AS value, event_id * {BATCHES} // (SELECT max(event_id) + 1 FROM events) AS b FROM events),
+n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, b ORDER BY event_id DESC) = 1),
+f AS (SELECT user_id, coalesce(max(b) FILTER (b = 2), 0) AS floor FROM n GROUP BY user_id)
+SELECT user_id, arg_max(event_id, b) AS event_id, arg_max(event_type, b) AS kind, arg_max(value, b) FILTER (value IS NOT NULL AND b >= floor OR b = 2) AS value,
+  min(event_id) FILTER (b = 0 AND floor = 0) AS oldest
+FROM n JOIN f USING (user_id) GROUP BY user_id""")
+def merged_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection after six upserts, one of which replaces; the first one's column `oldest` is never given again."""
+    at = scratch(spark)
+    e = table(spark, sf_dir, "events")
+    top = e.agg(F.max("event_id") + 1).first()[0]
+    value = F.when(F.col("event_type") != "view", F.col("value"))
+    rows = e.select("user_id", "event_id", F.col("event_type").alias("kind"), value.alias("value"), F.floor(F.col("event_id") * BATCHES / top).alias("b"))
+    for b in range(BATCHES):
+        oldest = F.col("event_id") if b == 0 else F.lit(None).cast("long")
+        C.upsert(spark, at, rows.where(F.col("b") == b).drop("b").withColumn("oldest", oldest), "user_id", "event_id", b, merge=b != 2)
+    return C.collection(spark, at, BATCHES - 1)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CAST(strftime(ts, '%d') AS INTEGER) AS day FROM events),
+n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC, event_id DESC) = 1)
+SELECT user_id, event_id, day FROM n WHERE user_id % 7 = 3""")
+def collection_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of some keys of a collection of several segments, read by the segments' key filters."""
+    at = scratch(spark)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.dayofmonth("ts").alias("day")).withColumn("at", F.struct("day", "event_id"))
+    for v, (low, high) in enumerate([(0, 25), (26, 29), (30, 31)]):
+        C.upsert(spark, at, e.where(F.col("day").between(low, high)), "user_id", "at", v)
+    keys = e.where("user_id % 7 = 3").select("user_id").distinct()
+    return C.lookup(spark, at, 2, keys).drop("at")
 
 
 @query("SELECT 'originals' AS collection, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'variants', count(*) FROM customer WHERE c_custkey % 3 <> 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decoyscope.durable import scratch
 from decoyscope.plans.registry import ORACLES, query
-from decoyscope.sources.records import collection
+from decoyscope.sources.collections import collection
 from decoyscope.streaming import state
 
 #: Files that a micro-batch reads.

@@ -85,62 +85,6 @@ def upserted(table: DataFrame, rows: DataFrame, key: str, ts: str, merge: bool =
     return both.select(*[one(c).alias(c) for c in table.columns])
 
 
-def _manifest(spark: SparkSession, path: str, version: int) -> tuple[str, dict[int, int]]:
-    """The schema of version `version` of the collection at `path`, and the version that holds each bucket."""
-    row = spark.read.schema("schema string, buckets array<struct<bucket: int, version: int>>").json(f"{path}/manifest/v={version}").first()
-    return row["schema"], {b["bucket"]: b["version"] for b in row["buckets"] or []}
-
-
-def collection(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """The rows of version `version` of the collection at `path`: of each bucket the files that were written last."""
-    schema, held = _manifest(spark, path, version)
-    rows = spark.createDataFrame([], schema)
-    for v in sorted(set(held.values())):
-        part = spark.read.schema(f"{schema}, _bucket int").parquet(f"{path}/rows/v={v}")
-        rows = rows.unionByName(part.where(F.col("_bucket").isin([b for b, w in held.items() if w == v])).drop("_bucket"))
-    return rows
-
-
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str, ts: str, version: int, merge: bool = True, buckets: int = 32, keep: int = 3) -> int:
-    """Writes version `version` of the collection at `path` from the one before; returns it, for `collection`.
-
-    Only buckets that new rows fall in are written, and a manifest of one row
-    says which version holds each. Nothing that a manifest names is
-    overwritten, so a failed run leaves the last version as it was and a
-    repeated version gives the same rows. Versions that none of the last
-    `keep` manifests names are removed. Repeated keys: the newest row counts.
-    """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    schema, held = _manifest(spark, path, version - 1) if version else (_ddl(rows), {})
-    hit = sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())  # at most `buckets`
-    before = collection(spark, path, version - 1).where(bucket.isin(hit)) if version else spark.createDataFrame([], schema)
-    made = upserted(before, rows, key, ts, merge).withColumn("_bucket", bucket)
-    made.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/rows/v={version}")
-    held = held | {b: version for b in hit}
-    line = spark.createDataFrame([(schema, [(b, v) for b, v in sorted(held.items())])], "schema string, buckets array<struct<bucket: int, version: int>>")
-    line.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/v={version}")
-    _expire(spark, path, version, keep)
-    return version
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
-
-
-def _expire(spark: SparkSession, path: str, version: int, keep: int) -> None:
-    """Removes the manifest that is `keep` versions old, and the rows that only it named."""
-    old = version - keep
-    if old < 0:
-        return
-    named = {v for k in range(old + 1, version + 1) for v in _manifest(spark, path, k)[1].values()}
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-    if fs.exists(at(f"{path}/manifest/v={old}")):
-        for v in set(_manifest(spark, path, old)[1].values()) - named:
-            fs.delete(at(f"{path}/rows/v={v}"), True)
-        fs.delete(at(f"{path}/manifest/v={old}"), True)
-
-
 def split_collections(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(originals, variants) by is_original_seed, null counting as a variant."""
     own = F.col("is_original_seed").eqNullSafe(F.lit(True))

@@ -235,7 +235,7 @@ def windowed_verdicts(rows: DataFrame, ts: str, kind: str, size: str = "1 hour",
 
 def upsert_stream(rows: DataFrame, path: str, key: str, ts: str, checkpoint: str, merge: bool = True, drain: bool = False):
     """Micro-batch upsert: batch n writes version n of the collection at `path`, again the same if it is repeated; `drain` ends with the source."""
-    from decoyscope.sources.records import upsert
+    from decoyscope.sources.collections import upsert
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: upsert(df.sparkSession, path, df, key, ts, n, merge))
     return (writer.trigger(availableNow=True) if drain else writer).start()

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from decoyscope.sources import collections as C
 from decoyscope.sources import records as S
 from decoyscope.streaming import state
 
@@ -182,9 +183,9 @@ def test_micro_batches_upsert(spark, tmp_path):
     df = batches(spark, tmp_path, "id long, x string, ts long", groups)
     at = f"file://{tmp_path}/kept"
     state.upsert_stream(df, at, "id", "ts", str(tmp_path / "log"), drain=True).awaitTermination(120)
-    rows = lambda v: sorted((r.id, r.x, r.ts) for r in S.collection(spark, at, v).collect())
+    rows = lambda v: sorted((r.id, r.x, r.ts) for r in C.collection(spark, at, v).collect())
     assert rows(4) == [(1, "a", 5), (2, "c", 2), (3, "e", 4), (4, "f", 6)] and rows(3) == rows(4)[:3]
-    again = S.upsert(spark, at, spark.createDataFrame([(4, "f", 6)], "id long, x string, ts long"), "id", "ts", 4)
+    again = C.upsert(spark, at, spark.createDataFrame([(4, "f", 6)], "id long, x string, ts long"), "id", "ts", 4)
     assert rows(again) == [(1, "a", 5), (2, "c", 2), (3, "e", 4), (4, "f", 6)]
     assert sorted(p.name for p in (tmp_path / "kept" / "manifest").iterdir()) == ["v=2", "v=3", "v=4"]
 
