@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.operators import enrich, match, route, variants
+from decoyscope.operators import enrich, match, networks, route, variants
 from decoyscope.plans.registry import query, table
 
 _TOKENS = "SELECT DISTINCT lower(regexp_extract(p_name, '([a-z]+)$', 1)) AS token FROM part"
@@ -159,6 +159,50 @@ def three_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("reasons", F.array_join("reasons", ","))
 
 
+#: Addresses of both families made of customers, some of them none; nested and overlapping networks and ranges made of nations. Both engines read these.
+ADDRESSES = """
+SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN '10.' || c_nationkey || '.' || (c_custkey % 256) || '.' || (c_custkey * 7 % 256)
+  WHEN c_custkey % 5 < 4 THEN '2001:db8:' || lower(hex(c_nationkey)) || ':' || lower(hex(c_custkey % 65536)) || '::' || lower(hex(c_custkey * 13 % 65536)) ELSE 'host' || c_custkey END AS address
+FROM customer"""
+NETWORKS = """
+SELECT '10.0.0.0/8' AS network UNION SELECT '2001:db8::/32' UNION SELECT '2001:db8::/129' UNION SELECT 'none'
+UNION SELECT '10.' || n_nationkey || '.0.0/16' FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT '10.' || n_nationkey || '.' || (n_nationkey * 8) || '.0/21' FROM nation
+UNION SELECT '10.' || n_nationkey || '.64.0/18' FROM nation WHERE n_nationkey % 3 = 0
+UNION SELECT '10.' || n_nationkey || '.5.200-10.' || (n_nationkey + 1) || '.1.7' FROM nation WHERE n_nationkey % 5 = 0
+UNION SELECT '2001:db8:' || lower(hex(n_nationkey)) || '::/48' FROM nation WHERE n_nationkey % 2 = 0
+UNION SELECT '2001:db8:' || lower(hex(n_nationkey)) || ':0:8000::/66' FROM nation UNION SELECT '2001:db8:' || lower(hex(n_nationkey)) || ':80::/57' FROM nation"""
+
+
+@query(f"""
+WITH a AS ({ADDRESSES.replace("lower(hex(", "lower(printf('%x', ")}),
+b AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN '4:' || lpad(bin(10 * 16777216 + c_nationkey * 65536 + c_custkey % 256 * 256 + c_custkey * 7 % 256), 32, '0')
+    WHEN c_custkey % 5 < 4 THEN '6:' || lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0') || lpad(bin(c_nationkey), 16, '0') || lpad(bin(c_custkey % 65536), 16, '0') || repeat('0', 48) || lpad(bin(c_custkey * 13 % 65536), 16, '0') END AS bits
+  FROM customer),
+v4 AS (
+  SELECT '10.0.0.0/8' AS network, 10 * 16777216 AS low, 11 * 16777216 - 1 AS high
+  UNION SELECT '10.' || n_nationkey || '.0.0/16', (2560 + n_nationkey) * 65536, (2561 + n_nationkey) * 65536 - 1 FROM nation WHERE n_nationkey % 2 = 0
+  UNION SELECT '10.' || n_nationkey || '.' || (n_nationkey * 8) || '.0/21', (2560 + n_nationkey) * 65536 + n_nationkey * 2048, (2560 + n_nationkey) * 65536 + n_nationkey * 2048 + 2047 FROM nation
+  UNION SELECT '10.' || n_nationkey || '.64.0/18', (2560 + n_nationkey) * 65536 + 16384, (2560 + n_nationkey) * 65536 + 32767 FROM nation WHERE n_nationkey % 3 = 0
+  UNION SELECT '10.' || n_nationkey || '.5.200-10.' || (n_nationkey + 1) || '.1.7', (2560 + n_nationkey) * 65536 + 1480, (2561 + n_nationkey) * 65536 + 263 FROM nation WHERE n_nationkey % 5 = 0),
+v6 AS (
+  SELECT '2001:db8::/32' AS network, lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0') AS head
+  UNION SELECT '2001:db8:' || printf('%x', n_nationkey) || '::/48', lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0') || lpad(bin(n_nationkey), 16, '0') FROM nation WHERE n_nationkey % 2 = 0
+  UNION SELECT '2001:db8:' || printf('%x', n_nationkey) || ':0:8000::/66', lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0') || lpad(bin(n_nationkey), 16, '0') || repeat('0', 16) || '10' FROM nation
+  UNION SELECT '2001:db8:' || printf('%x', n_nationkey) || ':80::/57', lpad(bin(8193), 16, '0') || lpad(bin(3512), 16, '0') || lpad(bin(n_nationkey), 16, '0') || '000000001' FROM nation),
+n AS (
+  SELECT network, '4:' || lpad(bin(low), 32, '0') AS low, '4:' || lpad(bin(high), 32, '0') AS high, (high - low + 1)::DOUBLE AS size FROM v4
+  UNION ALL SELECT network, '6:' || rpad(head, 128, '0'), '6:' || rpad(head, 128, '1'), pow(2, 128 - length(head)) FROM v6),
+best AS (SELECT c_custkey, arg_min(network, (size, network)) AS network FROM b JOIN n ON bits BETWEEN low AND high GROUP BY c_custkey)
+SELECT a.c_custkey, address, network FROM a LEFT JOIN best USING (c_custkey)""")
+def network_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest network or range of either family that holds each address."""
+    for name in ("customer", "nation"):
+        table(spark, sf_dir, name).createOrReplaceTempView(f"_{name}")
+    read = lambda text: spark.sql(text.replace("FROM customer", "FROM _customer").replace("FROM nation", "FROM _nation"))
+    return networks.with_network(read(ADDRESSES), read(NETWORKS), "address").select("c_custkey", "address", F.col("net.network").alias("network"))
+
+
 @query("""
 WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS ip FROM orders),
 r AS (SELECT n_nationkey * 20000 AS net_start, n_nationkey * 20000 + 14999 AS net_end, n_name AS country FROM nation)
