@@ -2,54 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoyscope.llm import near_sets
 from decoyscope.llm.common import cut, join_groups, read
 from decoyscope.llm.components import components
-from decoyscope.llm.simhash import shingle_hashes
+from decoyscope.llm.near_sets import shingle_hashes
 
-#: Words of a shingle, least similarity, samples in a band: two sets of that similarity share none of the 42 bands in three of a million cases.
-WORDS, SIMILAR, ROWS = 4, 0.8, 6
-#: Shingles of a block of texts that are sketched together, about.
-TOGETHER = 1_000_000
-
-
-def sketched(text: Column, words: int) -> Column:
-    """(size, whole, check, bands, odd) of a text's set of shingles: its size, two hashes of it, and its sketch; no bands if it is empty."""
-
-    @F.pandas_udf("size long, whole long, check long, bands array<long>, odd array<long>")
-    def work(texts: pd.Series) -> pd.DataFrame:
-        import xxhash
-
-        size, whole, check = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
-        banded, odd = [None] * len(texts), [None] * len(texts)
-
-        def finish(block: list[tuple[int, np.ndarray]]) -> None:
-            if block:
-                drawn = near_sets.samples([s for _, s in block])
-                for (i, _), b, o in zip(block, near_sets.bands(drawn, ROWS), near_sets.odd_sketches(drawn)):
-                    banded[i], odd[i] = b, o
-
-        block, held = [], 0
-        for i, t in enumerate(texts):
-            hs = shingle_hashes(t, words, True)
-            raw = hs.tobytes()
-            size[i] = len(hs)
-            whole[i], check[i] = np.array([xxhash.xxh64_intdigest(raw, 7), xxhash.xxh3_64_intdigest(raw)], dtype=np.uint64).view(np.int64)
-            if len(hs):
-                block.append((i, hs))
-                held += len(hs)
-            if held > TOGETHER:
-                finish(block)
-                block, held = [], 0
-        finish(block)
-        return pd.DataFrame({"size": size, "whole": whole, "check": check, "bands": banded, "odd": odd})
-
-    return work(text)
+#: Words of a shingle, least similarity.
+WORDS, SIMILAR = 4, 0.8
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILAR) -> DataFrame:
@@ -66,7 +28,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILAR)
 
     Returns doc_id, n_shingles, component_id, kept.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_sets.identity(F.col("text")).alias("body"), sketched(F.col("text"), words).alias("x"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_sets.identity(F.col("text")).alias("body"), near_sets.sketched(F.col("text"), words).alias("x"))
     rows = cut(rows.select("doc_id", "body", "x.*"))
     one = ["whole", "check", "size"]
     classes = rows.where("size > 0").groupBy(*one).agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.count("*").alias("n"))

@@ -12,8 +12,10 @@ from decoyscope.llm.components import components
 
 #: MinHash samples of a set, bits of its odd sketch, and shingle hashes worked on together.
 SAMPLES, BITS, BLOCK = 256, 1024, 65_536
+#: Samples in a band: two sets of similarity 0.8 share none of the 42 bands in three of a million cases; hashes of texts that are sketched together, about.
+ROWS, TOGETHER = 6, 1_000_000
 #: Rounds of comparisons with one member of a bucket's largest group.
-ROUNDS = 2
+ROUNDS = 3
 #: Rows that meet one copy of a set, and narrow rows of a written part, about.
 SALTED, PART = 256, 20_000
 
@@ -27,6 +29,19 @@ _RNG = np.random.default_rng(13)
 MULTIPLIERS, PLACES, MIX = _odd(_RNG, SAMPLES), _odd(_RNG, SAMPLES), _odd(_RNG, 8)
 
 
+def shingle_hashes(text: str | None, words: int, distinct: bool = False) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, A-Z in lower case; of all its words if they are fewer; none without words."""
+    import xxhash
+
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(ws)
+    ends = np.cumsum([len(w) + 1 for w in ws], dtype=np.int64) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[min(words, max(1, len(ws))) - 1 :].tolist())], dtype="<u8")
+    return np.unique(hashes) if distinct else hashes
+
+
 def samples(sets: list[np.ndarray], k: int = SAMPLES) -> np.ndarray:
     """The k MinHash samples of each of some nonempty sets of 64-bit hashes."""
     out = np.full((len(sets), k), np.uint64(2**64 - 1))
@@ -77,6 +92,40 @@ def similarity(differing: np.ndarray | int, k: int = SAMPLES) -> np.ndarray:
     return 1 + BITS / (4 * k) * np.log(1 - 2 * share)
 
 
+def sketched(text: Column, words: int) -> Column:
+    """(size, whole, check, bands, odd) of a text's set of shingles: its size, two hashes of it, and its sketch; no bands if it is empty."""
+
+    @F.pandas_udf("size long, whole long, check long, bands array<long>, odd array<long>")
+    def work(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        size, whole, check = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
+        banded, odd = [None] * len(texts), [None] * len(texts)
+
+        def finish(block: list[tuple[int, np.ndarray]]) -> None:
+            if block:
+                drawn = samples([s for _, s in block])
+                for (i, _), b, o in zip(block, bands(drawn, ROWS), odd_sketches(drawn)):
+                    banded[i], odd[i] = b, o
+
+        block, held = [], 0
+        for i, t in enumerate(texts):
+            hs = shingle_hashes(t, words, True)
+            raw = hs.tobytes()
+            size[i] = len(hs)
+            whole[i], check[i] = np.array([xxhash.xxh64_intdigest(raw, 7), xxhash.xxh3_64_intdigest(raw)], dtype=np.uint64).view(np.int64)
+            if len(hs):
+                block.append((i, hs))
+                held += len(hs)
+            if held > TOGETHER:
+                finish(block)
+                block, held = [], 0
+        finish(block)
+        return pd.DataFrame({"size": size, "whole": whole, "check": check, "bands": banded, "odd": odd})
+
+    return work(text)
+
+
 def _apart(a: str, b: str) -> Column:
     """Bits in which two sketches differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
@@ -101,14 +150,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: fl
     return _written(both.where(F.round(100 * shared - 100 * least * (F.size("a") + F.size("b") - shared), 6) >= 0).select("u", "v"), n)
 
 
-def _unsettled(members: DataFrame, n: int, roots: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(members with their root, buckets) of the buckets (h, key) that hold more than one root: n rows, the largest root and one of its members, by turns another."""
+def _unsettled(members: DataFrame, n: int, roots: DataFrame | None, found: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(members with their root, buckets) of the buckets (h, key) that hold more than one root: n rows, the largest root, and the one of its members that has most links, or by turns another."""
     rows = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = rows.withColumn("linked", F.lit(0).cast("long"))
+    if found is not None and turn % 2:
+        links = found.groupBy(F.col("v").alias("key")).agg(F.count("*").alias("linked"))
+        rows = rows.drop("linked").join(links, "key", "left").withColumn("linked", F.coalesce("linked", F.lit(0)))
     rows = _written(rows, n)
-    one = F.min(F.struct(F.xxhash64(F.lit(turn), "key"), "key"))["key"].alias("pivot")
+    one = F.min(F.struct(-F.col("linked"), F.xxhash64(F.lit(turn), "key"), "key"))["key"].alias("pivot")
     parts = rows.groupBy("h", "root").agg(F.count("*").alias("n"), one)
     buckets = parts.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root", "pivot")).alias("most"))
-    return rows, _written(buckets.where("roots > 1").select("h", "n", F.col("most.root").alias("main"), F.col("most.pivot").alias("pivot"), F.col("most.n").alias("its")), n)
+    return rows.drop("linked"), _written(buckets.where("roots > 1").select("h", "n", F.col("most.root").alias("main"), F.col("most.pivot").alias("pivot"), F.col("most.n").alias("its")), n)
 
 
 def _rest(members: DataFrame, total: int, sets: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -120,7 +173,7 @@ def _rest(members: DataFrame, total: int, sets: DataFrame, roots: DataFrame, lea
     first. What sets of one bucket have in common comes last, so sets that
     differ in more than they may are not compared, however many share a bucket.
     """
-    rows, buckets = _unsettled(members, total, roots, ROUNDS)
+    rows, buckets = _unsettled(members, total, roots, None, ROUNDS)
     rows = join_groups(rows, buckets, ["h"], "n", total)
     apart = _written(rows.groupBy("key").agg(F.max("root").alias("root"), F.max((F.col("root") != F.col("main")).cast("int")).alias("outside")), total)
     each = cut(sets.join(apart, "key").select("key", "root", "outside", F.size("set").alias("size"), F.explode("set").alias("x")))
@@ -128,13 +181,13 @@ def _rest(members: DataFrame, total: int, sets: DataFrame, roots: DataFrame, lea
     each = join_groups(each, held, ["x"], "held", each.count())
     mine = Window.partitionBy("key")
     # hashes that no other set has come first of all
-    place = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("held", "x"))
-    each = each.withColumn("at", place).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
-    each = cut(each.select("key", "root", "outside", "size", "x", "at"))
+    place = F.col("size") - F.col("common") + F.row_number().over(mine.orderBy("held", "x"))
+    each = each.withColumn("common", F.count("*").over(mine)).withColumn("at", place).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    each = cut(each.select("key", "root", "outside", "size", "common", "x", "at"))
     needed = least / (1 + least) * (F.col("size") + F.col("its")) - 1e-9
-    left = 1 + F.least(F.col("size") - F.col("at"), F.col("its") - F.col("there"))
+    left = F.least(1 + F.least(F.col("size") - F.col("at"), F.col("its") - F.col("there")), "common", "known")
     fits = (F.col("root") != F.col("other")) & (F.least("size", "its") >= least * F.greatest("size", "its") - 1e-9) & (left >= needed)
-    there = each.select("x", F.col("key").alias("v"), F.col("root").alias("other"), F.col("size").alias("its"), F.col("at").alias("there"))
+    there = each.select("x", F.col("key").alias("v"), F.col("root").alias("other"), F.col("size").alias("its"), F.col("common").alias("known"), F.col("at").alias("there"))
     met = each.where("outside = 1").join(there, "x").where(fits)
     return met.select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v")).distinct()
 
@@ -150,7 +203,7 @@ def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, least: float
     """
     found, roots, n = None, None, members.count()
     for turn in range(ROUNDS):
-        rows, buckets = _unsettled(members, n, roots, turn)
+        rows, buckets = _unsettled(members, n, roots, found, turn)
         pairs = join_groups(rows, buckets, ["h"], "n", n).where("root <> main")
         pairs = _written(pairs.groupBy(F.col("key").alias("u"), F.col("pivot").alias("v")).agg(F.max("main").alias("main")), n)
         new = _confirmed(pairs.select("u", "v"), sets, sketches, least)

@@ -7,33 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import cut, join_groups, read, small
+from decoyscope.llm import near_sets
+from decoyscope.llm.common import cut, join_groups, read
 from decoyscope.llm.components import components, forest
+from decoyscope.llm.near_sets import shingle_hashes
 
 BITS = 64
 #: Fingerprints in one bucket of the trie, about, and node pairs walked at a time.
 BUCKET, WALKED = 100_000, 200_000
 #: Near copies: words of a shingle, least similarity, fingerprints of a text's words, and bits in which one of them may differ.
 WORDS, SIMILAR, FAMILIES, WIDE = 5, 0.8, 2, 6
-#: Rounds of comparisons, texts of a connected part that all others are compared with in each, texts of a part that are compared together,
-#: and texts, of one part or of several, that a group of rows holds, about.
-ROUNDS, PIVOTS, SALTED, TOGETHER = 2, 8, 200, 300
-
-
-def shingle_hashes(text: str | None, words: int, distinct: bool = False) -> np.ndarray:
-    """XXH64 (seed 42) of a text's word shingles, A-Z in lower case; of all its words if they are fewer; none without words."""
-    import xxhash
-
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    line = b" ".join(ws)
-    ends = np.cumsum([len(w) + 1 for w in ws], dtype=np.int64) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends[min(words, max(1, len(ws))) - 1 :].tolist())], dtype="<u8")
-    return np.unique(hashes) if distinct else hashes
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -171,151 +157,56 @@ def groups(docs: DataFrame, key: str, budget: int = 2) -> DataFrame:
     return join_groups(rows, named, ["fp"], "n", rows.count()).drop("n")
 
 
-def _sets(text: Column, words: int) -> Column:
-    """(whole, size, fps): a hash of the set of a text's shingles, its size, and FAMILIES fingerprints of the set of its words."""
+def _word_fingerprints(text: Column) -> Column:
+    """FAMILIES fingerprints of the set of a text's words."""
 
-    @F.pandas_udf("whole long, size int, fps array<long>")
-    def work(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<long>")
+    def work(texts: pd.Series) -> pd.Series:
         import xxhash
 
-        out = np.zeros((2 + FAMILIES, len(texts)), dtype=np.uint64)
+        out = np.zeros((len(texts), FAMILIES), dtype=np.uint64)
         for i, t in enumerate(texts):
-            hs = shingle_hashes(t, words, True)
             ws = set((t or "").encode("utf-8", "surrogatepass").lower().split())
-            out[:2, i] = xxhash.xxh64_intdigest(hs.tobytes(), 7), len(hs)
             for f in range(FAMILIES):
-                out[2 + f, i] = majority(np.array([xxhash.xxh64_intdigest(w, 42 + f) for w in ws], dtype="<u8"))
-        return pd.DataFrame({"whole": out[0].view(np.int64), "size": out[1].astype(np.int32), "fps": out[2:].T.copy().view(np.int64).tolist()})
+                out[i, f] = majority(np.array([xxhash.xxh64_intdigest(w, 42 + f) for w in ws], dtype="<u8"))
+        return pd.Series(list(out.view(np.int64)))
 
     return work(text)
 
 
-def _alike(words: int, least: float):
-    """Whether two texts' sets of shingles have a Jaccard similarity of `least` or more."""
-
-    @F.pandas_udf("boolean")
-    def work(a: pd.Series, b: pd.Series) -> pd.Series:
-        kept: dict[str, np.ndarray] = {}
-        out = []
-        for x, y in zip(a, b):
-            if y not in kept:
-                kept = {y: shingle_hashes(y, words, True)}
-            x, y = shingle_hashes(x, words, True), kept[y]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-        return pd.Series(out, dtype=bool)
-
-    return work
-
-
-def _compared(rows: DataFrame, n: int, words: int, least: float) -> DataFrame:
-    """(u, v): each text (part, salt, whole, text, pivot) of similarity `least` or more to a pivot of its part and salt, and that pivot."""
-    buckets = max(12, -(-n // TOGETHER))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, some in pdf.groupby(["part", "salt"]):
-            pivots = {w: shingle_hashes(t, words, True) for w, t, p in zip(some["whole"], some["text"], some["pivot"]) if p}
-            for w, t, p in zip(some["whole"], some["text"], some["pivot"]):
-                if p:
-                    continue
-                own = pivots[w] if w in pivots else shingle_hashes(t, words, True)
-                for v, its in pivots.items():
-                    if v == w or (w in pivots and w < v) or min(len(own), len(its)) < least * max(len(own), len(its)) - 1e-9:
-                        continue
-                    both = len(np.intersect1d(own, its, assume_unique=True))
-                    if both >= least * (len(own) + len(its) - both) - 1e-9:
-                        out.append((w, v))
-        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
-
-    bucket = F.pmod(F.xxhash64("part", "salt"), F.lit(buckets)).cast("int")
-    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, "u long, v long")
-
-
-def _rest(left: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (u, v) among the texts of each part (whole, size, part, text), for parts of which few texts are alike: all in parts of up to SALTED texts.
-
-    Two sets of sizes n and m and similarity `least` or more share
-    least / (1 + least) * (n + m) shingles; so, in any common order, one of the
-    first few of either, with enough left behind it in both. Here the part's
-    rarest come first, so texts that share only what all of the part share
-    don't meet. In larger parts a text is compared with one text for each of
-    these shingles, the first that has it, so that comparisons stay in
-    proportion to the texts.
-    """
-    hashes = F.pandas_udf(lambda texts: pd.Series([shingle_hashes(t, words, True).view(np.int64) for t in texts]), "array<long>")
-    several = cut(left.groupBy("part").agg(F.count("*").alias("members"), F.min("size").alias("smallest")).where("members > 1"))
-    each = cut(join_groups(left, several, ["part"], "members", left.count()).select("whole", "size", "smallest", "members", "part", F.explode(hashes("text")).alias("h")))
-    held = cut(each.groupBy("part", "h").agg(F.count("*").alias("held")))
-    each = join_groups(each, held, ["part", "h"], "held", each.count())
-    at = F.row_number().over(Window.partitionBy("whole").orderBy("held", "h"))
-    shared = lambda n, m: least / (1 + least) * (n + m) - 1e-9
-    partner = F.greatest(F.ceil(F.col("size") * least - 1e-9), F.col("smallest"))
-    first = each.withColumn("at", at).where((F.col("at") <= F.col("size") - F.ceil(shared(F.col("size"), partner)) + 1) & (F.col("held") > 1))
-    first = cut(first.select("whole", "size", "part", "h", "at", "members", "held"))
-    few, many = first.where(F.col("members") <= SALTED), first.where(F.col("members") > SALTED)
-    other = F.struct(F.col("whole").alias("v"), F.col("size").alias("its"), F.col("at").alias("there"))
-    fits = (F.least("size", "its") >= F.greatest("size", "its") * least - 1e-9) & (F.least(F.col("size") - F.col("at"), F.col("its") - F.col("there")) + 1 >= shared(F.col("size"), F.col("its")))
-    each_other = few.join(few.select("part", "h", other.alias("x")).select("part", "h", "x.*"), ["part", "h"])
-    holders = cut(many.groupBy("part", "h").agg(F.min(other).alias("x"), F.count("*").alias("n"))).select("part", "h", "n", "x.*")
-    with_first = join_groups(many, holders, ["part", "h"], "n", many.count())
-    met = each_other.select("whole", "v", fits.alias("fits")).unionByName(with_first.select("whole", "v", fits.alias("fits")))
-    pairs = cut(met.where("whole <> v and fits").select(F.greatest("whole", "v").alias("u"), F.least("whole", "v").alias("v")).distinct())
-    a, b = (left.select(F.col("whole").alias(k), F.col("text").alias(t)) for k, t in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").where(_alike(words, least)("a", "b")).select("u", "v")
-
-
-def similar_groups(docs: DataFrame, key: str, words: int = WORDS, least: float = SIMILAR, budget: int = WIDE) -> DataFrame:
-    """(key, doc_id, root) for every row; rows with the same root form a group of near copies.
+def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILAR, budget: int = WIDE) -> DataFrame:
+    """(doc_id, body, root) for every row, body being a digest of its text; rows with the same root form a group of near copies.
 
     Candidates come from the trie: FAMILIES fingerprints of the texts' sets of
-    words, linked at `budget` bits or fewer in one of them. They are verified by the exact Jaccard
-    similarity of their sets of `words`-word shingles. What links connect is
-    verified in rounds: in each connected part PIVOTS texts, or all if it has
-    no more, are compared with all others; those of similarity `least` or
-    more to one of them are linked to it, and the rest go on to the next of
-    ROUNDS rounds. What is left after these is little alike, and is searched
-    by shared rare shingles. So a part of any size costs a bounded number of
-    comparisons for each of its texts, never its pairs. Groups are
-    what these links connect. Texts with the same set of shingles are one; those without
-    words are one group. `key` is a unique long; ids may be null or repeat.
+    words, linked at `budget` bits or fewer in one of them, make parts of
+    texts that may be alike. In a part, texts that share a MinHash band are
+    compared as `near_sets.links` does: by odd sketches, then by the exact
+    Jaccard similarity of their sets of `words`-word shingles. Links have a
+    similarity of `least` or more, and groups are what they connect; a part of any size loses no link to
+    its size. Texts with the same set of shingles are one; those without
+    words are one group. Ids may be null or repeat.
     """
-    rows = cut(docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _sets(F.col("text"), words).alias("x")).select("key", "doc_id", "x.*"))
-    one = cut(rows.groupBy("whole").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("fps").alias("fps"), F.count("*").alias("n")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_sets.identity(F.col("text")).alias("body"), near_sets.sketched(F.col("text"), words).alias("x"), _word_fingerprints(F.col("text")).alias("fps"))
+    rows = cut(rows.select("doc_id", "body", "x.*", "fps"))
+    one = ["whole", "check", "size"]
+    classes = rows.groupBy(*one).agg(F.min("body").alias("body"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("fps").alias("fps"), F.count("*").alias("n"))
+    classes = cut(cut(classes).withColumn("key", F.monotonically_increasing_id()))
     near = None
     for f in range(FAMILIES):
-        named = one.where("size > 0").select(F.col("fps")[f].alias("fp"), "whole")
-        firsts = cut(named.groupBy("fp").agg(F.min("whole").alias("v"), F.count("*").alias("n")))
-        same = join_groups(named, firsts.where("n > 1"), ["fp"], "n", named.count()).select(F.col("whole").alias("u"), "v")
+        named = classes.where("size > 0").select(F.col("fps")[f].alias("fp"), "key")
+        firsts = cut(named.groupBy("fp").agg(F.min("key").alias("v"), F.count("*").alias("n")))
+        same = join_groups(named, firsts.where("n > 1"), ["fp"], "n", named.count()).select(F.col("key").alias("u"), "v")
         u, v = (firsts.select(F.col("fp").alias(k), F.col("v").alias(to)) for k, to in (("u", "a"), ("v", "b")))
         others = link(firsts, budget, 2).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = cut(same.unionByName(others))
         near = both if near is None else near.unionByName(both)
-    placed = cut(one.select("whole", "key", "size").join(components(near).select(F.col("node").alias("whole"), F.col("root").alias("part")), "whole"))
-    left = cut(docs.select(F.col(key).alias("key"), "text").join(small(placed), "key").select("whole", "size", "part", "text"))
-    links = None
-    for _ in range(ROUNDS):
-        n = left.count()
-        counted = cut(left.groupBy("part").agg(F.count("*").alias("members"), F.array(*[
-            F.min(F.struct(F.xxhash64(F.lit(i), "whole"), F.col("whole")))["whole"] for i in range(PIVOTS)
-        ]).alias("some")).where("members > 1"))
-        known = join_groups(left.select("whole", "part"), counted, ["part"], "members", n)
-        everyone = known.where(F.col("members") <= PIVOTS).groupBy("part").agg(F.collect_list("whole").alias("all"))
-        salts = F.ceil(F.col("members") / SALTED).cast("int").alias("salts")
-        parts = cut(counted.join(everyone, "part", "left").select("part", "members", salts, F.array_distinct(F.coalesce("all", "some")).alias("pivots")))
-        # a large part is dealt out by salts, and its pivots are sent to each of them
-        stood = left.join(parts.select("salts", F.explode("pivots").alias("whole")), "whole")
-        stood = stood.select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "whole", "text", F.lit(True).alias("pivot"))
-        dealt = join_groups(left, parts.select("part", "members", "salts"), ["part"], "members", n)
-        dealt = dealt.select("part", F.pmod(F.xxhash64("whole"), F.col("salts")).cast("int").alias("salt"), "whole", "text", F.lit(False).alias("pivot"))
-        found = cut(_compared(dealt.unionByName(stood), n, words, least))
-        links = cut(found if links is None else links.unionByName(found))
-        gone = found.select(F.col("u").alias("whole")).unionByName(parts.select(F.explode("pivots").alias("whole"))).distinct()
-        left = cut(left.join(gone, "whole", "left_anti"))
-    links = cut(links.unionByName(_rest(left, words, least)))
-    roots = components(links).withColumnRenamed("node", "whole")
-    named = cut(one.select("whole", "n").join(roots, "whole", "left").select("whole", "n", F.coalesce("root", "whole").alias("root")))
-    return join_groups(rows.select("key", "doc_id", "whole"), named, ["whole"], "n", rows.count()).select("key", "doc_id", "root")
+    parts = components(near).select(F.col("node").alias("key"), F.col("root").alias("part"))
+    placed = cut(classes.join(parts, "key").select("key", "part", "size", "bands", "odd", "body"))
+    members = near_sets.shared_buckets(placed.select("key", "part", F.explode("bands").alias("band")).select(F.xxhash64("part", "band").alias("h"), "key"))
+    sets = near_sets.sets_of(docs, placed.join(members.select("key").distinct(), "key").select("body", "key"), lambda t: near_sets.shingle_hashes(t, words, True))
+    roots = components(near_sets.links(members, placed.select("key", "size", "odd"), sets, least)).withColumnRenamed("node", "key")
+    named = cut(classes.select(*one, "n", "key").join(roots, "key", "left").select(*one, "n", F.coalesce("root", "key").alias("root")))
+    return join_groups(rows.select("doc_id", "body", *one), named, one, "n", rows.count()).select("doc_id", "body", "root")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
