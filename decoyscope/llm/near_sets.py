@@ -13,7 +13,7 @@ from decoyscope.llm.components import components
 #: MinHash samples of a set, bits of its odd sketch, and shingle hashes worked on together.
 SAMPLES, BITS, BLOCK = 256, 1024, 65_536
 #: Samples in a band: two sets of similarity 0.8 share none of the 42 bands in three of a million cases; hashes of texts that are sketched together, about.
-ROWS, TOGETHER = 6, 1_000_000
+ROWS, TOGETHER = 6, 250_000
 #: Rounds of comparisons with one member of a bucket's largest group.
 ROUNDS = 3
 #: Rows that meet one copy of a set, and narrow rows of a written part, about.
@@ -59,9 +59,13 @@ def samples(sets: list[np.ndarray], k: int = SAMPLES) -> np.ndarray:
 def odd_sketches(drawn: np.ndarray) -> np.ndarray:
     """Each row's samples folded into parities: a sample flips one bit, told by its value and number."""
     n, k = drawn.shape
-    bit = ((drawn ^ drawn >> np.uint64(29)) * PLACES[:k] >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    flips = np.bincount((bit + BITS * np.arange(n)[:, None]).ravel(), minlength=n * BITS).reshape(n, BITS)
-    return np.packbits(flips & 1, axis=1, bitorder="little").view(np.int64)
+    out = np.zeros((n, BITS // 64), dtype=np.int64)
+    for at in range(0, n, 256):
+        some = drawn[at : at + 256]
+        bit = ((some ^ some >> np.uint64(29)) * PLACES[:k] >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+        flips = np.bincount((bit + BITS * np.arange(len(some))[:, None]).ravel(), minlength=len(some) * BITS).reshape(-1, BITS)
+        out[at : at + 256] = np.packbits((flips & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+    return out
 
 
 def bands(drawn: np.ndarray, rows: int) -> np.ndarray:
