@@ -110,14 +110,14 @@ def risk_matrix(rows: DataFrame, sector: str, score: str) -> DataFrame:
     return rows.groupBy(sector).agg(F.count_if(s < 40).alias("low"), F.count_if((s >= 40) & (s < 70)).alias("medium"), F.count_if(s >= 70).alias("high"))
 
 
-def category_shares(rows: DataFrame, category: str, member: str, most: int = 1000) -> DataFrame:
-    """Percentage of each category and its members, the first `most` in order by name; all rows count."""
-    pairs = rows.groupBy(category, member).agg(F.count("*").alias("n"))
-    at = F.row_number().over(Window.partitionBy(category).orderBy(F.col(member).isNull(), member))
-    named = F.when((F.col("at") <= most) & F.col(member).isNotNull(), F.col(member))
-    per = pairs.withColumn("at", at).groupBy(category).agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(named)), ",").alias("members"))
-    total = rows.agg(F.count("*").alias("_total"))
-    return per.crossJoin(F.broadcast(total)).select(category, "n", F.round(100.0 * F.col("n") / F.col("_total"), 2).alias("share"), "members")  # one row
+def category_shares(rows: DataFrame, category: str, member: str) -> DataFrame:
+    """(category, n, share, member, member_n): percentage of each category, and a row for each of its members; all rows count, null members in n alone."""
+    pairs = rows.groupBy(category, member).agg(F.count("*").alias("member_n"))
+    per = pairs.groupBy(category).agg(F.sum("member_n").alias("n"))
+    total = rows.agg(F.count("*").alias("_total"))  # one row
+    shares = per.crossJoin(F.broadcast(total)).select(F.col(category).alias("_c"), "n", F.round(100.0 * F.col("n") / F.col("_total"), 2).alias("share"))
+    named = pairs.where(F.col(member).isNotNull()).select(F.col(category).alias("_o"), member, "member_n")
+    return shares.join(named, F.col("_c").eqNullSafe(F.col("_o")), "left").select(F.col("_c").alias(category), "n", "share", member, "member_n")
 
 
 def parked_insights(rows: DataFrame, domain: str, ts: str, verdict: str, tie: str) -> DataFrame:

@@ -106,7 +106,17 @@ FROM customer GROUP BY 1""")
 def category_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each category, and who contributes."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category"), F.concat(F.lit("c"), (F.col("c_nationkey") % 4).cast("string")).alias("cse"))
-    return rollup.category_shares(rows, "category", "cse")
+    shares = rollup.category_shares(rows, "category", "cse")  # four members a category
+    return shares.groupBy("category", "n", "share").agg(F.array_join(F.array_sort(F.collect_list("cse")), ",").alias("members"))
+
+
+@query("""
+SELECT c_mktsegment AS category, t.n, round(100.0 * t.n / (SELECT count(*) FROM customer), 2) AS share, c_custkey // 3 AS member, count(*) AS member_n
+FROM customer JOIN (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) t USING (c_mktsegment) WHERE c_custkey % 5 > 0 GROUP BY ALL""")
+def category_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member of each category with its rows, however many there are."""
+    member = F.when(F.col("c_custkey") % 5 > 0, F.floor(F.col("c_custkey") / 3).cast("long"))
+    return rollup.category_shares(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category"), member.alias("member")), "category", "member")
 
 
 @query(f"SELECT count(*) AS scans, count(*) FILTER (v = 'phishing') AS phishing, count(DISTINCT user_id) AS brands, round(avg(value / 100), 3) AS mean_confidence FROM (SELECT *, {_VERDICT} AS v FROM events) q")

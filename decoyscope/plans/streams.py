@@ -94,3 +94,26 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = state.upsert_stream(rows, f"{at}/kept", "user_id", "at", f"{at}/log", merge=False, drain=True)
     run.awaitTermination()
     return collection(spark, f"{at}/kept", run.lastProgress["batchId"]).select("user_id", "event_id", "value")
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) * 12 AS t, event_type = 'click' AS resolved, user_id % 4 = 0 AS slow,
+    row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_type = 'click', event_id) AS n FROM events),
+s AS (
+  SELECT user_id, n, t, t + CASE WHEN slow THEN 30 ELSE 7 END * 86400 AS due, 0 AS checks, true AS held, NULL::VARCHAR AS outcome, 0 AS number FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, e.t,
+    CASE WHEN NOT s.held THEN e.t + CASE WHEN e.slow THEN 30 ELSE 7 END * 86400 WHEN s.due IS NULL OR e.t < s.due THEN s.due WHEN e.resolved OR s.checks = 2 THEN NULL
+      WHEN e.slow THEN e.t + CASE s.checks WHEN 0 THEN 30 ELSE 90 END * 86400 ELSE e.t + CASE s.checks WHEN 0 THEN 7 ELSE 30 END * 86400 END,
+    CASE WHEN NOT s.held THEN 0 WHEN s.due IS NULL OR e.t < s.due THEN s.checks ELSE s.checks + 1 END,
+    NOT s.held OR s.due IS NULL OR e.t < s.due OR NOT e.resolved,
+    CASE WHEN s.held AND e.t >= s.due THEN CASE WHEN e.resolved THEN 'newly_active' WHEN s.checks = 2 THEN 'dropped' END END, s.checks + 1
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS domain, t AS "at", CAST(number AS INTEGER) AS checks, outcome FROM s WHERE outcome IS NOT NULL""")
+def stream_inactive_rechecks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the inactive schedule over events, twelve times as slow as they are."""
+    e = _events(spark, sf_dir)
+    at = F.unix_timestamp(F.col("ts").cast("timestamp")) * 12
+    rows = e.select(F.col("user_id").cast("string").alias("domain"), at.alias("at"), (F.col("user_id") % 4 == 0).alias("unregistered"), (F.col("event_type") == "click").alias("resolved"))
+    return drained(spark, state.inactive_recheck(rows))

@@ -85,15 +85,14 @@ class Recheck(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for pdf in rows:
-            pdf = pdf.sort_values("at")
-            for at, due in zip(pdf["at"], pdf["due"]):
-                out += self._due(key, int(at))
-                if pd.notna(due):
-                    count = self.entry.get()[1] if self.entry.exists() else 0
-                    if count < MOST:
-                        self.entry.update((int(due), count))
-                        self.handle.registerTimer(int(due) * 1000)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["at", "due"], ignore_index=True)
+        for at, due in zip(pdf["at"], pdf["due"]):
+            out += self._due(key, int(at))
+            if pd.notna(due):
+                count = self.entry.get()[1] if self.entry.exists() else 0
+                if count < MOST:
+                    self.entry.update((int(due), count))
+                    self.handle.registerTimer(int(due) * 1000)
         yield pd.DataFrame(out, columns=["domain", "due", "recheck", "reason"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -112,43 +111,68 @@ class InactiveRecheck(StatefulProcessor):
     """Inactive monitoring: at a due time a resolved domain is handed back, another waits on, three checks at most.
 
     The delay after the n-th check is the n-th of the schedule, so the first
-    delay serves twice. `resolved` is joined from the latest observations.
+    delay serves twice. `resolved` is joined from the latest observations. A
+    key's rows of a batch are put in order of time, whatever chunks they come
+    in; rows older than the newest one seen don't set the clock back. With
+    timers a check is made when it is due, by the last observation; else when
+    the key's next row arrives.
     """
 
+    def __init__(self, timed: bool):
+        self.timed = timed
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", "due bigint, count int, slow boolean")
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "due bigint, count int, slow boolean, resolved boolean")
+
+    def _wait(self, due: int | None, count: int, slow: bool, resolved: bool) -> None:
+        self.entry.update((due, count, slow, resolved))
+        if self.timed and due is not None:
+            self.handle.registerTimer(due * 1000)
+
+    def _check(self, key, at: int) -> list[tuple]:
+        """The outcome of a check that is due by `at`; what it leaves is kept."""
+        due, count, slow, resolved = self.entry.get()
+        if due is None or at < due:
+            return []
+        if resolved:
+            self.entry.clear()
+            return [(key[0], at, count + 1, "newly_active")]
+        if count + 1 >= MOST:
+            self._wait(None, MOST, slow, resolved)
+            return [(key[0], at, count + 1, "dropped")]
+        self._wait(at + (UNREGISTERED_DAYS if slow else INACTIVE_DAYS)[count] * DAY, count + 1, slow, resolved)
+        return []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for pdf in rows:
-            for at, slow, resolved in zip(pdf["at"], pdf["unregistered"], pdf["resolved"]):
-                at = int(at)
-                if not self.entry.exists():
-                    days = UNREGISTERED_DAYS if slow else INACTIVE_DAYS
-                    self.entry.update((at + days[0] * DAY, 0, bool(slow)))
-                    continue
-                due, count, slow = self.entry.get()
-                if due is None or at < due:
-                    continue
-                if resolved:
-                    out.append((key[0], at, count + 1, "newly_active"))
-                    self.entry.clear()
-                    continue
-                days = UNREGISTERED_DAYS if slow else INACTIVE_DAYS
-                if count + 1 >= MOST:
-                    out.append((key[0], at, count + 1, "dropped"))
-                    self.entry.update((None, MOST, slow))
-                else:
-                    self.entry.update((at + days[count] * DAY, count + 1, slow))
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["at", "resolved"], ignore_index=True)
+        for at, slow, resolved in zip(pdf["at"], pdf["unregistered"], pdf["resolved"]):
+            at, slow, resolved = int(at), bool(slow), bool(resolved)
+            if not self.entry.exists():
+                self._wait(at + (UNREGISTERED_DAYS if slow else INACTIVE_DAYS)[0] * DAY, 0, slow, resolved)
+                continue
+            due, count, kept, _ = self.entry.get()
+            self.entry.update((due, count, kept, resolved))
+            out += self._check(key, at)
+        yield pd.DataFrame(out, columns=["domain", "at", "checks", "outcome"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self._check(key, expiredTimerInfo.getExpiryTimeInMs() // 1000) if self.entry.exists() else []
         yield pd.DataFrame(out, columns=["domain", "at", "checks", "outcome"])
 
     def close(self) -> None:
         pass
 
 
-def inactive_recheck(rows: DataFrame) -> DataFrame:
-    """rows: domain, at (epoch seconds), unregistered, resolved, in time order within a batch."""
-    return rows.select("domain", "at", "unregistered", "resolved").groupBy("domain").transformWithStateInPandas(InactiveRecheck(), "domain string, at long, checks int, outcome string", "Append", "None")
+def inactive_recheck(rows: DataFrame, timed: bool = False) -> DataFrame:
+    """rows: domain, at (epoch seconds), unregistered, resolved -> domain, at, checks, outcome.
+
+    `timed` checks by the clock, for which Spark runs batches without end;
+    otherwise an availableNow run ends.
+    """
+    keyed = rows.select("domain", "at", "unregistered", "resolved").groupBy("domain")
+    return keyed.transformWithStateInPandas(InactiveRecheck(timed), "domain string, at long, checks int, outcome string", "Append", "ProcessingTime" if timed else "None")
 
 
 class Fusion(StatefulProcessor):

@@ -110,6 +110,28 @@ class Handle:
         self.timers.append(at)
 
 
+def test_inactive_rechecks_by_the_clock():
+    """A timer checks at the due time by the last observation; rows of a batch are ordered over all its chunks."""
+    import pandas as pd
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+    d = 86_400
+    p, h = state.InactiveRecheck(True), Handle()
+    p.init(h)
+    chunk = lambda *rows: pd.DataFrame([{"at": n * d, "unregistered": False, "resolved": ok} for n, ok in rows])
+    feed = lambda *chunks: pd.concat(list(p.handleInputRows(("x",), iter(chunks), None))).outcome.tolist()
+    fire = lambda n: pd.concat(list(p.handleExpiredTimer(("x",), None, At(n * d * 1000)))).outcome.tolist()
+    assert feed(chunk((3, True)), chunk((1, False), (0, False))) == [] and h.timers == [7 * d * 1000]
+    assert fire(7) == ["newly_active"] and fire(8) == []
+    assert feed(chunk((10, False))) == [] and fire(16) == [] and fire(17) == [] and fire(24) == [] and fire(54) == ["dropped"] and fire(400) == []
+
+
 def test_active_rechecks():
     import pandas as pd
 
