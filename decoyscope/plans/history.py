@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoyscope.durable import scratch
 from decoyscope.functions import text as T
-from decoyscope.operators import dedup, fuse, search
+from decoyscope.operators import dedup, fuse, search, trigrams
 from decoyscope.plans.registry import query, table
 from decoyscope.sources import collections as C
 from decoyscope.sources import records as S
@@ -144,6 +146,21 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "00012", [F.desc("c_custkey")])
 
 
+NEEDLES = ["ring", "ED R", "an", "goldenrod", "qx", "e s"]
+
+
+@query("""
+SELECT needle, count(*) AS n, sum(p_partkey) AS keys FROM part, (SELECT unnest(['ring', 'ED R', 'an', 'goldenrod', 'qx', 'e s']) AS needle) q
+WHERE contains(lower(p_name), lower(needle)) GROUP BY needle""")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that hold each of some needles, found by an index of character runs."""
+    at = scratch(spark)
+    trigrams.build(at, table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
+    found = [trigrams.find(spark, at, "p_partkey", "p_name", n).select(F.lit(n).alias("needle"), "p_partkey") for n in NEEDLES]
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("needle").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"))
+
+
 @query("""
 WITH n AS (SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 400)
 SELECT q.o_orderkey FROM (SELECT n.o_orderkey, o.o_orderdate FROM n JOIN orders o USING (o_orderkey) WHERE n.o_orderstatus = 'F' ORDER BY o.o_orderdate DESC, n.o_orderkey DESC LIMIT 200) q""")
