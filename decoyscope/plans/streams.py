@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from decoyscope.durable import scratch
 from decoyscope.plans.registry import ORACLES, query
 from decoyscope.sources.collections import collection
-from decoyscope.streaming import state
+from decoyscope.streaming import metrics, state
 
 #: Files that a micro-batch reads.
 FILES = 64
@@ -117,3 +117,13 @@ def stream_inactive_rechecks(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_timestamp(F.col("ts").cast("timestamp")) * 12
     rows = e.select(F.col("user_id").cast("string").alias("domain"), at.alias("at"), (F.col("user_id") % 4 == 0).alias("unregistered"), (F.col("event_type") == "click").alias("resolved"))
     return drained(spark, state.inactive_recheck(rows))
+
+
+@query("SELECT count(*) AS messages, count(*) FILTER (value > 20) AS emitted, count(DISTINCT user_id) AS unique_hosts FROM events")
+def stream_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's counts, observed batch by batch while its rows are written, and summed; hosts by merged sketches."""
+    at = scratch(spark)
+    measures = metrics.counters(F.col("value") > 20, "user_id")
+    lines = metrics.both_sinks(lambda df, n: None, f"{at}/lines")
+    metrics.metered(_events(spark, sf_dir).select("event_id", "user_id", "value"), lines, measures, f"{at}/metrics", f"{at}/log", drain=True).awaitTermination()
+    return metrics.summed(spark, f"{at}/metrics")
