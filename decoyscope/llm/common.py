@@ -28,21 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows that Python gets at a time where each brings a whole text.
+TEXTS = 1000
+
+
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Writes the rows to the shared folder, so later reads don't depend on executors.
 
     What the optimizer knows of the rows by their history isn't kept either:
-    in loops that knowledge doubles with every round.
+    in loops that knowledge doubles with every round. `batch` bounds the rows
+    that a Python worker holds at a time.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    settings = {"spark.sql.constraintPropagation.enabled": "false"}
+    if batch:
+        settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch)
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         return df.checkpoint()
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def remove(spark: SparkSession, path: str) -> None:

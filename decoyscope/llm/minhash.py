@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoyscope.llm import near_sets
-from decoyscope.llm.common import cut, join_groups, read
+from decoyscope.llm.common import TEXTS, cut, join_groups, read
 from decoyscope.llm.components import components
 from decoyscope.llm.near_sets import shingle_hashes
 
@@ -29,7 +29,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = SIMILAR)
     Returns doc_id, n_shingles, component_id, kept.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_sets.identity(F.col("text")).alias("body"), near_sets.sketched(F.col("text"), words).alias("x"))
-    rows = cut(rows.select("doc_id", "body", "x.*"))
+    rows = cut(rows.select("doc_id", "body", "x.*"), TEXTS)
     one = ["whole", "check", "size"]
     classes = rows.where("size > 0").groupBy(*one).agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.count("*").alias("n"))
     classes = cut(cut(classes).withColumn("key", F.monotonically_increasing_id()))

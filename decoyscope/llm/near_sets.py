@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import cut, join_groups, small
+from decoyscope.llm.common import TEXTS, cut, join_groups, small
 from decoyscope.llm.components import components
 
 #: MinHash samples of a set, bits of its odd sketch, and shingle hashes worked on together.
@@ -232,7 +232,7 @@ def sets_of(docs: DataFrame, bodies: DataFrame, hashes) -> DataFrame:
     make = F.pandas_udf(lambda texts: pd.Series([hashes(t).view(np.int64) for t in texts]), "array<long>")
     bodies = small(cut(bodies))
     texts = docs.select(identity(F.col("text")).alias("body"), "text").join(bodies, "body").groupBy("body", "key").agg(F.first("text").alias("text"))
-    return cut(texts.select("key", make("text").alias("set")))
+    return cut(texts.select("key", make("text").alias("set")), TEXTS)
 
 
 def identity(text: Column) -> Column:

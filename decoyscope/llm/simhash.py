@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoyscope.llm import near_sets
-from decoyscope.llm.common import cut, join_groups, read
+from decoyscope.llm.common import TEXTS, cut, join_groups, read
 from decoyscope.llm.components import components, forest
 from decoyscope.llm.near_sets import shingle_hashes
 
@@ -187,7 +187,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILAR,
     words are one group. Ids may be null or repeat.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_sets.identity(F.col("text")).alias("body"), near_sets.sketched(F.col("text"), words).alias("x"), _word_fingerprints(F.col("text")).alias("fps"))
-    rows = cut(rows.select("doc_id", "body", "x.*", "fps"))
+    rows = cut(rows.select("doc_id", "body", "x.*", "fps"), TEXTS)
     one = ["whole", "check", "size"]
     classes = rows.groupBy(*one).agg(F.min("body").alias("body"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("fps").alias("fps"), F.count("*").alias("n"))
     classes = cut(cut(classes).withColumn("key", F.monotonically_increasing_id()))
