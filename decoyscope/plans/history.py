@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from decoyscope.durable import scratch
 from decoyscope.functions import text as T
-from decoyscope.operators import dedup, fuse, search, trigrams
+from decoyscope.operators import dedup, fuse, pages, search, trigrams
 from decoyscope.plans.registry import query, table
 from decoyscope.sources import collections as C
 from decoyscope.sources import records as S
@@ -118,6 +118,24 @@ def filtered_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page(table(spark, sf_dir, "customer").where(where), 100, 20, ["c_custkey"]).select("c_custkey", "c_name")
 
 
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+SELECT (n - 1) // 200 AS page, o_orderkey FROM o WHERE n <= 1000""")
+def cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pages of the newest orders, each read from the cursor of the one before (the pages are the feature)."""
+    at = scratch(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    for run in (0, 1):
+        pages.insert(at, orders.where(F.col("o_orderkey") % 2 == run), "o_orderdate", "o_orderkey", run, 16)
+    found, cursor = [], None
+    for k in range(5):
+        one = pages.page(spark, at, "o_orderdate", "o_orderkey", 200, cursor)
+        last = one.orderBy("o_orderdate", "o_orderkey").first()
+        cursor = (last["o_orderdate"], last["o_orderkey"]) if last else cursor
+        found.append(one.select(F.lit(k).cast("long").alias("page"), "o_orderkey"))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("""
 SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'pairs' END AS pairs, CASE WHEN (c_nationkey > 20 OR c_mktsegment = 'MACHINERY') AND c_acctbal >= 100.5 AND c_mktsegment <> 'FURNITURE' THEN 'tree' END AS tree
 FROM customer WHERE (c_nationkey = 3 AND c_acctbal <= 9000) OR ((c_nationkey > 20 OR c_mktsegment = 'MACHINERY') AND c_acctbal >= 100.5 AND c_mktsegment <> 'FURNITURE')""")
@@ -263,6 +281,34 @@ def upserted_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.collection(spark, at, last).select("user_id", "event_id", "value")
 
 
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_name, c_nationkey FROM customer)
+SELECT 'seeds' AS source, count(*) AS n, min(lower(c_name) || '.com') AS least FROM c WHERE k % 5 > 0
+UNION ALL SELECT 'list', count(*), min('t' || k) FROM c WHERE k % 7 > 1
+UNION ALL SELECT 'bulk', count(*), min(c_name) FROM c WHERE k % 4 > 0""")
+def read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds, a list of terms and a bulk file written from customers with blanks and comments among them, and read again."""
+    at, k = scratch(spark), F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    seeds = c.select(F.concat(F.lit(" c"), k.cast("string")).alias("cse_id"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit(" "), F.upper("c_name"), F.lit(".COM "))).alias("seed_registrable"))
+    seeds.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{at}/seeds")
+    c.select(F.when(k % 7 == 0, "# comment").when(k % 7 == 1, "  ").otherwise(F.concat(F.lit(" t"), k.cast("string"))).alias("value")).write.text(f"{at}/list")
+    c.select(F.when(k % 4 == 0, " ").otherwise(F.col("c_name")).alias("a"), "c_nationkey").write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{at}/bulk")
+    found = [("seeds", S.read_seeds(spark, f"{at}/seeds"), "seed_registrable"), ("list", S.read_list(spark, f"{at}/list"), "term"), ("bulk", S.read_bulk_csv(spark, f"{at}/bulk"), "input")]
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("source"), F.count("*").alias("n"), F.min(value).alias("least")) for name, df, value in found])
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
+def dumped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection dumped as pages of JSON lines, a hundred rows each at most, and read again."""
+    at = scratch(spark)
+    S.dump_all(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), at, page_size=100)
+    lines = spark.read.schema("c_custkey long, c_mktsegment string, c_acctbal double").json(at)
+    sizes = lines.groupBy(F.col("_metadata.file_path").alias("page"), "c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"))
+    whole = sizes.groupBy("page").agg(F.sum("n").alias("rows")).where("rows <= 100").select("page")
+    return sizes.join(whole, "page").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
+
+
 #: Batches of events by id; those of the third replace whole rows, the others keep what they have no value for.
 BATCHES = 6
 

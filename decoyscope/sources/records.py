@@ -65,8 +65,9 @@ def fetch_all(spark: SparkSession, path: str) -> DataFrame:
     return df.select("id", "document", F.struct(*[c for c in df.columns if c not in ("id", "document")]).alias("metadata"))
 
 
-def dump_all(df: DataFrame, path: str, max_rows: int | None = None) -> None:
-    (df.limit(max_rows) if max_rows else df).write.mode("overwrite").json(path)
+def dump_all(df: DataFrame, path: str, max_rows: int | None = None, page_size: int = 1000) -> None:
+    """Writes the rows as JSON lines, `page_size` to a file at most; `max_rows` of them if given."""
+    (df.limit(max_rows) if max_rows else df).write.mode("overwrite").option("maxRecordsPerFile", page_size).json(path)
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: str, ts: str, merge: bool = True) -> DataFrame:
