@@ -54,6 +54,18 @@ def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
             spark.conf.set(k, v)
 
 
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the system: workers live on for later stages, whose share it would take."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store whose rows nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import TEXTS, cut, join_groups, small
+from decoyscope.llm.common import TEXTS, cut, give_back, join_groups, small
 from decoyscope.llm.components import components
 
 #: MinHash samples of a set, bits of its odd sketch, and shingle hashes worked on together.
@@ -125,6 +125,7 @@ def sketched(text: Column, words: int) -> Column:
                 finish(block)
                 block, held = [], 0
         finish(block)
+        give_back()
         return pd.DataFrame({"size": size, "whole": whole, "check": check, "bands": banded, "odd": odd})
 
     return work(text)
