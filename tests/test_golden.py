@@ -137,3 +137,14 @@ def test_vector_search_without_collections(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None), (5, [0.0, 0.0])], "id int, embedding array<double>")
     got = search.cosine_top_k(df.where("id <> 5"), F.array(F.lit(1.0), F.lit(0.0)), 2).collect()
     assert [(r.id, r.similarity) for r in got] == [(1, 1.0), (3, 0.7071)]
+
+
+@pytest.mark.parametrize("body,want", [("sedo\xf1ie", 1), ("a\u017fedo", 1), ("\xe9sedo.", 1), ("sedo_", 0), ("sedos", 0), ("thi\u017f domain is for sale", 1), ("Ma\u212ae an OFFER", 1), ("Make an offe\u0131r", 0)])
+def test_parking_rules_take_ascii_words_and_fold_case_as_the_sql_does(spark, body, want):
+    import duckdb
+
+    from decoyscope.functions.terms import PARKING_RULE_BRANDS, PARKING_RULE_HINTS
+
+    c = duckdb.connect()
+    assert sum(c.execute("SELECT regexp_matches(?, '(?i)' || ?)", [body, p]).fetchall()[0][0] for p in PARKING_RULE_BRANDS + PARKING_RULE_HINTS) == want
+    assert value(spark, X.parking_rules(F.lit(None).cast("string"), F.lit(body), F.lit("")))["score"] == want
