@@ -148,3 +148,10 @@ def test_parking_rules_take_ascii_words_and_fold_case_as_the_sql_does(spark, bod
     c = duckdb.connect()
     assert sum(c.execute("SELECT regexp_matches(?, '(?i)' || ?)", [body, p]).fetchall()[0][0] for p in PARKING_RULE_BRANDS + PARKING_RULE_HINTS) == want
     assert value(spark, X.parking_rules(F.lit(None).cast("string"), F.lit(body), F.lit("")))["score"] == want
+
+
+def test_whole_days_count_parts_of_a_second(spark):
+    days = lambda a, b: value(spark, T.days_between(F.lit(a).cast("timestamp"), F.lit(b).cast("timestamp")))
+    assert days("2024-03-01", "2024-01-11 00:00:00.000001") == 49
+    assert days("2024-03-01", "2024-01-11") == 50
+    assert days("2024-03-01", "2024-03-01 00:00:00.5") == -1
