@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 
-def counters(emitted: Column, host: str) -> dict[str, Column]:
-    """What a run counts: messages, emitted ones, hosts (a sketch of the distinct ones, which merges over batches) and the latest time."""
-    return {"messages": F.count(F.lit(1)), "emitted": F.count_if(emitted), "hosts": F.hex(F.hll_sketch_agg(host, F.lit(12)))}
+def counters(emitted: Column, host: str | None = None) -> dict[str, Column]:
+    """What a run counts: messages, emitted ones and, if named, hosts (a sketch of the distinct ones, which merges over batches)."""
+    counts = {"messages": F.count(F.lit(1)), "emitted": F.count_if(emitted)}
+    return counts | ({"hosts": F.hex(F.hll_sketch_agg(host, F.lit(12)))} if host else {})
 
 
 def passing(df: DataFrame, measures: dict[str, Column]) -> tuple[DataFrame, Observation]:
@@ -32,12 +33,17 @@ def record(spark: SparkSession, path: str, batch: int, values: dict) -> None:
     spark.createDataFrame([tuple(values.values())], schema).coalesce(1).write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
-def metered(rows: DataFrame, sink: Callable[[DataFrame, int], None], measures: dict[str, Column], path: str, checkpoint: str, drain: bool = False):
-    """Starts a stream that gives each batch to `sink`, which must bear repetition, and then records its measures below `path`."""
+def metered(rows: DataFrame, sink: Callable[[DataFrame, int], None], measures: dict[str, Column], path: str, checkpoint: str, drain: bool = False, hosts: tuple[str, str] | None = None):
+    """Starts a stream that gives each batch to `sink`, which must bear repetition, and then records its measures below `path`.
+
+    `hosts` (column, folder) keeps the distinct hosts of each batch too, for an exact count of them.
+    """
 
     def batch(df: DataFrame, n: int) -> None:
         watched, seen = passing(df, measures)
         sink(watched, n)
+        if hosts:
+            df.select(F.col(hosts[0]).alias("host")).distinct().write.mode("overwrite").parquet(f"{hosts[1]}/batch={n}")
         record(df.sparkSession, path, n, dict(seen.get))
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
@@ -63,10 +69,17 @@ def both_sinks(topic: Callable[[DataFrame, int], None], path: str) -> Callable[[
     return write
 
 
-def summed(spark: SparkSession, path: str) -> DataFrame:
-    """One row of messages, emitted and distinct hosts (estimated; exact below some thousands) over all batches below `path`."""
+def summed(spark: SparkSession, path: str, hosts: str | None = None) -> DataFrame:
+    """One row of messages, emitted and distinct hosts over all batches below `path`.
+
+    Hosts are counted exactly from the folder that `metered` kept them in, or
+    else estimated by sketches (exact below some thousands).
+    """
     rows = spark.read.schema("messages long, emitted long, hosts string").json(path)
-    return rows.agg(F.sum("messages").alias("messages"), F.sum("emitted").alias("emitted"), F.hll_sketch_estimate(F.hll_union_agg(F.unhex("hosts"))).alias("unique_hosts"))
+    sums = [F.sum("messages").alias("messages"), F.sum("emitted").alias("emitted")]
+    if not hosts:
+        return rows.agg(*sums, F.hll_sketch_estimate(F.hll_union_agg(F.unhex("hosts"))).alias("unique_hosts"))
+    return rows.agg(*sums).crossJoin(F.broadcast(spark.read.parquet(hosts).agg(F.count_distinct("host").alias("unique_hosts"))))  # one row each
 
 
 class Heartbeat(StreamingQueryListener):

@@ -38,6 +38,14 @@ def test_a_job_is_measured_as_it_writes(spark, tmp_path):
     assert tuple(metrics.summed(spark, f"file://{tmp_path}/metrics").first()) == (100, 10, 9)
 
 
+def test_many_hosts_are_counted_exactly(spark, tmp_path):
+    n = 20_000
+    df = batches(spark, tmp_path, "host long, value long", [[{"host": i % n, "value": i} for i in range(a, a + n)] for a in (0, n // 2)] + [[{"host": None, "value": 1}]])
+    at = f"file://{tmp_path}"
+    metrics.metered(df, metrics.both_sinks(lambda rows, n: None, f"{at}/lines"), metrics.counters(F.col("value") < 5), f"{at}/metrics", str(tmp_path / "log"), drain=True, hosts=("host", f"{at}/hosts")).awaitTermination(120)
+    assert tuple(metrics.summed(spark, f"{at}/metrics", f"{at}/hosts").first()) == (2 * n + 1, 6, n)
+
+
 def test_heartbeats_of_a_running_stream(spark, tmp_path):
     df = batches(spark, tmp_path, "host string, value long", GROUPS).observe("seen", F.count(F.lit(1)).alias("n"))
     beat = metrics.Heartbeat()
