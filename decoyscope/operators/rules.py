@@ -1,11 +1,16 @@
-"""Transparent rule scoring: groups of rules become one array of hits, a score, a verdict and its reasons.
+"""Transparent rule scoring: groups of rules become points, a score, a verdict and its reasons.
 
 A record has the columns of `RECORD`; absent columns count as null. Each rule
-group is a column of its own, which keeps generated code small.
+is a column of its points, null where it doesn't hold, so that sums are plain
+additions; reasons are worked out only where they are asked for.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +37,8 @@ from decoyscope.functions.terms import (
     RESIDENTIAL,
     RISKY_TLDS,
 )
-from decoyscope.functions.text import any_in, first_in, strings
+from decoyscope.functions.reference import let
+from decoyscope.functions.text import first_in, strings
 from decoyscope.functions.url import path_of, query_of
 
 STRINGS = "array<string>"
@@ -49,7 +55,13 @@ RECORD = {
     "ptr": STRINGS, "ttls": "map<string,int>", "country": "string", "asn_org": "string", "title": "string", "page_text": "string",
     "external_links": "int", "html_size": "int", "server": "string",
 }
-HIT = "struct<category:string,points:int,reason:string>"
+class Hit(NamedTuple):
+    """What a rule gives: points, null where it doesn't hold, and its reason (an array of them if it may hold several times)."""
+
+    category: str
+    points: Column
+    reason: Column
+    many: bool = False
 
 
 def complete(df: DataFrame) -> DataFrame:
@@ -57,34 +69,55 @@ def complete(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in RECORD.items() if c not in df.columns})
 
 
-def _hit(test: Column, category: str, points, reason) -> Column:
-    made = F.struct(F.lit(category).alias("category"), (points if isinstance(points, Column) else F.lit(points)).cast("int").alias("points"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
-    return F.when(F.coalesce(test, F.lit(False)), made)
+def _c(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def _hit(test: Column, category: str, points, reason) -> Hit:
+    return _ladder(category, (test, points, reason))
 
 
-def _ladder(category: str, *steps: tuple) -> Column:
+def _ladder(category: str, *steps: tuple) -> Hit:
     """The first step (test, points, reason) that holds."""
-    return F.coalesce(*[_hit(t, category, p, r) for t, p, r in steps])
+    chosen = lambda k: reduce(lambda w, s: w.when(s[0], _c(s[k])), steps[1:], F.when(steps[0][0], _c(steps[0][k])))
+    return Hit(category, chosen(1).cast("int"), chosen(2).cast("string"))
+
+
+def _each(items: Column, category: str, points: int, needles: list[str], reason) -> Hit:
+    """Points for each of `items` that contains one of `needles`, whatever its case."""
+    found = F.filter(_none(items), lambda x: _any(F.lower(x), needles))
+    return Hit(category, F.nullif(F.size(found) * points, F.lit(0)), F.transform(found, lambda x: reason(first_in(F.lower(x), needles))), True)
+
+
+def _any(text: Column, needles: list[str]) -> Column:
+    """Whether `text` contains one of `needles`; null for null."""
+    return text.rlike("|".join(re.escape(n) for n in needles))
 
 
-def _hits(*hits: Column) -> Column:
-    return F.array_compact(F.array(*hits))
+def _held(text: Column, needles: list[str]) -> Column:
+    """How many of `needles` `text` contains."""
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(n)).cast("int") for n in needles])
+
+
+def _first(table: dict, test) -> Column:
+    """The value of the first key that passes `test`, else null."""
+    return reduce(lambda w, kv: w.when(test(F.lit(kv[0])), F.lit(kv[1])), list(table.items())[1:], F.when(test(F.lit(next(iter(table)))), F.lit(next(iter(table.values())))))
 
 
 def _none(c: Column) -> Column:
     return F.coalesce(c, F.array().cast(STRINGS))
 
 
-def registration(c) -> Column:
-    return _hits(
+def registration(c) -> list[Hit]:
+    return [
         _ladder("whois", (c("is_very_new"), 25, "Domain <7d"), (c("is_newly_registered"), 12, "Domain <30d")),
         _hit(c("days_until_expiry") < 30, "whois", 5, "Registration expires soon"),
-    )
+    ]
 
 
-def url_shape(c) -> Column:
+def url_shape(c) -> list[Hit]:
     depth = subdomain_depth(c("fqdn"))
-    return _hits(
+    return [
         _hit(F.contains(c("fqdn"), F.lit("xn--")), "url", 15, "IDN/punycode"),
         _hit(c("is_idn"), "url", 10, "IDN (Unicode)"),
         _hit(c("mixed_script"), "url", 10, "Mixed scripts"),
@@ -93,24 +126,22 @@ def url_shape(c) -> Column:
         _ladder("url", (depth >= 8, 20, "Extreme subdomain depth (≥8)"), (depth >= 6, 15, "Very deep subdomains (≥6)"), (depth >= 5, 12, "Many subdomains (≥5)"), (depth >= 3, 8, "Multiple subdomains (≥3)")),
         _hit(c("has_repeated_digits"), "url", 6, "Repeated digits"),
         _hit(tld(c("fqdn")).isin(RISKY_TLDS), "domain", 6, F.concat(F.lit("Risky TLD ."), tld(c("fqdn")))),
-    )
+    ]
 
 
-def impersonation(c) -> Column:
+def impersonation(c) -> list[Hit]:
     """A protected or country suffix among the inner labels: pairs of labels first, then single labels."""
     inner, actual = inner_labels(c("fqdn")), tld(c("fqdn"))
     pairs = F.filter(F.transform(inner, lambda x, i: F.concat_ws(".", x, F.get(inner, i + 1))), lambda p: p.isin(PROTECTED_TLDS) & F.contains(p, F.lit(".")))
     single = F.filter(inner, lambda x: x.isin(PROTECTED_TLDS + COUNTRY_TLDS) & (x != actual))
     found = F.coalesce(F.get(pairs, F.lit(0)), F.get(single, F.lit(0)))
-    return _hits(_ladder(
-        "impersonation",
-        (found.isin(PROTECTED_TLDS), 40, F.concat(F.lit("TLD impersonation: "), found, F.lit(" in subdomain"))),
-        (found.isNotNull(), 30, F.concat(F.lit("ccTLD in subdomain: "), found)),
-    ))
+    worth = let(found, lambda x: F.when(x.isin(PROTECTED_TLDS), 40).when(x.isNotNull(), 30))
+    reason = let(found, lambda x: F.when(x.isin(PROTECTED_TLDS), F.concat(F.lit("TLD impersonation: "), x, F.lit(" in subdomain"))).otherwise(F.concat(F.lit("ccTLD in subdomain: "), x)))
+    return [Hit("impersonation", worth, reason)]
 
 
-def page_content(c) -> Column:
-    return _hits(
+def page_content(c) -> list[Hit]:
+    return [
         _hit((c("password_fields") > 0) & (c("email_fields") > 0), "forms", 22, "Credential form"),
         _hit(c("suspicious_form_count") > 0, "forms", 18, "Suspicious forms"),
         _hit(c("forms_to_ip") > 0, "forms", 10, "Forms submit to IP"),
@@ -118,21 +149,21 @@ def page_content(c) -> Column:
         _hit(c("forms_to_private_ip") > 0, "forms", 10, "Forms submit to private IP"),
         _ladder("content", (c("keyword_count") >= 8, 18, "Many phishing keywords"), (c("keyword_count") >= 3, 12, "Phishing keywords present"), (c("keyword_count") >= 1, 8, "Keyword hint")),
         _hit(c("obfuscated_scripts") > 0, "javascript", 15, "Obfuscated JavaScript detected"),
-    )
+    ]
 
 
-def certificate(c) -> Column:
+def certificate(c) -> list[Hit]:
     """The share of the certificate's own risk has points but no reason."""
     extra = F.least(F.lit(20), F.floor(F.coalesce(c("cert_risk_score"), F.lit(0)) * 0.2))
-    return _hits(
+    return [
         _hit(c("is_self_signed"), "ssl", 40, "TLS self-signed"),
         _hit(c("has_domain_mismatch"), "ssl", 25, "TLS CN mismatch"),
         _ladder("ssl", (c("cert_is_very_new"), 12, "Cert very new (<7d)"), (c("is_newly_issued"), 8, "Cert new (<30d)")),
         _hit(extra > 0, "ssl", extra, F.lit(None).cast("string")),
-    )
+    ]
 
 
-def network(c) -> Column:
+def network(c) -> list[Hit]:
     fqdn = F.lower(c("fqdn"))
     bare = lambda h: F.rtrim(F.lower(h), F.lit("."))
     country = F.upper(c("country"))
@@ -142,97 +173,84 @@ def network(c) -> Column:
     ]
     claimed = F.coalesce(*geo)
     dotted = cross_registrable(c("original_host"), url_host(c("url")))
-    return F.concat(
-        _hits(
-            _hit(dotted, "http", 12, "Redirect crosses registrable"),
-            _hit(F.exists(_none(c("mx")), lambda m: bare(m) == F.rtrim(fqdn, F.lit("."))), "dns", 10, "Self-referential MX record"),
-            _hit(F.exists(F.map_values(c("ttls")), lambda t: (t >= 0) & (t < 60)), "dns", 8, "Suspiciously low TTL (fast-flux)"),
-            _hit(F.contains(F.lower(c("whois_error")), F.lit("no output")), "dns", 5, "WHOIS data unavailable"),
-        ),
-        F.array_compact(F.transform(_none(c("ns")), lambda n: _hit(
-            first_in(F.lower(n), BAD_NAMESERVERS).isNotNull(), "dns", 12, F.concat(F.lit("Suspicious nameserver ("), first_in(F.lower(n), BAD_NAMESERVERS), F.lit(")"))))),
-        _hits(_hit(country.isNotNull() & claimed.isNotNull(), "geo", 15, F.concat(F.lit("Geographic mismatch: claims "), claimed, F.lit(", hosted in "), c("country")))),
-        _hits(_hit(
+    return [
+        _hit(dotted, "http", 12, "Redirect crosses registrable"),
+        _hit(F.exists(_none(c("mx")), lambda m: bare(m) == F.rtrim(fqdn, F.lit("."))), "dns", 10, "Self-referential MX record"),
+        _hit(F.exists(F.map_values(c("ttls")), lambda t: (t >= 0) & (t < 60)), "dns", 8, "Suspiciously low TTL (fast-flux)"),
+        _hit(F.contains(F.lower(c("whois_error")), F.lit("no output")), "dns", 5, "WHOIS data unavailable"),
+        _each(c("ns"), "dns", 12, BAD_NAMESERVERS, lambda x: F.concat(F.lit("Suspicious nameserver ("), x, F.lit(")"))),
+        _hit(country.isNotNull() & claimed.isNotNull(), "geo", 15, F.concat(F.lit("Geographic mismatch: claims "), claimed, F.lit(", hosted in "), c("country"))),
+        _hit(
             (F.length(c("seed_registrable")) > 0) & ~F.coalesce(c("is_original_seed"), F.lit(False)) & ~c("seed_registrable").eqNullSafe(c("registrable")),
-            "typosquat", 25, F.concat(F.lit("Potential typosquat of "), c("seed_registrable")))),
-    )
+            "typosquat", 25, F.concat(F.lit("Potential typosquat of "), c("seed_registrable"))),
+    ]
 
 
-def temporal(c) -> Column:
+def temporal(c) -> list[Hit]:
     gap = F.abs(c("domain_age_days") - c("cert_age_days"))
     both = gap.isNotNull()
-    return _hits(
+    return [
         _ladder("temporal", (gap <= 1, 35, "Domain and SSL cert created same day (automation)"), (gap <= 7, 20, F.concat(F.lit("Domain and cert created within "), gap.cast("string"), F.lit(" days"))), (gap <= 30, 10, "Domain and cert both new (<30 days)")),
         _hit(both & (c("domain_age_days") > 0) & (c("domain_age_days") < 7) & F.contains(F.lower(c("cert_issuer")), F.lit("let's encrypt")), "temporal", 15, "Let's Encrypt cert on very new domain"),
         _hit(both & (c("cert_validity_days") > 0) & (c("cert_validity_days") < 90), "temporal", 8, F.concat(F.lit("Short cert validity ("), c("cert_validity_days").cast("string"), F.lit(" days)"))),
-    )
+    ]
 
 
-def behaviour(c) -> Column:
+def behaviour(c) -> list[Hit]:
     url = F.lower(c("url"))
     path, query = path_of(url), query_of(url)
-    points = lambda table, key: F.get(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table.items()]), key), F.lit(0))
-    kit, file = points(KIT_PATHS, lambda x: F.contains(path, x["k"])), points(KIT_FILES, lambda x: F.regexp_extract(path, r"([^/]*)$", 1) == x["k"])
-    params = F.size(F.filter(strings(QUERY_WORDS), lambda w: F.contains(query, w)))
-    return _hits(
-        _hit(kit.isNotNull(), "behavior", kit["v"], F.concat(F.lit("Suspicious path pattern: "), kit["k"])),
-        _hit(file.isNotNull(), "behavior", file["v"], F.concat(F.lit("Suspicious file: "), file["k"])),
+    in_path, ends = lambda k: F.contains(path, k), lambda k: F.regexp_extract(path, r"([^/]*)$", 1) == k
+    name = lambda table: {k: k for k in table}
+    kit, file, params = _first(KIT_PATHS, in_path), _first(KIT_FILES, ends), _held(query, QUERY_WORDS)
+    return [
+        Hit("behavior", kit, F.concat(F.lit("Suspicious path pattern: "), _first(name(KIT_PATHS), in_path))),
+        Hit("behavior", file, F.concat(F.lit("Suspicious file: "), _first(name(KIT_FILES), ends))),
         _hit(F.contains(url, F.lit("base64")) | url.rlike(r"[?&][a-z]=[a-z0-9+/]{20,}={0,2}"), "behavior", 18, "Possible base64 encoded payload in URL"),
         _ladder("behavior", (params >= 3, 15, F.concat(F.lit("Multiple suspicious parameters ("), params.cast("string"), F.lit(")"))), (params >= 2, 8, "Suspicious URL parameters")),
         _hit(path.rlike(r"\.\w{2,4}\.\w{2,4}$"), "behavior", 20, "Double file extension (masquerading)"),
         _hit(path.rlike(r"/[a-z0-9]{5,8}$") & (F.length(path) < 15), "behavior", 10, "URL shortener pattern detected"),
-        _hit(F.size(F.filter(strings(CREDENTIAL_PATHS), lambda p: F.contains(path, p))) >= 2, "behavior", 15, "Multiple credential-related paths"),
-        _hit(F.exists(strings(BADGE_WORDS), lambda w: F.contains(path, F.concat(F.lit("/"), w, F.lit("/"))) | F.contains(path, F.concat(F.lit("-"), w, F.lit("-")))), "behavior", 12, "Fake security indicator in URL"),
-    )
+        _hit(_held(path, CREDENTIAL_PATHS) >= 2, "behavior", 15, "Multiple credential-related paths"),
+        _hit(_any(path, [f"{x}{w}{x}" for w in BADGE_WORDS for x in "/-"]), "behavior", 12, "Fake security indicator in URL"),
+    ]
 
 
-def infrastructure(c) -> Column:
+def infrastructure(c) -> list[Hit]:
     org, registrar, country = F.lower(c("asn_org")), F.lower(c("registrar")), F.upper(c("country"))
-    risk = F.try_element_at(F.create_map(*[F.lit(x) for kv in COUNTRY_POINTS.items() for x in kv]), country)
-    host = F.get(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in HOSTING_POINTS.items()]), lambda x: F.contains(org, x["k"])), F.lit(0))
+    risk = F.nullif(_first(COUNTRY_POINTS, lambda k: country == k), F.lit(0))
+    in_org = lambda k: F.contains(org, k)
     n_a = F.size(_none(c("a")))
-    return F.concat(
-        _hits(
-            _hit(host.isNotNull(), "infrastructure", host["v"], F.concat(F.lit("High-risk hosting: "), host["k"])),
-            _ladder("infrastructure", (risk > 0, risk, F.concat(F.lit("Hosted in suspicious country: "), country)), (risk < 0, risk, F.lit(None).cast("string"))),
-        ),
-        F.array_compact(F.transform(_none(c("ns")), lambda n: _hit(first_in(F.lower(n), FREE_NAMESERVERS).isNotNull(), "infrastructure", 8, F.concat(F.lit("Suspicious nameserver: "), first_in(F.lower(n), FREE_NAMESERVERS))))),
-        _hits(
-            _hit(any_in(org, BULLETPROOF), "infrastructure", 25, "Bulletproof hosting detected"),
-            _hit(any_in(org, RESIDENTIAL), "infrastructure", 15, "Hosted on residential IP"),
-            _hit(first_in(registrar, BUDGET_REGISTRARS).isNotNull(), "infrastructure", 5, F.concat(F.lit("Budget registrar: "), first_in(registrar, BUDGET_REGISTRARS))),
-            _hit((n_a > 0) & (F.size(_none(c("ptr"))) == 0), "infrastructure", 8, "No reverse DNS configured"),
-            _hit(n_a > 5, "infrastructure", 10, F.concat(F.lit("Unusual number of IPs ("), n_a.cast("string"), F.lit(")"))),
-        ),
-    )
+    return [
+        Hit("infrastructure", _first(HOSTING_POINTS, in_org), F.concat(F.lit("High-risk hosting: "), _first({k: k for k in HOSTING_POINTS}, in_org))),
+        Hit("infrastructure", risk, F.when(risk > 0, F.concat(F.lit("Hosted in suspicious country: "), country))),
+        _each(c("ns"), "infrastructure", 8, FREE_NAMESERVERS, lambda x: F.concat(F.lit("Suspicious nameserver: "), x)),
+        _hit(_any(org, BULLETPROOF), "infrastructure", 25, "Bulletproof hosting detected"),
+        _hit(_any(org, RESIDENTIAL), "infrastructure", 15, "Hosted on residential IP"),
+        _hit(_any(registrar, BUDGET_REGISTRARS), "infrastructure", 5, F.concat(F.lit("Budget registrar: "), first_in(registrar, BUDGET_REGISTRARS))),
+        _hit((n_a > 0) & (F.size(_none(c("ptr"))) == 0), "infrastructure", 8, "No reverse DNS configured"),
+        _hit(n_a > 5, "infrastructure", 10, F.concat(F.lit("Unusual number of IPs ("), n_a.cast("string"), F.lit(")"))),
+    ]
 
 
-def parking(c) -> Column:
+def parking(c) -> list[Hit]:
     """Signals of a parked domain; their points are the confidence."""
     text = F.concat(F.coalesce(F.lower(c("title")), F.lit("")), F.lit(" "), F.coalesce(F.lower(F.left(c("page_text"), F.lit(5000))), F.lit("")))
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in PARKING_MARKERS.items()])
-    found = F.filter(table, lambda x: F.contains(text, x["k"]))
-    weight = F.aggregate(found, F.lit(0), lambda a, x: a + x["v"])
+    weight = reduce(lambda a, b: a + b, [F.when(F.contains(text, F.lit(k)), v).otherwise(0) for k, v in PARKING_MARKERS.items()])
     no_mx, n_a = F.size(_none(c("mx"))) == 0, F.size(_none(c("a")))
     paged, formless = c("html_size").isNotNull(), F.coalesce(c("form_count"), F.lit(0)) == 0
-    url = first_in(F.lower(c("url")), PARKING_URLS)
-    server = first_in(F.lower(c("server")), PARKING_SERVERS)
-    left = c("days_until_expiry")
-    return F.concat(
-        F.array_compact(F.transform(_none(c("ns")), lambda n: _hit(first_in(F.lower(n), PARKING_NAMESERVERS).isNotNull(), "parked", 40, F.concat(F.lit("NS points to parking: "), first_in(F.lower(n), PARKING_NAMESERVERS))))),
-        _hits(
-            _hit(url.isNotNull(), "parked", 35, F.concat(F.lit("Redirects to parking: "), url)),
-            _hit(weight >= 25, "parked", F.least(F.lit(30), weight), F.concat(F.lit("Parking content detected ("), F.size(found).cast("string"), F.lit(" markers)"))),
-            _hit(no_mx, "parked", 10, "No MX records"),
-            _hit(no_mx & (n_a == 1), "parked", 10, "Minimal DNS configuration"),
-            _hit(paged & formless, "parked", 8, "No forms on page"),
-            _hit((c("html_size") > 0) & (c("html_size") < 5000), "parked", 12, F.concat(F.lit("Minimal content ("), c("html_size").cast("string"), F.lit(" bytes)"))),
-            _hit((c("external_links") > 5) & formless, "parked", 15, "Multiple external links, no forms"),
-            _hit(c("is_newly_registered"), "parked", 5, "Recently registered"),
-            _hit(left < 60, "parked", 8, F.concat(F.lit("Expires soon ("), left.cast("string"), F.lit(" days)"))),
-            _hit(server.isNotNull(), "parked", 30, F.concat(F.lit("Parking server: "), server)),
-        ),
-    )
+    url, server, left = F.lower(c("url")), F.lower(c("server")), c("days_until_expiry")
+    return [
+        _each(c("ns"), "parked", 40, PARKING_NAMESERVERS, lambda x: F.concat(F.lit("NS points to parking: "), x)),
+        _hit(_any(url, PARKING_URLS), "parked", 35, F.concat(F.lit("Redirects to parking: "), first_in(url, PARKING_URLS))),
+        Hit("parked", let(weight, lambda w: F.when(w >= 25, F.least(F.lit(30), w))), F.when(weight >= 25, F.concat(F.lit("Parking content detected ("), _held(text, list(PARKING_MARKERS)).cast("string"), F.lit(" markers)")))),
+        _hit(no_mx, "parked", 10, "No MX records"),
+        _hit(no_mx & (n_a == 1), "parked", 10, "Minimal DNS configuration"),
+        _hit(paged & formless, "parked", 8, "No forms on page"),
+        _hit((c("html_size") > 0) & (c("html_size") < 5000), "parked", 12, F.concat(F.lit("Minimal content ("), c("html_size").cast("string"), F.lit(" bytes)"))),
+        _hit((c("external_links") > 5) & formless, "parked", 15, "Multiple external links, no forms"),
+        _hit(c("is_newly_registered"), "parked", 5, "Recently registered"),
+        _hit(left < 60, "parked", 8, F.concat(F.lit("Expires soon ("), left.cast("string"), F.lit(" days)"))),
+        _hit(_any(server, PARKING_SERVERS), "parked", 30, F.concat(F.lit("Parking server: "), first_in(server, PARKING_SERVERS))),
+    ]
 
 
 GROUPS = {
@@ -243,8 +261,14 @@ GROUPS = {
 POSITIVE = {"temporal", "behaviour", "infrastructure"}
 
 
-def points(hits: Column) -> Column:
-    return F.aggregate(hits, F.lit(0), lambda a, h: a + h["points"])
+def points(hits: list[Hit]) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(h.points, F.lit(0)) for h in hits])
+
+
+def _reasons(hits: list[Hit]) -> Column:
+    """The reasons of the rules that hold, in order."""
+    one = lambda h: F.when(h.points.isNotNull(), h.reason if h.many else F.array(h.reason))
+    return F.concat(*[F.coalesce(one(h), F.array().cast(STRINGS)) for h in hits])
 
 
 def score(records: DataFrame, as_of: Column, monitor_days: int = 90) -> DataFrame:
@@ -255,11 +279,11 @@ def score(records: DataFrame, as_of: Column, monitor_days: int = 90) -> DataFram
     registered lately, are watched for `monitor_days` from `as_of`.
     """
     df = complete(records)
-    df = df.withColumns({f"_{k}": rule(F.col).cast(f"array<{HIT}>") for k, rule in GROUPS.items()} | {"_parking": parking(F.col).cast(f"array<{HIT}>")})
-    empty = F.array().cast(f"array<{HIT}>")
-    df = df.withColumns({f"_{k}": F.when(points(F.col(f"_{k}")) > 0, F.col(f"_{k}")).otherwise(empty) for k in POSITIVE})
-    df = df.withColumns({"_hits": F.concat(*[F.col(f"_{k}") for k in GROUPS]), "_sure": points(F.col("_parking"))})
-    df = df.withColumn("_sum", points(F.col("_hits")))
+    groups = {k: rule(F.col) for k, rule in GROUPS.items()} | {"parking": parking(F.col)}
+    df = df.withColumns({f"_{k}{i}": h.points for k, hits in groups.items() for i, h in enumerate(hits)})
+    groups = {k: [h._replace(points=F.col(f"_{k}{i}")) for i, h in enumerate(hits)] for k, hits in groups.items()}
+    df = df.withColumns({f"_{k}": F.greatest(points(hits), F.lit(0)) if k in POSITIVE else points(hits) for k, hits in groups.items()})
+    df = df.withColumns({"_sum": reduce(lambda a, b: a + b, [F.col(f"_{k}") for k in GROUPS]), "_sure": F.col("_parking")})
     parked = (F.col("_sure") >= 50) & ~F.coalesce(F.col("domain_age_days") > 365, F.lit(False))
     df = df.withColumn("verdict", F.when(parked, "parked").when(F.col("_sum") >= 70, "phishing").when(F.col("_sum") >= 40, "suspicious").otherwise("benign"))
     v, s = F.col("verdict"), F.col("_sum")
@@ -269,18 +293,24 @@ def score(records: DataFrame, as_of: Column, monitor_days: int = 90) -> DataFram
         .when(v == "suspicious", 0.65 + (s - 40) / 200)
         .otherwise(0.5)
     )
-    chosen = F.when(v == "parked", F.col("_parking")).otherwise(F.col("_hits"))
-    kinds = F.array_distinct(F.transform(chosen, lambda h: h["category"]))
+    counts = lambda k: F.col(f"_{k}") > 0 if k in POSITIVE else F.lit(True)
+    reasons = F.concat(*[F.when(counts(k), _reasons(groups[k])).otherwise(F.array().cast(STRINGS)) for k in GROUPS])
+    kinds: dict[str, list[Hit]] = {}
+    for k, hits in groups.items():
+        for h in hits:
+            here = (v == "parked") if k == "parking" else (v != "parked") & counts(k)
+            kinds.setdefault(h.category, []).append(h._replace(points=F.when(here, h.points)))
+    sums = [F.when(F.coalesce(*[h.points for h in hits]).isNotNull(), F.struct(F.lit(k).alias("key"), points(hits).alias("value"))) for k, hits in kinds.items()]
     watch = (v == "suspicious") | ((v == "parked") & F.coalesce(F.col("is_newly_registered"), F.lit(False)))
     df = df.withColumns({
         "score": F.when(v == "parked", F.col("_sure")).otherwise(s),
         "confidence": F.round(confidence, 3),
-        "reasons": F.slice(F.filter(F.transform(chosen, lambda h: h["reason"]), lambda r: r.isNotNull()), 1, 20),
-        "categories": F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, points(F.filter(chosen, lambda h: h["category"] == k))))),
+        "reasons": F.slice(F.array_compact(F.when(v == "parked", _reasons(groups["parking"])).otherwise(reasons)), 1, 20),
+        "categories": F.map_from_entries(F.array_compact(F.array(*sums))),
         "monitor_until": F.when(watch, F.unix_timestamp(as_of) + monitor_days * 86400),
         "monitor_reason": F.when(watch, v),
     })
-    return df.drop(*[f"_{k}" for k in GROUPS], "_parking", "_hits", "_sure", "_sum")
+    return df.drop(*[f"_{k}{i}" for k, hits in groups.items() for i in range(len(hits))], *[f"_{k}" for k in groups], "_sure", "_sum")
 
 
 def merged(scored: DataFrame, chain: Column, summary: Column, penalty: Column) -> DataFrame:
@@ -296,8 +326,13 @@ def merged(scored: DataFrame, chain: Column, summary: Column, penalty: Column) -
 
 
 def category_sums(scored: DataFrame, key: str) -> DataFrame:
-    """(key, category, points), a row for each category of each record."""
-    return scored.select(key, F.explode("categories").alias("category", "points"))
+    """(key, category, points), a row for each category of each record.
+
+    A record without any is left out after the explosion: an inner one makes
+    the optimizer put a filter on the categories below all rules, with these
+    written out in it time and again.
+    """
+    return scored.select(key, F.explode_outer("categories").alias("category", "points")).where(F.col("category").isNotNull())
 
 
 def category_columns(scored: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:

@@ -21,7 +21,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     strings = lambda *xs: F.array(*[F.lit(x) for x in xs])
     none = F.array().cast("array<string>")
     countries = F.array(*[F.lit(c) for c in ("NG", "RU", "IN", "US", "DE", "ZZ")])
-    return table(spark, sf_dir, "customer").select(
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number is few bytes and its record much work, so the files' own splits are too few
+    return table(spark, sf_dir, "customer").select("c_custkey").repartition(tasks, "c_custkey").select(
         k.alias("k"),
         F.when(m(4) == 0, "www.shop.example.com").when(m(4) == 1, "a.gov.in.b.c.scam.xyz").when(m(4) == 2, "pay.in.deal.top").otherwise("xn--a.example.net").alias("fqdn"),
         F.concat(F.lit("reg"), m(3).cast("string"), F.lit(".com")).alias("registrable"),

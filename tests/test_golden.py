@@ -155,3 +155,19 @@ def test_whole_days_count_parts_of_a_second(spark):
     assert days("2024-03-01", "2024-01-11 00:00:00.000001") == 49
     assert days("2024-03-01", "2024-01-11") == 50
     assert days("2024-03-01", "2024-03-01 00:00:00.5") == -1
+
+
+def test_rules_stand_once_in_the_plans_of_scores_and_categories(spark):
+    from decoyscope.plans import scoring
+
+    for query in (scoring.scored_records, scoring.category_points, scoring.category_columns):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in plan and len(plan) < 200_000, (query.__name__, len(plan))
+
+
+def test_categories_and_reasons_of_rules_that_hold_several_times(spark):
+    r = scored(spark, ns=["a.Njalla.no", None, "ecatel.x", "plain"], country="US", a=["1"], ptr=["p"])
+    assert r.categories == {"dns": 24} and r.score == 24 and r.reasons == ["Suspicious nameserver (njalla)", "Suspicious nameserver (ecatel)"]
+    r = scored(spark, asn_org="My OVH offshore", url="https://h/verify/login.php?id=1&token=2", cert_risk_score=50)
+    assert r.categories == {"ssl": 10, "behavior": 12 + 8 + 8, "infrastructure": 7 + 25} and r.score == 70
+    assert r.reasons == ["Suspicious path pattern: /verify/", "Suspicious file: login.php", "Suspicious URL parameters", "High-risk hosting: ovh", "Bulletproof hosting detected"]
