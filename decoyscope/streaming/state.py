@@ -125,41 +125,52 @@ class InactiveRecheck(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", "due bigint, count int, slow boolean, resolved boolean")
 
-    def _wait(self, due: int | None, count: int, slow: bool, resolved: bool) -> None:
-        self.entry.update((due, count, slow, resolved))
-        if self.timed and due is not None:
-            self.handle.registerTimer(due * 1000)
-
-    def _check(self, key, at: int) -> list[tuple]:
-        """The outcome of a check that is due by `at`; what it leaves is kept."""
-        due, count, slow, resolved = self.entry.get()
+    def _delay(self, slow: bool, n: int) -> int:
+        return (UNREGISTERED_DAYS if slow else INACTIVE_DAYS)[n] * DAY
+
+    def _check(self, entry: tuple, at: int) -> tuple[tuple | None, tuple | None]:
+        """What is left of an entry at `at`, and (checks, outcome) of a check that is due by then."""
+        due, count, slow, resolved = entry
         if due is None or at < due:
-            return []
+            return entry, None
         if resolved:
-            self.entry.clear()
-            return [(key[0], at, count + 1, "newly_active")]
+            return None, (count + 1, "newly_active")
         if count + 1 >= MOST:
-            self._wait(None, MOST, slow, resolved)
-            return [(key[0], at, count + 1, "dropped")]
-        self._wait(at + (UNREGISTERED_DAYS if slow else INACTIVE_DAYS)[count] * DAY, count + 1, slow, resolved)
-        return []
+            return (None, MOST, slow, resolved), (count + 1, "dropped")
+        return (at + self._delay(slow, count), count + 1, slow, resolved), None
+
+    def _keep(self, before: tuple | None, entry: tuple | None) -> None:
+        """State is written once a batch, if it changed; a due time that stays has its timer already."""
+        if entry == before:
+            return
+        if entry is None:
+            self.entry.clear()
+            return
+        self.entry.update(entry)
+        if self.timed and entry[0] is not None and (before is None or before[0] != entry[0]):
+            self.handle.registerTimer(entry[0] * 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = sorted((int(at), bool(resolved), bool(slow)) for pdf in rows for at, slow, resolved in zip(pdf["at"].tolist(), pdf["unregistered"].tolist(), pdf["resolved"].tolist()))
+        before = entry = tuple(self.entry.get()) if self.entry.exists() else None
         out = []
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["at", "resolved"], ignore_index=True)
-        for at, slow, resolved in zip(pdf["at"], pdf["unregistered"], pdf["resolved"]):
-            at, slow, resolved = int(at), bool(slow), bool(resolved)
-            if not self.entry.exists():
-                self._wait(at + (UNREGISTERED_DAYS if slow else INACTIVE_DAYS)[0] * DAY, 0, slow, resolved)
+        for at, resolved, slow in seen:
+            if entry is None:
+                entry = (at + self._delay(slow, 0), 0, slow, resolved)
                 continue
-            due, count, kept, _ = self.entry.get()
-            self.entry.update((due, count, kept, resolved))
-            out += self._check(key, at)
+            entry, told = self._check((*entry[:3], resolved), at)
+            if told:
+                out.append((key[0], at, *told))
+        self._keep(before, entry)
         yield pd.DataFrame(out, columns=["domain", "at", "checks", "outcome"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._check(key, expiredTimerInfo.getExpiryTimeInMs() // 1000) if self.entry.exists() else []
-        yield pd.DataFrame(out, columns=["domain", "at", "checks", "outcome"])
+        told, at = None, expiredTimerInfo.getExpiryTimeInMs() // 1000
+        if self.entry.exists():
+            before = tuple(self.entry.get())
+            entry, told = self._check(before, at)
+            self._keep(before, entry)
+        yield pd.DataFrame([(key[0], at, *told)] if told else [], columns=["domain", "at", "checks", "outcome"])
 
     def close(self) -> None:
         pass
@@ -191,16 +202,14 @@ class Fusion(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = list(self.parts.get()) if self.parts.exists() else [None] * (3 * len(self.kinds))
+        place = {kind: 3 * i for i, kind in enumerate(self.kinds)}
         for pdf in rows:
-            for i, kind in enumerate(self.kinds):
-                part = pdf[pdf["kind"] == kind]
-                if len(part):
-                    newest = part.sort_values(["at", "event_id"]).iloc[-1]
-                    found = (int(newest["at"]), int(newest["event_id"]))
-                    if held[3 * i] is None or tuple(held[3 * i : 3 * i + 2]) <= found:
-                        held[3 * i : 3 * i + 3] = [*found, float(newest["value"])]
+            for kind, at, id_, value in zip(pdf["kind"].tolist(), pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["value"].tolist()):
+                i = place.get(kind)
+                if i is not None and (held[i] is None or tuple(held[i : i + 2]) <= (at, id_)):
+                    held[i : i + 3] = [int(at), int(id_), float(value)]
         self.parts.update(tuple(held))
-        yield pd.DataFrame([{"k": key[0], **{k: held[3 * i + 2] for i, k in enumerate(self.kinds)}}]).astype({k: "float64" for k in self.kinds})
+        yield pd.DataFrame({"k": [key[0]], **{k: [float("nan") if held[3 * i + 2] is None else held[3 * i + 2]] for i, k in enumerate(self.kinds)}})
 
     def close(self) -> None:
         pass

@@ -132,6 +132,45 @@ def test_inactive_rechecks_by_the_clock():
     assert feed(chunk((10, False))) == [] and fire(16) == [] and fire(17) == [] and fire(24) == [] and fire(54) == ["dropped"] and fire(400) == []
 
 
+def test_a_batch_writes_an_inactive_entry_once():
+    """However many rows a key has in a batch, its state is read and written once."""
+    import pandas as pd
+
+    class Counted(Value):
+        writes = reads = 0
+
+        def get(self):
+            self.reads += 1
+            return super().get()
+
+        def update(self, v):
+            self.writes += 1
+            super().update(v)
+
+    p = state.InactiveRecheck(False)
+    p.init(Handle())
+    p.entry = Counted()
+    for day in (0, 1):
+        list(p.handleInputRows(("x",), iter([pd.DataFrame({"at": range(day * 100, day * 100 + 50), "unregistered": False, "resolved": [i % 2 == 0 for i in range(50)]})]), None))
+    assert p.entry.writes <= 2 and p.entry.reads <= 2
+
+
+def test_fusing_many_keys_takes_little_time_each():
+    import time
+
+    import pandas as pd
+
+    p = state.Fusion(["a", "b", "c"], None)
+    p.init(Handle())
+    rows = pd.DataFrame({"kind": ["c", "a", None, "a", "b"], "at": [1, 5, 9, 5, 2], "event_id": [1, 2, 3, 4, 5], "value": [1.0, 2.0, 3.0, 4.0, 5.0]})
+    began = time.process_time()
+    for k in range(3000):
+        p.parts = Value()
+        out = pd.concat(list(p.handleInputRows((k,), iter([rows]), None)))
+        assert out.values.tolist() == [[k, 4.0, 5.0, 1.0]]
+    assert time.process_time() - began < 5
+
+
 def test_active_rechecks():
     import pandas as pd
 
