@@ -67,18 +67,43 @@ def image_text_rollup(images: DataFrame, brands: list[str], urgent: list[str], p
         F.count_if(any_in(t, brands)).alias("brand_images"), F.count_if(any_in(t, urgent)).alias("urgent_images"))
 
 
+#: Keys that several rows have are sent to all tasks up to this number of them.
+BROADCAST_KEYS = 100_000
+
+
 def top_words(docs: DataFrame, key: str, text: str, stop: list[str], n: int = 20) -> DataFrame:
     """(key, word, count, rank) of the `n` most frequent words of 3 letters or more; ties by first appearance.
 
-    Words are counted per row before they are shuffled; a row's distinct words
-    are ordered in one array, without a sort of all rows.
+    A row whose key no other row has is counted by itself, and nothing of it
+    is shuffled but its key; rows that share a key are counted together.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
-    each = docs.select(key, F.posexplode(words).alias("at", "word")).where(~F.col("word").isin(stop))
+    rows = docs.select(F.col(key), words.alias("words"))
+    several = docs.groupBy(F.col(key).alias("_k")).count().where("count > 1").select("_k")
+    many = several.count()
+    if not many:
+        best = _counted_alone(rows, key, stop, n)
+    else:
+        several = F.broadcast(several) if many <= BROADCAST_KEYS else several
+        shared = lambda how: rows.join(several, F.col(key).eqNullSafe(F.col("_k")), how)
+        best = _counted_alone(shared("left_anti"), key, stop, n).unionByName(_counted_together(shared("left_semi"), key, stop, n))
+    return best.select(key, F.posexplode("xs").alias("rank", "x")).select(key, "x.word", (-F.col("x.n")).alias("count"), (F.col("rank") + 1).alias("rank"))
+
+
+def _counted_alone(rows: DataFrame, key: str, stop: list[str], n: int) -> DataFrame:
+    """(key, xs) of each row: its sorted words lie in runs of equal ones, whose lengths are counts; its distinct words are in order of appearance."""
+    runs = F.regexp_extract_all(F.array_join(F.sort_array("words"), " "), F.lit(r"([a-z]+)(?: \1(?![a-z]))*+"), F.lit(0))
+    placed = F.sort_array(F.transform(F.array_distinct("words"), lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    times = lambda w, run: ((F.length(run) + 1) / (F.length(w) + 1)).cast("long")
+    each = F.zip_with(placed, runs, lambda w, run: F.struct((-times(w["word"], run)).alias("n"), w["at"].alias("at"), w["word"].alias("word")))
+    return rows.select(key, F.slice(F.sort_array(F.filter(each, lambda x: ~x["word"].isin(stop))), 1, n).alias("xs"))
+
+
+def _counted_together(rows: DataFrame, key: str, stop: list[str], n: int) -> DataFrame:
+    """(key, xs) over all rows of a key; words are counted per row before they are shuffled."""
+    each = rows.select(key, F.posexplode("words").alias("at", "word")).where(~F.col("word").isin(stop))
     counted = each.groupBy(key, "word").agg(F.count("*").alias("count"), F.min("at").alias("at"))
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "at", "word"))), 1, n)
-    return counted.groupBy(key).agg(ordered.alias("xs")).select(key, F.posexplode("xs").alias("rank", "x")).select(
-        key, "x.word", (-F.col("x.n")).alias("count"), (F.col("rank") + 1).alias("rank"))
+    return counted.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "at", "word"))), 1, n).alias("xs"))
 
 
 def dashboard(scored: DataFrame) -> DataFrame:

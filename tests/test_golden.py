@@ -171,3 +171,17 @@ def test_categories_and_reasons_of_rules_that_hold_several_times(spark):
     r = scored(spark, asn_org="My OVH offshore", url="https://h/verify/login.php?id=1&token=2", cert_risk_score=50)
     assert r.categories == {"ssl": 10, "behavior": 12 + 8 + 8, "infrastructure": 7 + 25} and r.score == 70
     assert r.reasons == ["Suspicious path pattern: /verify/", "Suspicious file: login.php", "Suspicious URL parameters", "High-risk hosting: ovh", "Bulletproof hosting detected"]
+
+
+def test_top_words_shuffle_no_words_and_join_rows_of_one_key(spark):
+    from decoyscope.operators import rollup
+
+    texts = [(1, "the cat saw cat cats; dog, dog cat-dog x_cat"), (2, None), (3, "cat" + " cat" * 30_000 + " and bee bee ant"), (4, "zoo yak zoo yak")]
+    got = lambda rows: sorted((r.k or 0, *r[1:]) for r in rollup.top_words(spark.createDataFrame(rows, "k long, t string"), "k", "t", ["the", "and"], 3).collect())
+    alone = [(1, "cat", 3, 1), (1, "dog", 3, 2), (1, "saw", 1, 3), (3, "ant", 1, 3), (3, "bee", 2, 2), (3, "cat", 30_001, 1), (4, "yak", 2, 2), (4, "zoo", 2, 1)]
+    assert got(texts) == alone
+    both = got(texts + [(4, "yak yak"), (5, "one"), (None, "odd even"), (None, "even")])
+    assert [r for r in both if r[0] == 0] == [(0, "even", 2, 1), (0, "odd", 1, 2)]
+    assert [r for r in both if r[0] in (1, 3)] == alone[:6] and [r for r in both if r[0] == 4] == [(4, "yak", 4, 1), (4, "zoo", 2, 2)]
+    plan = rollup.top_words(spark.createDataFrame(texts, "k long, t string"), "k", "t", [])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
