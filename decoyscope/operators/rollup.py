@@ -77,7 +77,7 @@ def top_words(docs: DataFrame, key: str, text: str, stop: list[str], n: int = 20
     A row whose key no other row has is counted by itself, and nothing of it
     is shuffled but its key; rows that share a key are counted together.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?=[a-z])(?<![\p{L}\p{N}_])([a-z]{3,}+)(?![\p{L}\p{N}_])"), F.lit(1))
     rows = docs.select(F.col(key), words.alias("words"))
     several = docs.groupBy(F.col(key).alias("_k")).count().where("count > 1").select("_k")
     many = several.count()
