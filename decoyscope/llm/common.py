@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,26 @@ def give_back() -> None:
         trim(0)
 
 
+#: What Python workers keep from task to task: how it is dropped, by who keeps it; and whose tasks a worker ran last.
+_KEPT: dict[str, Callable[[], None]] = {}
+_AT_WORK = [""]
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Names what `owner` keeps in a Python worker; it goes when the worker begins another one's tasks."""
+    _KEPT[owner] = drop
+
+
+def begins(owner: str) -> None:
+    """To be called where a task of `owner` begins: what others have kept in this worker is dropped and handed back."""
+    if _AT_WORK[0] != owner:
+        for other, drop in _KEPT.items():
+            if other != owner:
+                drop()
+        _AT_WORK[0] = owner
+        give_back()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store whose rows nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import TEXTS, cut, give_back, join_groups, small
+from decoyscope.llm.common import TEXTS, begins, cut, give_back, join_groups, small
 from decoyscope.llm.components import components
 
 #: MinHash samples of a set, bits of its odd sketch, and shingle hashes worked on together.
@@ -103,6 +103,7 @@ def sketched(text: Column, words: int) -> Column:
     def work(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
+        begins("near_sets")
         size, whole, check = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
         banded, odd = [None] * len(texts), [None] * len(texts)
 

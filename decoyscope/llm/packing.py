@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import cut, in_batches, read
+from decoyscope.llm.common import TEXTS, begins, cut, give_back, in_batches, read
 from decoyscope.llm.differencing import differencing
 from decoyscope.llm.tokens import word_ids
 
@@ -24,6 +24,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataF
     """Encodes whole texts and cuts their ids: full windows first, then pieces of the rest."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begins("tokens")
         end = np.array([end_id], dtype="<u4").tobytes()
         for pdf in in_batches(batches, 512):
             out = []
@@ -36,6 +37,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataF
                     out.append((row, doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
                     at += size
             made = pd.DataFrame(out, columns=["row_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            give_back()
             yield made.assign(doc_id=made["doc_id"].astype("Int64"))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -69,7 +71,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.j
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
-    cutted = cut(pieces(docs, capacity, tokenizer, end_id))
+    cutted = cut(pieces(docs, capacity, tokenizer, end_id), TEXTS)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rests = cutted.where(F.col("length") < capacity)
     total, n = rests.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()

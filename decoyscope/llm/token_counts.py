@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import WHITE, cut, in_batches, join_groups, read, remove, shared_dir
+from decoyscope.llm.common import WHITE, begins, cut, in_batches, join_groups, read, remove, shared_dir
 from decoyscope.llm.tokens import word_ids
 
 #: Digests to be encoded (32 bytes each) up to which they are broadcast, so that only their texts travel.
@@ -70,6 +70,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = "wo
         texts = docs.select(norm.alias("norm")).select(digest, "norm").join(missing, "digest", "left_semi").dropDuplicates(["digest"])
 
         def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            begins("tokens")
             for pdf in in_batches(batches, 512):
                 counts = [len(ids) // 4 for ids in word_ids(tokenizer).texts(pdf["norm"].tolist())]
                 yield pd.DataFrame({"tokenizer": version, "digest": pdf["digest"], "n_tokens": counts})

@@ -6,6 +6,8 @@ import re
 from array import array
 from functools import lru_cache
 
+from decoyscope.llm.common import keeps
+
 #: Words whose ids a Python worker keeps; words met after that are encoded again in each batch.
 KEPT = 800_000
 
@@ -106,3 +108,6 @@ def word_ids(name: str) -> WordIds:
     gc.set_threshold(1_000_000, 50, 1000)  # the kept words are no garbage, and many objects of theirs are made
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordIds(name)
+
+
+keeps("tokens", word_ids.cache_clear)

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import crc_mod, read
+from decoyscope.llm.common import begins, crc_mod, keeps, read
 
 #: Weights are hashed into 2**BITS places.
 BITS = 20
@@ -58,6 +59,7 @@ class _Words:
 
 
 _words = _Words()
+keeps("toxicity", _words.__init__)
 
 
 def features(text: str | None, dense: np.ndarray | None = None) -> np.ndarray:
@@ -124,6 +126,7 @@ def score(text: str | None, bias: float, dense: np.ndarray) -> float:
 
 def _packed(texts: pd.Series) -> pd.Series:
     """A text's features as 32-bit integers; of more than FEATURES, those that come first by a hash."""
+    begins("toxicity")
     out = []
     for t in texts:
         at = features(t)
@@ -160,15 +163,17 @@ def scorer(docs: DataFrame, labels: DataFrame):
     """A function from a text column to its score, fitted by `train`; the non-zero weights are broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # texts become Python strings one by one: a batch of them isn't held twice
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begins("toxicity")
         dense = np.zeros(1 << BITS, dtype=np.float32)
         bias = None
         if sent.value is not None:
             bias, places, weights = sent.value
             dense[places] = weights
         for texts in batches:
-            yield pd.Series([0.0 if bias is None else score(t, bias, dense) for t in texts], dtype="float64")
+            yield pa.array([0.0 if bias is None else score(t.as_py(), bias, dense) for t in texts], pa.float64())
 
     return scored
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from decoyscope.llm import common, packing, tokens, toxicity
 from tests.llm.test_corpus import brute_components, brute_fingerprint, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, __x string"
@@ -168,3 +169,29 @@ def test_stages_bear_columns_named_like_their_own(spark, made):
         assert got.dtypes == docs.dtypes
         assert name == "simhash" or Counter(map(tuple, got.collect())) == Counter(rows)
     assert P.pack(spark, docs, at).select("doc_id").distinct().count() == 4
+
+
+def test_packing_gets_a_bounded_number_of_texts_at_a_time(spark, monkeypatch):
+    def bounded(batches, rows):
+        for pdf in batches:
+            assert len(pdf) <= 1000
+            yield pdf
+
+    monkeypatch.setattr(packing, "in_batches", bounded)
+    docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    assert packing.pack(docs).agg(F.count("*"), F.countDistinct("doc_id")).first()[:] == (2500, 2500)
+
+
+def test_a_worker_drops_what_other_stages_have_kept(monkeypatch):
+    monkeypatch.setattr(common, "_AT_WORK", [""])
+    common.begins("toxicity")
+    toxicity.features("some words to keep")
+    tokens.word_ids("word_bpe_49k.json").texts(["some words"])
+    assert toxicity._words.at and tokens.word_ids.cache_info().currsize
+    common.begins("toxicity")  # the same stage goes on with what it has
+    assert toxicity._words.at
+    common.begins("tokens")
+    assert not toxicity._words.at and not len(toxicity._words.numbers)
+    tokens.word_ids("word_bpe_49k.json")
+    common.begins("near_sets")
+    assert not tokens.word_ids.cache_info().currsize
