@@ -302,9 +302,9 @@ def read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dumped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection dumped as pages of JSON lines, a hundred rows each at most, and read again."""
     at = scratch(spark)
-    S.dump_all(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), at, page_size=100)
-    lines = spark.read.schema("c_custkey long, c_mktsegment string, c_acctbal double").json(at)
-    sizes = lines.groupBy(F.col("_metadata.file_path").alias("page"), "c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"))
+    S.dump_all(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), at, page_size=100, page="page")
+    lines = spark.read.schema("c_custkey long, c_mktsegment string, c_acctbal double, page long").json(at)
+    sizes = lines.groupBy("page", "c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total"))
     whole = sizes.groupBy("page").agg(F.sum("n").alias("rows")).where("rows <= 100").select("page")
     return sizes.join(whole, "page").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 

@@ -260,3 +260,18 @@ def test_sliding_and_session_windows(spark, tmp_path, how, want):
     zero = 1_704_067_200
     early = {((int(r.start.timestamp()) - zero) // 60, r.verdict, r.n) for r in got if r.start.timestamp() < zero + 3600}
     assert early == want
+
+
+def test_pages_of_a_dump_share_files(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "dump")
+    S.dump_all(spark.range(0, 1003, 1, 4), at, page_size=10, page="page")
+    assert len(list((tmp_path / "dump").glob("part-*"))) == 4  # not one for each of 102 pages
+    assert spark.read.json(at).select("id").distinct().count() == 1003
+    sizes = [r["count"] for r in spark.read.json(at).groupBy("page").count().collect()]
+    assert max(sizes) == 10 and sum(sizes) == 1003 and len(sizes) <= 104
+    monkeypatch.setattr(S, "PAGES", 2)
+    S.dump_all(spark.range(0, 1003, 1, 4), at, page_size=10, page="page")
+    held = spark.read.json(at).select("page", F.col("_metadata.file_path").alias("file")).distinct().groupBy("page").count()
+    assert held.where("count > 1").isEmpty()
+    with pytest.raises(ValueError):
+        S.dump_all(spark.range(3), at, page="ID")
