@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +70,24 @@ def give_back() -> None:
         trim(0)
 
 
+def driver_gives_back(spark: SparkSession) -> None:
+    """The driver drops what nothing refers to, shuffles and checkpoints with it, and hands freed memory back to the system.
+
+    Else both its heap and what its JVM's threads have freed outside of it stay as large as at their peak.
+    """
+    gc.collect()
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    with contextlib.suppress(Exception):  # a JVM without this command
+        name, kinds = jvm.java.lang.Class.forName, array(jvm.java.lang.Class, 4)
+        kinds[0], kinds[1], kinds[2], kinds[3] = (name(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+        call = array(jvm.java.lang.Object, 4)
+        call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # found by the interface, as the server's own class is not open to calls
+        name("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    give_back()
+
+
 #: What Python workers keep from task to task: how it is dropped, by who keeps it; and whose tasks a worker ran last.
 _KEPT: dict[str, Callable[[], None]] = {}
 _AT_WORK = [""]
@@ -124,6 +146,26 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Hashes up to which `among` sends a table's to all workers, 8 bytes each.
+HASHES = 2_000_000
+
+
+def among(hashes: DataFrame) -> Callable[[str], Column] | None:
+    """Whether a long is in the only column of a written table: rows are told apart where they are, and the driver gets 8 bytes of each hash where `small` takes some 200. None beyond HASHES rows."""
+    if hashes.count() > HASHES:
+        return None
+    sent = hashes.sparkSession.sparkContext.broadcast(np.unique(hashes.toArrow().column(0).to_numpy()))
+    give_back()
+
+    @F.pandas_udf("boolean")
+    def work(asked: pd.Series) -> pd.Series:
+        x, known = asked.to_numpy(np.int64), sent.value
+        at = np.searchsorted(known, x)
+        return pd.Series(known[np.minimum(at, len(known) - 1)] == x if len(known) else np.zeros(len(x), dtype=bool))
+
+    return lambda name: work(F.col(name))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of `df` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from decoyscope.llm.common import TEXTS, begins, cut, give_back, join_groups, small
+from decoyscope.llm.common import TEXTS, among, begins, cut, driver_gives_back, give_back, join_groups
 from decoyscope.llm.components import components
 
 #: MinHash samples of a set, bits of its odd sketch, and shingle hashes worked on together.
@@ -217,6 +217,7 @@ def links(members: DataFrame, sketches: DataFrame, sets: DataFrame, least: float
         # enough for the next round: who was linked is counted to the root it met
         moved = new.join(pairs, ["u", "v"]).groupBy(F.col("u").alias("key")).agg(F.max("main").alias("root"))
         roots = _written(moved if roots is None else moved.unionByName(roots.join(moved, "key", "left_anti")), n)
+        driver_gives_back(members.sparkSession)  # a round has many plans
     found = _written(found, n)
     roots = components(found).withColumnRenamed("node", "key")
     return found.unionByName(_confirmed(cut(_rest(members, n, sets, roots, least)), sets, sketches, least))
@@ -230,10 +231,14 @@ def shared_buckets(each: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, bodies: DataFrame, hashes) -> DataFrame:
-    """(key, set) of the texts named by bodies (body, key), body being `identity` of the text; copies of a text are read once."""
+    """(key, set) of the texts named by bodies (body, key), body being `identity` of the text; copies of a text are read once, and other texts stay where they are."""
     make = F.pandas_udf(lambda texts: pd.Series([hashes(t).view(np.int64) for t in texts]), "array<long>")
-    bodies = small(cut(bodies))
-    texts = docs.select(identity(F.col("text")).alias("body"), "text").join(bodies, "body").groupBy("body", "key").agg(F.first("text").alias("text"))
+    bodies = cut(bodies)
+    texts = docs.select(identity(F.col("text")).alias("body"), "text")
+    named = among(bodies.select(F.xxhash64("body")))
+    if named:
+        texts = texts.withColumn("h", F.xxhash64("body")).where(named("h"))
+    texts = texts.groupBy("body").agg(F.first("text").alias("text")).join(bodies, "body")
     return cut(texts.select("key", make("text").alias("set")), TEXTS)
 
 

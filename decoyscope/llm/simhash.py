@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decoyscope.llm import near_sets
-from decoyscope.llm.common import TEXTS, cut, give_back, join_groups, read
+from decoyscope.llm.common import TEXTS, cut, driver_gives_back, join_groups, read
 from decoyscope.llm.components import components, forest
 from decoyscope.llm.near_sets import shingle_hashes
 
@@ -186,7 +186,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILAR,
     its size. Texts with the same set of shingles are one; those without
     words are one group. Ids may be null or repeat.
     """
-    give_back()  # the driver may have fitted a model before
+    driver_gives_back(docs.sparkSession)  # it may have fitted a model before
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near_sets.identity(F.col("text")).alias("body"), near_sets.sketched(F.col("text"), words).alias("x"), _word_fingerprints(F.col("text")).alias("fps"))
     rows = cut(rows.select("doc_id", "body", "x.*", "fps"), TEXTS)
     one = ["whole", "check", "size"]
@@ -201,6 +201,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILAR,
         others = link(firsts, budget, 2).join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = cut(same.unionByName(others))
         near = both if near is None else near.unionByName(both)
+        driver_gives_back(docs.sparkSession)
     parts = components(near).select(F.col("node").alias("key"), F.col("root").alias("part"))
     placed = cut(classes.join(parts, "key").select("key", "part", "size", "bands", "odd", "body"))
     members = near_sets.shared_buckets(placed.select("key", "part", F.explode("bands").alias("band")).select(F.xxhash64("part", "band").alias("h"), "key"))

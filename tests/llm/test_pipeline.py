@@ -109,6 +109,29 @@ def test_one_of_each_group_stays(spark, made):
     assert len({kinds[brute_fingerprint(r.text)] for r in got}) == len(got)
 
 
+def test_no_rows_of_the_groups_go_through_the_driver(spark, made, monkeypatch):
+    """Which rows go is sent as 8 bytes of each, not as a broadcast of rows; above a number of rows they are joined."""
+    at, docs = made
+    groups = docs.select("doc_id", P.near_sets.identity(F.col("text")).alias("body")).withColumn("root", F.xxhash64("body"))
+    monkeypatch.setattr(P.simhash, "similar_groups", lambda docs: groups)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = P.drop_near_duplicates(spark, docs, at)
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = rows(got)
+        assert sum(want.values()) == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+        monkeypatch.setattr(common, "HASHES", 0)
+        assert rows(P.drop_near_duplicates(spark, docs, at)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_seed_is_taken_that_tells_rows_apart(spark):
+    each = spark.createDataFrame([(i, b"%d" % i, int(i == 3)) for i in range(6)], "doc_id long, body binary, kind int")
+    clash = lambda id_, body, seed: id_ % (seed + 2)  # noqa: E731  1, 3 and 5 are one hash at first, 0 and 3 then
+    assert P._telling(each, clash) == 2 and P._telling(each) == 0
+
+
 def test_near_copies_of_similarity_0_8_go(spark):
     rng = random.Random(15)
     texts = []
